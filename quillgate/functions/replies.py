@@ -110,4 +110,4 @@ def judge_score(reply: Column | str) -> Column:
     strict = F.get_json_object(body, "$.clean_score").try_cast("double")
     loose = F.regexp_extract(text, r'(?U)"clean_score"\s*:\s*([0-9.]+)', 1).try_cast("double")
     score = F.coalesce(strict, loose)
-    return F.when(~F.isnan(score), F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)))
+    return F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)))
