@@ -21,6 +21,7 @@ from quillgate.operators import calibrate, dedup, joins, ledger, ranking, reward
 from quillgate.operators import candidates as cands
 from quillgate.plans import training_rows, upstream
 from quillgate.settings import DEFAULTS, SpendSettings
+from quillgate.sources.settle import checkpoint_dir, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -650,7 +651,7 @@ SELECT qid, cand_idx, reward, round(CASE WHEN coalesce(s, 0) = 0 THEN 0 ELSE (re
 def _(spark, sf):
     cand, prompts = _reward_inputs(spark, sf)
     observed = cand.select("key").distinct().select("key", score_of_key("key").alias("score"))
-    made = rewards.candidate_rewards(cand, prompts, DEFAULTS.reward, scores.repeat_scores(observed))
+    made = settled(rewards.candidate_rewards(cand, prompts, DEFAULTS.reward, scores.repeat_scores(observed)))
     return cands.group_advantage(made, ddof=0).select("qid", "cand_idx", "reward", F.round("advantage", 4).alias("advantage"))
 
 
@@ -673,9 +674,10 @@ def _scores_for(keys: DataFrame) -> DataFrame:
 
 
 def _selected(spark, sf) -> DataFrame:
+    """Survivors and screened candidates are tables of their own in a run: judge requests are made from them."""
     rollouts, base, pooled = _selection_inputs(spark, sf)
-    kept = training_rows.survivors(rollouts, base, pooled)
-    best = training_rows.screened(kept, _scores_for(kept.select(F.col("screen_key").alias("key"))))
+    kept = settled(training_rows.survivors(rollouts, base, pooled))
+    best = settled(training_rows.screened(kept, _scores_for(kept.select(F.col("screen_key").alias("key")))))
     keys = best.select(F.explode(F.array("select_key", "base_key")).alias("key"))
     return training_rows.confirmed(best, _scores_for(keys))
 
@@ -724,8 +726,6 @@ h AS (SELECT rn, sum(CASE WHEN selected THEN 1 ELSE 0 END) OVER (ORDER BY rn) AS
 SELECT qid AS query, md5({_WRAP.format(t='think')}) AS completion, 3::BIGINT AS n_messages FROM r
 WHERE selected AND rn <= coalesce((SELECT ceil(min(rn) / 48.0) * 48 FROM h WHERE hits >= 200), 9e18)""")
 def _(spark, sf):
-    from quillgate.sources.settle import settled
-
     results = settled(_selected(spark, sf))  # read several times by the early stop
     gathered = ranking.gather_until(results, "qid", "selected", 200, 48, 42).filter("selected")
     rows = training_rows.sft_rows(gathered, "best_think")
@@ -752,23 +752,22 @@ def _rewrites(spark, sf):
 
 
 def _rewrite_results(spark, sf) -> DataFrame:
-    gated = _rewrites(spark, sf)
+    gated = settled(_rewrites(spark, sf))
     quick = _scores_for(gated.select(F.explode(F.array("screen_key", "screen_base_key")).alias("key")))
     full = _scores_for(gated.select(F.explode(F.array("select_key", "base_key")).alias("key")))
     return training_rows.rewrite_results(gated, quick, full)
 
 
-_POL = "list_sort({})"
 _REWRITE_CTE = f"""{CANDIDATES_CTE}, {POOL_CTE},
 base AS (SELECT qid, min_by(answer, cand_idx) AS b_answer, '资料显示' || min_by(think, cand_idx) AS b_think FROM cand GROUP BY qid),
-written AS (SELECT qid, trim(max_by(think, cand_idx) || '，' || max_by(answer, cand_idx)) AS natural, max_by(q, cand_idx) AS q FROM cand GROUP BY qid),
-g0 AS (SELECT base.*, CASE WHEN q % 7 <> 0 THEN natural END AS natural, coalesce(array_to_string(pool_answers, '#'), '') AS pooled
+written AS (SELECT qid, trim(max_by(think, cand_idx) || '，' || max_by(answer, cand_idx)) AS nat, max_by(q, cand_idx) AS q FROM cand GROUP BY qid),
+g0 AS (SELECT base.*, CASE WHEN q % 7 <> 0 THEN nat END AS nat, coalesce(array_to_string(pool_answers, '#'), '') AS pooled
   FROM base JOIN written USING (qid) LEFT JOIN pool USING (qid)),
-g1 AS (SELECT *, natural IS NOT NULL AND NOT {o.style("coalesce(natural, '')")} AS rule_ok FROM g0),
-g2 AS (SELECT *, {o.terms("(b_answer || '#' || b_think || '#' || pooled)", o.TERMS)} AS allowed, {o.terms('natural', o.TERMS)} AS wrote FROM g1),
+g1 AS (SELECT *, nat IS NOT NULL AND NOT {o.style("coalesce(nat, '')")} AS rule_ok FROM g0),
+g2 AS (SELECT *, {o.terms("(b_answer || '#' || b_think || '#' || pooled)", o.TERMS)} AS allowed, {o.terms('nat', o.TERMS)} AS wrote FROM g1),
 g3 AS (SELECT *, rule_ok AND (len(allowed) = 0 OR len(list_filter(wrote, lambda x: NOT list_contains(allowed, x))) = 0) AS facts_ok FROM g2),
-g4 AS (SELECT *, {sql_score_of_key(o.key(_REF, 'natural', 2))} AS qc, {sql_score_of_key(o.key(_REF, 'b_think', 2))} AS qb,
-  {sql_score_of_key(o.key(_REF, 'natural', 16))} AS fc, {sql_score_of_key(o.key(_REF, 'b_think', 16))} AS fb FROM g3),
+g4 AS (SELECT *, {sql_score_of_key(o.key(_REF, 'nat', 2))} AS qc, {sql_score_of_key(o.key(_REF, 'b_think', 2))} AS qb,
+  {sql_score_of_key(o.key(_REF, 'nat', 16))} AS fc, {sql_score_of_key(o.key(_REF, 'b_think', 16))} AS fb FROM g3),
 g5 AS (SELECT *, CASE WHEN facts_ok AND qc > qb THEN fc END AS sc, CASE WHEN facts_ok AND qc > qb THEN fb END AS sb FROM g4),
 g6 AS (SELECT *, {o.clearly('sc', 'sb', 2.0)} AS selected FROM g5)"""
 
@@ -782,7 +781,7 @@ def _(spark, sf):
 
 
 @query("selection_funnel", f"""
-WITH {_REWRITE_CTE} SELECT count(*) FILTER (natural <> '') AS n_rewritten, count(*) FILTER (natural <> '' AND NOT rule_ok) AS n_rule_blocked,
+WITH {_REWRITE_CTE} SELECT count(*) FILTER (nat <> '') AS n_rewritten, count(*) FILTER (nat <> '' AND NOT rule_ok) AS n_rule_blocked,
   count(*) FILTER (rule_ok AND NOT facts_ok) AS n_facts_blocked, count(*) FILTER (facts_ok AND sc IS NULL) AS n_screened,
   count(*) FILTER (selected) AS n_eligible FROM g6""")
 def _(spark, sf):
@@ -791,7 +790,7 @@ def _(spark, sf):
 
 @query("sft_rows", f"""
 WITH {_REWRITE_CTE}, e AS (SELECT *, (row_number() OVER (ORDER BY qid) - 1) % 10 = 0 AS held_out FROM g6 WHERE selected)
-SELECT qid AS query, md5('<think>' || chr(10) || natural || chr(10) || '</think>' || chr(10) || chr(10) || '<answer>' || chr(10)
+SELECT qid AS query, md5('<think>' || chr(10) || nat || chr(10) || '</think>' || chr(10) || chr(10) || '<answer>' || chr(10)
   || trim(b_answer) || chr(10) || '</answer>') AS completion, held_out FROM e""")
 def _(spark, sf):
     train, held = training_rows.sft_train_and_eval(_rewrite_results(spark, sf))
@@ -926,7 +925,6 @@ def _(spark, sf):
     """The same rows scored by the incremental stream, file by file."""
     import uuid
 
-    from quillgate.sources.settle import checkpoint_dir
     from quillgate.streaming.incremental import score_stream
 
     work = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -1034,7 +1032,6 @@ def _(spark, sf):
     import uuid
 
     from quillgate.sources.jsonl import read_jsonl, write_jsonl
-    from quillgate.sources.settle import checkpoint_dir
 
     turns = t(spark, sf, "conversations")
     path = f"{checkpoint_dir(spark)}/jsonl-{uuid.uuid4().hex}"
@@ -1048,7 +1045,6 @@ def _(spark, sf):
     import uuid
 
     from quillgate.sources.jsonl import append_jsonl, read_progress, write_jsonl
-    from quillgate.sources.settle import checkpoint_dir
 
     docs = t(spark, sf, "documents").select("source", "doc_id")
     path = f"{checkpoint_dir(spark)}/progress-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgate.functions.text import SPACE_CLASS, sentences, strip, text_or_empty
+from quillgate.functions.text import SENTENCE_ENDS, SPACE_CLASS, SPACES, sentences, text_or_empty
 
 _S = SPACE_CLASS
 
@@ -89,12 +89,6 @@ ZH_STYLE = StylePack(
     ),
 )
 
-# Private-use fences put around hits; the same characters in a text are replaced first.
-_OPEN, _CLOSE = "\ue001", "\ue002"
-
-_SPAN = "array<struct<start:int,end:int,text:string,type:string>>"
-
-
 def category_hit(text: Column, category: Category) -> Column:
     joined = "|".join(f"(?:{p})" for p in category.patterns)
     hit = text.rlike(category.flags + joined)
@@ -131,108 +125,119 @@ def has_trace(value: Column | str, pack: StylePack = ZH_STYLE) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _pattern_spans(text: Column, pattern: str, flags: str, kind: str) -> Column:
-    """All hits of one pattern with character offsets.
+# ---------------------------------------------------------------- spans
+#
+# The report is one SQL expression with its intermediate results bound by one-element
+# ``transform`` calls, so each is computed once per row.  Every category is gated by its
+# own yes/no test: rows without a hit pay for that test only.
+
+# Private-use fences put around hits; the same characters in a text are replaced first.
+_OPEN, _CLOSE, _PLAIN = "\ue001", "\ue002", "\ue003"
+_SPAN = "array<struct<lo:int,hi:int,text:string,type:string>>"
+_NO_SPANS = f"cast(array() as {_SPAN})"
+_NO_TEXTS = "cast(array() as array<string>)"
+
+
+def _strip_sql(text: str) -> str:
+    return f"trim(BOTH '{SPACES}' FROM {text})"
 
-    The hits are fenced with two private-use characters; splitting on them leaves the
-    hits at the odd places, and running lengths give the offsets.
+
+def _pattern_spans(pattern: str, category: Category) -> str:
+    """All hits of one pattern in ``t`` with character offsets.
+
+    Splitting at the fences leaves the hits at the odd places; running lengths give the
+    offsets.
     """
-    fenced = F.regexp_replace(text, f"{flags}(?:{pattern})", f"{_OPEN}$0{_CLOSE}")
-    pieces = F.split(fenced, f"[{_OPEN}{_CLOSE}]", -1)
-    folded = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(_SPAN).alias("spans")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.char_length(piece)).alias("at"),
-            (~acc["hit"]).alias("hit"),
-            F.when(
-                acc["hit"],
-                F.array_append(
-                    acc["spans"],
-                    F.struct(
-                        acc["at"].alias("start"),
-                        (acc["at"] + F.char_length(piece)).alias("end"),
-                        piece.alias("text"),
-                        F.lit(kind).alias("type"),
-                    ),
-                ),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
+    fenced = f"regexp_replace(t, r'{category.flags}(?:{pattern})', '{_OPEN}$0{_CLOSE}')"
+    span = (
+        f"named_struct('lo', a.pos, 'hi', a.pos + char_length(piece), 'text', piece, 'type', '{category.name}')"
+    )
+    return (
+        f"aggregate(split({fenced}, '[{_OPEN}{_CLOSE}]', -1), "
+        f"named_struct('pos', 0, 'hit', false, 'spans', {_NO_SPANS}), "
+        "(a, piece) -> named_struct('pos', a.pos + char_length(piece), 'hit', NOT a.hit, "
+        f"'spans', if(a.hit, array_append(a.spans, {span}), a.spans))).spans"
     )
-    return folded["spans"]
 
 
-def _category_spans(text: Column, category: Category) -> Column:
-    """Hits of one category, each place once, without those inside a longer hit."""
-    found = F.array_sort(
-        F.array_distinct(
-            F.concat(*[_pattern_spans(text, p, category.flags, category.name) for p in category.patterns])
-        )
+def _category_spans(category: Category) -> str:
+    """Hits of one category, each place once, without those inside a longer hit.
+
+    With hits ordered by start, longer first, a hit repeats or lies inside an earlier one
+    exactly when an earlier hit ends no sooner: one pass with the furthest end so far.
+    """
+    found = [_pattern_spans(p, category) for p in category.patterns]
+    if len(found) == 1:
+        return found[0]
+    ordered = (
+        f"array_sort(transform(concat({', '.join(found)}), "
+        "s -> named_struct('lo', s.lo, 'back', -s.hi, 'text', s.text)))"
     )
-    kept = F.filter(
-        found,
-        lambda a: ~F.exists(
-            found,
-            lambda b: (b["start"] <= a["start"])
-            & (a["end"] <= b["end"])
-            & ((b["end"] - b["start"]) > (a["end"] - a["start"])),
-        ),
+    kept = f"named_struct('lo', s.lo, 'hi', -s.back, 'text', s.text, 'type', '{category.name}')"
+    return (
+        f"aggregate({ordered}, named_struct('reach', -1, 'spans', {_NO_SPANS}), "
+        "(a, s) -> named_struct('reach', greatest(a.reach, -s.back), "
+        f"'spans', if(-s.back > a.reach, array_append(a.spans, {kept}), a.spans))).spans"
     )
-    return F.transform(kept, lambda s: F.struct(s["text"].alias("text"), s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def trace_report(value: Column | str, pack: StylePack = ZH_STYLE) -> Column:
-    """``struct<has_rag_style, spans, n_by_type, n>`` for one text.
+def _gated_spans(category: Category, rank: int) -> str:
+    joined = "|".join(f"(?:{p})" for p in category.patterns)
+    test = f"t rlike r'{category.flags}{joined}'"
+    if category.must_contain:
+        test = f"t rlike r'{category.flags}{category.must_contain}' AND {test}"
+    return (
+        f"transform(if({test}, {_category_spans(category)}, {_NO_SPANS}), "
+        f"s -> named_struct('lo', s.lo, 'hi', s.hi, 'rank', {rank}, 'text', s.text, 'type', s.type))"
+    )
+
+
+def _documents_sql(rule: ListDump) -> str:
+    stripped = f"filter(transform(split(t, '{SENTENCE_ENDS}'), s -> {_strip_sql('s')}), s -> s != '')"
+    read = (
+        f"transform({stripped}, s -> regexp_replace(s, r'(?U){rule.form_name}', ''))"
+    )
+    judged = (
+        f"transform({read}, s -> named_struct('docs', regexp_extract_all(s, r'(?U){rule.document}', 0), "
+        f"'reasons', s rlike '{rule.reasoning_word}'))"
+    )
+    listing = f"filter({judged}, x -> NOT x.reasons OR size(x.docs) >= {rule.per_sentence})"
+    return f"if(t rlike '{rule.must_contain}', flatten(transform({listing}, x -> x.docs)), {_NO_TEXTS})"
 
-    ``spans`` holds at most ``reported`` document names, while the count of that
-    category covers all of them.
+
+def _bind(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def trace_report(column: str, pack: StylePack = ZH_STYLE) -> Column:
+    """``struct<has_rag_style, spans, n_by_type, n>`` of a text column, given by name.
+
+    Spans are ordered by position, then category order, documents last.  At most
+    ``reported`` document names are listed, while the count of that category covers all.
     """
-    text = F.translate(text_or_empty(value), _OPEN + _CLOSE, "\ue003\ue003")
-    hit = has_trace(text, pack)
-    spans_type = "array<struct<text:string,type:string>>"
-    empty = F.array().cast(spans_type)
-
-    def ranked_spans(rank: int, category: Category) -> Column:
-        none = F.array().cast("array<struct<text:string,type:string,start:int,end:int>>")
-        found = F.when(category_hit(text, category), _category_spans(text, category)).otherwise(none)
-        return F.transform(
-            found,
-            lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"),
-                s["text"].alias("text"), s["type"].alias("type"),
-            ),
-        )
-
-    def count_of(name: str) -> Column:
-        return F.size(F.filter(placed, lambda s: s["type"] == name))
-
-    # Hits of different categories are listed by position, then category order.
-    ranked = F.flatten(F.array(*[ranked_spans(i, c) for i, c in enumerate(pack.categories)]))
-    placed = F.transform(F.array_sort(ranked), lambda s: F.struct(s["text"].alias("text"), s["type"].alias("type")))
+    found = ", ".join(_gated_spans(c, i) for i, c in enumerate(pack.categories))
+    placed = (
+        f"transform(array_sort(concat({found})), s -> named_struct('text', s.text, 'type', s.type))"
+    )
+    rule = pack.list_dump
+    docs = _documents_sql(rule) if rule else _NO_TEXTS
+    label = f"regexp_extract(t, r'(?U){rule.label}', 0)" if rule else "''"
+    hits = f"named_struct('placed', {placed}, 'docs', {docs}, 'label', {label})"
 
     names = [c.name for c in pack.categories]
-    counts = [count_of(n) for n in names]
-    spans = placed
-    if pack.list_dump:
-        rule = pack.list_dump
-        docs = standalone_documents(text, rule)
-        label = F.regexp_extract(text, "(?U)" + rule.label, 0)
-        labelled = text.rlike("(?U)" + rule.label)
-        dumping = labelled | (F.size(docs) >= rule.per_sentence)
-        shown = F.when(
-            F.size(docs) > 0, F.slice(docs, 1, rule.reported)
-        ).otherwise(F.array(strip(label)))
-        listed = F.transform(shown, lambda d: F.struct(d.alias("text"), F.lit(rule.name).alias("type")))
-        spans = F.concat(placed, F.when(dumping, listed).otherwise(empty))
+    counts = [f"size(filter(h.placed, s -> s.type = '{n}'))" for n in names]
+    spans = "h.placed"
+    if rule:
+        dumping = f"(h.label != '' OR size(h.docs) >= {rule.per_sentence})"
+        shown = f"if(size(h.docs) > 0, slice(h.docs, 1, {rule.reported}), array({_strip_sql('h.label')}))"
+        listed = f"transform({shown}, d -> named_struct('text', d, 'type', '{rule.name}'))"
+        spans = f"if({dumping}, concat(h.placed, {listed}), h.placed)"
         names.append(rule.name)
-        counts.append(F.when(dumping, F.greatest(F.size(docs), labelled.cast("int"))).otherwise(0))
-    by_type = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*counts)), lambda _, v: v > 0
-    )
-    spans = F.when(hit, spans).otherwise(empty)
-    return F.struct(
-        hit.alias("has_rag_style"),
-        spans.alias("spans"),
-        F.when(hit, by_type).otherwise(F.create_map().cast("map<string,int>")).alias("n_by_type"),
-        F.size(spans).alias("n"),
+        counts.append(f"if({dumping}, greatest(size(h.docs), if(h.label != '', 1, 0)), 0)")
+    keys = ", ".join(f"'{n}'" for n in names)
+    by_type = f"map_filter(map_from_arrays(array({keys}), array({', '.join(counts)})), (k, v) -> v > 0)"
+    report = _bind(
+        "r", spans, f"named_struct('has_rag_style', size(r) > 0, 'spans', r, 'n_by_type', {by_type}, 'n', size(r))"
     )
+    text = f"translate(coalesce({column}, ''), '{_OPEN}{_CLOSE}', '{_PLAIN}{_PLAIN}')"
+    return F.expr(_bind("t", text, _bind("h", hits, report)))

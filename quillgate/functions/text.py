@@ -27,6 +27,9 @@ SPACES = (
 # The same set as a Java character class; use together with the (?U) flag.
 SPACE_CLASS = r"[\s\x1c-\x1f]"
 
+# Fixed value: runs of characters that end a sentence.
+SENTENCE_ENDS = "[。！？!?\n;；]+"
+
 # Joins several texts into one so that a single pass can read them all.  Private-use,
 # so no fact or style pattern can match across it and NFKC leaves it alone.
 JOINER = "\ue000"
@@ -122,5 +125,5 @@ def rest_from(text: Column, position: Column) -> Column:
 
 def sentences(value: Column | str) -> Column:
     """Split on CJK and ASCII sentence ends, strip, drop blanks."""
-    parts = F.split(text_or_empty(value), "[。！？!?\\n;；]+")
+    parts = F.split(text_or_empty(value), SENTENCE_ENDS)
     return F.filter(F.transform(parts, strip), lambda s: s != "")

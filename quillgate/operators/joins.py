@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 
 from quillgate.functions.text import filled_question_id, is_blank
 
-# A key is hot when it holds at least this share of the rows and at least this many of
-# them, so there are never more than 65,536 hot keys to broadcast.
-HOT_SHARE = 65_536
+# A key is hot when it holds at least this many rows.  Only the largest hot keys are
+# listed, so what is broadcast has a fixed bound; a key beyond the list holds less than
+# one part in MAX_HOT_KEYS of all rows and needs no spreading.
 HOT_ROWS = 100_000
+MAX_HOT_KEYS = 65_536
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """``key, _copies`` for keys with many rows; the count is combined before the shuffle."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_total")).scalar()
-    enough = F.greatest(F.lit(min_rows), F.ceil(total / F.lit(HOT_SHARE)))
-    return counts.filter(F.col("_n") >= enough).select(
-        key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias("_copies")
-    ).filter(F.col(key).isNotNull())
+    """``key, _copies`` of the largest keys; counts are combined before the shuffle."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    largest = counts.filter(F.col("_n") >= min_rows).orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
+    return largest.select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias("_copies"))
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", min_rows: int = HOT_ROWS) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", min_rows: int = HOT_ROWS,
+                count_from: DataFrame | None = None) -> DataFrame:
     """Join to a table with one row per key, spreading hot keys of the left side.
 
     A hot key is cut into salted shares and only its single row on the right is copied
-    to each share, so the other keys cost nothing extra.
+    to each share, so the other keys cost nothing extra.  ``count_from`` is a cheaper
+    table with the same keys to find the hot ones in, when ``left`` is costly to compute.
     """
-    hot = F.broadcast(hot_keys(left, key, min_rows))
+    hot = F.broadcast(hot_keys(left if count_from is None else count_from, key, min_rows))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     spread = (
         left.join(hot, key, "left")

@@ -31,7 +31,7 @@ def score_rows(inference: DataFrame, pool: DataFrame, scores: DataFrame, facts:
     ok, reason = format_defaults(think, answer, F.col("format_ok"), F.col("format_reason"))
     rows = rows.withColumns(
         {
-            "_report": trace_report(think, style),
+            "_report": trace_report("think", style),
             "_facts": extract_facts(answer, facts),
             "_ok": ok,
             "_reason": reason,

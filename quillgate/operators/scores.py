@@ -54,13 +54,14 @@ def requests_to_send(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
 
-def with_scores(requests: DataFrame, scores: DataFrame, key: str = "key") -> DataFrame:
+def with_scores(requests: DataFrame, scores: DataFrame, key: str = "key",
+                count_from: DataFrame | None = None) -> DataFrame:
     """Attach ``clean_score, sd, n``; a request without observations counts as failed.
 
     Many requests may share a key (the same text judged again), so the join spreads hot keys.
     """
     wanted = scores.select(F.col("key").alias(key), "clean_score", "sd", "n")
-    return join_unique(requests, wanted, key).withColumn("n", F.coalesce("n", F.lit(0)))
+    return join_unique(requests, wanted, key, count_from=count_from).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def normalised(score: Column) -> Column:
