@@ -68,9 +68,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def at_least_parallel(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than there are cores; larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, cand_idx, think, answer, q, l_tax, l_linenumber, text``, one row per order line."""
-    inner = table(spark, sf_dir, "lineitem").selectExpr(*_INNER)
+    lines = at_least_parallel(table(spark, sf_dir, "lineitem"))
+    inner = lines.selectExpr(*_INNER)
     return inner.selectExpr("qid", "cand_idx", "think", "answer", "q", "l_tax", "l_linenumber", f"{TEXT} as text")
 
 

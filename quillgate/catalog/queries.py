@@ -981,7 +981,8 @@ PRICES = SpendSettings(budget=20.0)
 _USAGE = ["event_id as seq", "ts", "event_type as stage", "cast(floor(value * 100) as bigint) as in_tokens",
           "user_id * 10 as out_tokens", "event_id % 9 = 0 as cache_hit"]
 _USAGE_CTE = f"usage AS (SELECT {', '.join(_USAGE)} FROM events)"
-_COST = "({i} / 1e6 * 6.5 + {o} / 1e6 * 27.0)"
+# Exact decimals, like the ledger's.
+_COST = "(({i})::DECIMAL(18,0) * 6.5 + ({o})::DECIMAL(18,0) * 27) * 0.000001"
 
 
 def _usage(spark, sf) -> DataFrame:
@@ -990,7 +991,7 @@ def _usage(spark, sf) -> DataFrame:
 
 @query("usage_totals", f"""
 WITH {_USAGE_CTE} SELECT stage, count(*) FILTER (NOT cache_hit) AS calls, sum(in_tokens)::BIGINT AS in_tokens, sum(out_tokens)::BIGINT AS out_tokens,
-  count(*) FILTER (cache_hit) AS cache_hits, round({_COST.format(i='sum(in_tokens)', o='sum(out_tokens)')}, 4) AS yuan FROM usage GROUP BY stage""")
+  count(*) FILTER (cache_hit) AS cache_hits, round({_COST.format(i='sum(in_tokens)', o='sum(out_tokens)')}, 4)::DOUBLE AS yuan FROM usage GROUP BY stage""")
 def _(spark, sf):
     made = ledger.usage_totals(_usage(spark, sf), PRICES, ["stage"])
     return made.select("stage", "calls", "in_tokens", "out_tokens", "cache_hits", "yuan")
@@ -998,7 +999,7 @@ def _(spark, sf):
 
 _RUN_CTE = f"""{_USAGE_CTE}, r AS (SELECT seq, round({_COST.format(
     i='sum(in_tokens) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)',
-    o='sum(out_tokens) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)')}, 4) AS yuan_so_far, ts FROM usage),
+    o='sum(out_tokens) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)')}, 4)::DOUBLE AS yuan_so_far, ts FROM usage),
 f AS (SELECT *, yuan_so_far >= 16.0 AS warn, yuan_so_far >= 20.0 AS over_budget FROM r)"""
 
 
@@ -1016,7 +1017,7 @@ def _(spark, sf):
 
 @query("windowed_spend", f"""
 WITH {_USAGE_CTE} SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS window_start, stage, count(*) AS calls, sum(in_tokens)::BIGINT AS in_tokens,
-  round({_COST.format(i='sum(in_tokens)', o='sum(out_tokens)')}, 4) AS yuan FROM usage GROUP BY 1, 2""")
+  round({_COST.format(i='sum(in_tokens)', o='sum(out_tokens)')}, 4)::DOUBLE AS yuan FROM usage GROUP BY 1, 2""")
 def _(spark, sf):
     from quillgate.streaming.spend import windowed_spend
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgate.functions.text import JOINER, SPACE_CLASS, as_col, is_blank, nfkc, stripped
+from quillgate.functions.text import JOINER, SPACE_CLASS, as_col, bind, is_blank, nfkc, stripped
 
 _S = SPACE_CLASS
 
@@ -89,19 +89,24 @@ def extract_facts(text: Column | str, pack: FactPack = ZH_FACTS, normalise: bool
     """
     norm = nfkc(text) if normalise else as_col(text)
     date = "(?U)" + pack.date
-    dates = _compact(F.regexp_extract_all(norm, F.lit(date), F.lit(0)), f"(?U){_S}+")
-    masked = F.regexp_replace(norm, date, " ")
-    found = F.concat(*[F.regexp_extract_all(masked, F.lit("(?U)" + p), F.lit(0)) for p in pack.values])
 
     def clean(x: Column) -> Column:
         bare = F.regexp_replace(x, f"(?U)(?:{_S}|,)+", "")
         return reduce(lambda t, u: F.replace(t, F.lit(u[0]), F.lit(u[1])), pack.units, bare)
 
-    return F.struct(
-        polarity_terms(norm, pack.polarity).alias("polarity"),
-        F.array_sort(F.array_distinct(F.transform(found, clean))).alias("value"),
-        F.array_sort(F.array_distinct(dates)).alias("date"),
-    )
+    def values_of(masked: Column) -> Column:
+        found = F.concat(*[F.regexp_extract_all(masked, F.lit("(?U)" + p), F.lit(0)) for p in pack.values])
+        return F.array_sort(F.array_distinct(F.transform(found, clean)))
+
+    def facts_of(plain: Column) -> Column:
+        dates = _compact(F.regexp_extract_all(plain, F.lit(date), F.lit(0)), f"(?U){_S}+")
+        return F.struct(
+            polarity_terms(plain, pack.polarity).alias("polarity"),
+            bind(F.regexp_replace(plain, date, " "), values_of).alias("value"),
+            F.array_sort(F.array_distinct(dates)).alias("date"),
+        )
+
+    return bind(norm, facts_of)
 
 
 def pool_text(answers: Column | str) -> Column:
@@ -145,26 +150,40 @@ def pool_verdict(answer: Column | str, model: Column, pool: Column) -> Column:
     ``in_pool`` is also reported for answers that cannot be compared; ``comparable``
     tells the two cases apart.  A blank answer is never in the pool.
     """
-    empty = is_blank(answer)
-    drift = drift_facts(model, pool)
-    in_pool = ~empty & (F.size(drift) == 0)
-    comparable = empty | (has_facts(model) & has_facts(pool))
-    reason = (
-        F.when(empty, "empty_answer")
-        .when(~has_facts(model), F.when(has_facts(pool), "no_comparable_facts").otherwise("no_facts_in_either"))
-        .when(~has_facts(pool), "v1_pool_has_no_facts")
-        .when(~in_pool, "introduced_new_fact")
-        .otherwise("ok")
+    known = F.struct(
+        is_blank(answer).alias("empty"),
+        model.alias("model"),
+        pool.alias("pool"),
     )
-    return F.struct(
-        in_pool.alias("in_pool"),
-        comparable.alias("comparable"),
-        reason.alias("reason"),
-        drift.alias("drift_facts"),
-        all_facts(model).alias("model_facts"),
-        all_facts(pool).alias("pool_facts"),
-        F.size(all_facts(pool)).alias("pool_size"),
+
+    def judged(x: Column) -> Column:
+        empty, in_model, in_pool_side = x["empty"], has_facts(x["model"]), has_facts(x["pool"])
+        inside = ~empty & (F.size(x["drift"]) == 0)
+        reason = (
+            F.when(empty, "empty_answer")
+            .when(~in_model, F.when(in_pool_side, "no_comparable_facts").otherwise("no_facts_in_either"))
+            .when(~in_pool_side, "v1_pool_has_no_facts")
+            .when(~inside, "introduced_new_fact")
+            .otherwise("ok")
+        )
+        return F.struct(
+            inside.alias("in_pool"),
+            (empty | (in_model & in_pool_side)).alias("comparable"),
+            reason.alias("reason"),
+            x["drift"].alias("drift_facts"),
+            all_facts(x["model"]).alias("model_facts"),
+            all_facts(x["pool"]).alias("pool_facts"),
+            F.size(all_facts(x["pool"])).alias("pool_size"),
+        )
+
+    with_drift = bind(
+        known,
+        lambda x: F.struct(
+            x["empty"].alias("empty"), x["model"].alias("model"), x["pool"].alias("pool"),
+            drift_facts(x["model"], x["pool"]).alias("drift"),
+        ),
     )
+    return bind(with_drift, judged)
 
 
 def merged_pool(canonical: Column | str, gold: Column | str, samples: Column | str) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgate.functions.text import SENTENCE_ENDS, SPACE_CLASS, SPACES, sentences, text_or_empty
+from quillgate.functions.text import SENTENCE_ENDS, SPACE_CLASS, SPACES, bind, sentences, text_or_empty
 
 _S = SPACE_CLASS
 
@@ -118,11 +118,14 @@ def list_dump_hit(text: Column, rule: ListDump) -> Column:
 
 def has_trace(value: Column | str, pack: StylePack = ZH_STYLE) -> Column:
     """True when any category hits or documents are dumped as a list."""
-    text = text_or_empty(value)
-    tests = [category_hit(text, c) for c in pack.categories]
-    if pack.list_dump:
-        tests.append(list_dump_hit(text, pack.list_dump))
-    return reduce(lambda a, b: a | b, tests)
+
+    def any_hit(text: Column) -> Column:
+        tests = [category_hit(text, c) for c in pack.categories]
+        if pack.list_dump:
+            tests.append(list_dump_hit(text, pack.list_dump))
+        return reduce(lambda a, b: a | b, tests)
+
+    return bind(text_or_empty(value), any_hit)
 
 
 # ---------------------------------------------------------------- spans

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgate.functions.text import (
     as_col,
+    bind,
     char_before_last,
     is_blank,
     rest_from,
@@ -27,10 +28,16 @@ def _after(text: Column, tag: str) -> Column:
 
 def _answer_in(tail: Column) -> Column:
     """Answer span of the part behind the think block; tolerant of missing tags."""
-    opened = _after(tail, ANSWER_OPEN)
-    inner = F.when(F.contains(opened, F.lit(ANSWER_CLOSE)), char_before_last(opened, ANSWER_CLOSE)).otherwise(opened)
-    span = F.when(F.contains(tail, F.lit(ANSWER_OPEN)), inner).otherwise(tail)
-    bare = F.replace(F.replace(span, F.lit(ANSWER_OPEN), F.lit("")), F.lit(ANSWER_CLOSE), F.lit(""))
+
+    def up_to_last_close(opened: Column) -> Column:
+        return F.when(
+            F.contains(opened, F.lit(ANSWER_CLOSE)), char_before_last(opened, ANSWER_CLOSE)
+        ).otherwise(opened)
+
+    def span(part: Column) -> Column:
+        return F.when(F.contains(part, F.lit(ANSWER_OPEN)), bind(_after(part, ANSWER_OPEN), up_to_last_close)).otherwise(part)
+
+    bare = F.replace(F.replace(bind(tail, span), F.lit(ANSWER_OPEN), F.lit("")), F.lit(ANSWER_CLOSE), F.lit(""))
     return strip(bare)
 
 
@@ -41,57 +48,69 @@ def _closed_think(text: Column) -> Column:
 
 def parse_tolerant(value: Column | str) -> Column:
     """``struct<think, answer>``; without a closing think tag the whole text is the answer."""
-    text = text_or_empty(value)
-    closed = F.contains(text, F.lit(THINK_CLOSE))
-    tail = F.when(closed, _after(text, THINK_CLOSE)).otherwise(text)
-    return F.struct(
-        F.when(closed, _closed_think(text)).otherwise("").alias("think"),
-        _answer_in(tail).alias("answer"),
-    )
+
+    def parts(text: Column) -> Column:
+        closed = F.contains(text, F.lit(THINK_CLOSE))
+        return F.struct(
+            F.when(closed, _closed_think(text)).otherwise("").alias("think"),
+            _answer_in(F.when(closed, _after(text, THINK_CLOSE)).otherwise(text)).alias("answer"),
+        )
+
+    return bind(text_or_empty(value), parts)
 
 
 def parse_diagnostic(value: Column | str) -> Column:
     """``struct<think, answer, format_ok, format_reason>``; never passes a cut-off think as an answer."""
-    text = text_or_empty(value)
-    closed = F.contains(text, F.lit(THINK_CLOSE))
-    first_open = F.instr(text, THINK_OPEN)
-    unclosed = F.when(
-        first_open > 0,
-        strip(
-            F.concat(
-                F.substring(text, F.lit(1), first_open - 1),
-                rest_from(text, first_open + F.lit(len(THINK_OPEN))),
-            )
-        ),
-    ).otherwise("")
-    think = F.when(closed, _closed_think(text)).otherwise(unclosed)
-    answer = F.when(closed, _answer_in(_after(text, THINK_CLOSE))).otherwise("")
-    reasons = F.concat_ws(
-        "+",
-        F.when(~closed, "missing_think_close"),
-        F.when(think == "", "empty_think"),
-        F.when(answer == "", "empty_answer"),
-    )
-    return F.struct(
-        think.alias("think"),
-        answer.alias("answer"),
-        (reasons == "").alias("format_ok"),
-        F.when(reasons == "", "ok").otherwise(reasons).alias("format_reason"),
-    )
+
+    def parts(text: Column) -> Column:
+        closed = F.contains(text, F.lit(THINK_CLOSE))
+        first_open = F.instr(text, THINK_OPEN)
+        unclosed = F.when(
+            first_open > 0,
+            strip(
+                F.concat(
+                    F.substring(text, F.lit(1), first_open - 1),
+                    rest_from(text, first_open + F.lit(len(THINK_OPEN))),
+                )
+            ),
+        ).otherwise("")
+        return F.struct(
+            closed.alias("closed"),
+            F.when(closed, _closed_think(text)).otherwise(unclosed).alias("think"),
+            F.when(closed, _answer_in(_after(text, THINK_CLOSE))).otherwise("").alias("answer"),
+        )
+
+    def diagnosed(p: Column) -> Column:
+        reasons = F.concat_ws(
+            "+",
+            F.when(~p["closed"], "missing_think_close"),
+            F.when(p["think"] == "", "empty_think"),
+            F.when(p["answer"] == "", "empty_answer"),
+        )
+        return F.struct(
+            p["think"].alias("think"),
+            p["answer"].alias("answer"),
+            (reasons == "").alias("format_ok"),
+            F.when(reasons == "", "ok").otherwise(reasons).alias("format_reason"),
+        )
+
+    return bind(bind(text_or_empty(value), parts), diagnosed)
 
 
 def tags_in_order(value: Column | str) -> Column:
     """First open think < first close think < first open answer behind it < last close answer."""
-    text = text_or_empty(value)
-    behind = _after(text, THINK_CLOSE)
-    answer_body = _after(behind, ANSWER_OPEN)
-    opened = F.instr(text, THINK_OPEN)
-    return (
-        (opened > 0)
-        & (opened < F.instr(text, THINK_CLOSE))
-        & F.contains(behind, F.lit(ANSWER_OPEN))
-        & F.contains(answer_body, F.lit(ANSWER_CLOSE))
-    )
+
+    def ordered(text: Column) -> Column:
+        behind = _after(text, THINK_CLOSE)
+        opened = F.instr(text, THINK_OPEN)
+        return (
+            (opened > 0)
+            & (opened < F.instr(text, THINK_CLOSE))
+            & F.contains(behind, F.lit(ANSWER_OPEN))
+            & F.contains(_after(behind, ANSWER_OPEN), F.lit(ANSWER_CLOSE))
+        )
+
+    return bind(text_or_empty(value), ordered)
 
 
 def references_of(value: Column | str, begin: str = REFERENCE_BEGIN, end: str = REFERENCE_END) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -52,6 +53,15 @@ def text_or_empty(value: Column | str) -> Column:
     return F.coalesce(as_col(value), F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    The optimiser copies an expression into every place that refers to it (a filter
+    pushed below its projection, merged projections); behind a lambda variable it cannot.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(value: Column | str) -> Column:
     """Both-end strip of Unicode whitespace (``trim`` alone only knows the space)."""
     return F.trim(as_col(value), F.lit(SPACES))

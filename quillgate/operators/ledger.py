@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,18 @@ from quillgate.settings import SpendSettings
 
 
 def cost_of(in_tokens: Column | str, out_tokens: Column | str, prices: SpendSettings) -> Column:
-    def million(c: Column | str) -> Column:
-        return F.coalesce(as_col(c), F.lit(0)) / F.lit(1e6)
+    """Money for tokens, in exact decimal arithmetic."""
 
-    return million(in_tokens) * F.lit(prices.price_in_per_million) + million(out_tokens) * F.lit(
-        prices.price_out_per_million
-    )
+    def priced(tokens: Column | str, per_million: float) -> Column:
+        count = F.coalesce(as_col(tokens), F.lit(0)).cast("decimal(20,0)")
+        return count * F.lit(Decimal(str(per_million)))
+
+    total = priced(in_tokens, prices.price_in_per_million) + priced(out_tokens, prices.price_out_per_million)
+    return total * F.lit(Decimal("0.000001"))
+
+
+def rounded_cost(in_tokens: Column | str, out_tokens: Column | str, prices: SpendSettings) -> Column:
+    return F.round(cost_of(in_tokens, out_tokens, prices), 4).cast("double")
 
 
 def usage_totals(usage: DataFrame, prices: SpendSettings, by: list[str] | None = None) -> DataFrame:
@@ -30,7 +38,7 @@ def usage_totals(usage: DataFrame, prices: SpendSettings, by: list[str] | None =
         F.coalesce(F.sum("out_tokens"), F.lit(0)).alias("out_tokens"),
         F.count_if(F.coalesce("cache_hit", F.lit(False))).alias("cache_hits"),
     )
-    spent = F.round(cost_of("in_tokens", "out_tokens", prices), 4)
+    spent = rounded_cost("in_tokens", "out_tokens", prices)
     out = sums.withColumn("yuan", spent).withColumn("budget_yuan", F.lit(prices.budget))
     share = F.col("yuan") / F.lit(prices.budget) if prices.budget > 0 else F.lit(0.0)
     return out.withColumn("pct", share)
@@ -46,8 +54,7 @@ def budget_flags(spent: Column, prices: SpendSettings) -> tuple[Column, Column]:
 def running_spend(usage: DataFrame, order: list[str], prices: SpendSettings, partitions: int | None = None) -> DataFrame:
     """Running tokens and cost in log order, with the warn and over flags of each row."""
     totals = running_totals(usage, order, {"in_so_far": "in_tokens", "out_so_far": "out_tokens"}, partitions)
-    spent = cost_of("in_so_far", "out_so_far", prices)
-    flagged = totals.withColumn("yuan_so_far", F.round(spent, 4))
+    flagged = totals.withColumn("yuan_so_far", rounded_cost("in_so_far", "out_so_far", prices))
     warn, over = budget_flags(F.col("yuan_so_far"), prices)
     return flagged.withColumns({"warn": warn, "over": over})
 

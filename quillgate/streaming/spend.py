@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgate.operators.ledger import budget_flags, cost_of
+from quillgate.operators.ledger import budget_flags, rounded_cost
 from quillgate.settings import SpendSettings
 
 
@@ -25,7 +25,7 @@ def windowed_spend(usage: DataFrame, prices: SpendSettings, window: str = "10 mi
         F.col("_w.start").alias("window_start"),
         F.col("_w.end").alias("window_end"),
         "stage", "calls", "in_tokens", "out_tokens",
-        F.round(cost_of("in_tokens", "out_tokens", prices), 4).alias("yuan"),
+        rounded_cost("in_tokens", "out_tokens", prices).alias("yuan"),
     )
 
 
@@ -34,6 +34,6 @@ def running_stage_spend(usage: DataFrame, prices: SpendSettings) -> DataFrame:
     sums = usage.groupBy("stage").agg(
         F.count("*").alias("calls"), F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens")
     )
-    spent = sums.withColumn("yuan", F.round(cost_of("in_tokens", "out_tokens", prices), 4))
+    spent = sums.withColumn("yuan", rounded_cost("in_tokens", "out_tokens", prices))
     warn, over = budget_flags(F.col("yuan"), prices)
     return spent.withColumns({"warn": warn, "over": over})
