@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgate.catalog import oracle_parts as o
 from quillgate.catalog.derived import CANDIDATES_CTE, POOL_CTE, PROMPT, candidates, pools, score_of_key, sql_score_of_key
+from quillgate.catalog.derived import at_least_parallel
 from quillgate.catalog.derived import table as t
 from quillgate.functions import facts, noise, penalties, replies, style, tags, text
 from quillgate.functions.facts import FactPack
@@ -43,6 +44,11 @@ def big(column):
     return column.cast("bigint")
 
 
+def long_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, read with at least one partition per core."""
+    return at_least_parallel(t(spark, sf_dir, name))
+
+
 def joined(column):
     return F.array_join(column, "|")
 
@@ -66,7 +72,7 @@ def _(spark, sf):
 @query("nfkc_round_trip", "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
 def _(spark, sf):
     wide = F.translate("text", "abcdefgh 0123456789", "ａｂｃｄｅｆｇｈ　０１２３４５６７８９")
-    return t(spark, sf, "documents").select("doc_id", F.md5(text.nfkc(wide)).alias("digest"))
+    return long_texts(spark, sf, "documents").select("doc_id", F.md5(text.nfkc(wide)).alias("digest"))
 
 
 @query("sentence_count", r"""
@@ -74,7 +80,7 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, '|'
   SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[。！？!?\n;；]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))),
     lambda x: x <> '') AS s FROM documents)""")
 def _(spark, sf):
-    s = t(spark, sf, "documents").select("doc_id", text.sentences("text").alias("s"))
+    s = long_texts(spark, sf, "documents").select("doc_id", text.sentences("text").alias("s"))
     return s.select("doc_id", big(F.size("s")).alias("n_sentences"), F.md5(joined(F.col("s"))).alias("digest"))
 
 
@@ -303,7 +309,7 @@ SELECT doc_id, array_to_string({o.terms('t', _LATIN_TERMS)}, '|') AS polarity,
     lambda x: replace(x, ',', '')))), '|') AS vals
 FROM (SELECT doc_id, nfc_normalize(text) AS t FROM documents)""")
 def _(spark, sf):
-    f = t(spark, sf, "documents").select("doc_id", facts.extract_facts("text", LATIN_FACTS).alias("f"))
+    f = long_texts(spark, sf, "documents").select("doc_id", facts.extract_facts("text", LATIN_FACTS).alias("f"))
     return f.select("doc_id", joined(F.col("f.polarity")).alias("polarity"), joined(F.col("f.value")).alias("vals"))
 
 
@@ -419,7 +425,7 @@ SELECT doc_id, n_license + n_shout + n_mail + n_marks > 0 AS traced, n_license,
     CAST(len(regexp_extract_all(text, '(?i)[a-z0-9._]+@[a-z0-9.]+')) AS BIGINT) AS n_mail,
     CAST(len(regexp_extract_all(text, '[#$%&*]{3}')) AS BIGINT) AS n_marks FROM documents)""")
 def _(spark, sf):
-    r = t(spark, sf, "documents").select("doc_id", style.trace_report("text", LATIN_STYLE).alias("r"))
+    r = long_texts(spark, sf, "documents").select("doc_id", style.trace_report("text", LATIN_STYLE).alias("r"))
     return r.select("doc_id", F.col("r.has_rag_style").alias("traced"), *[
         big(F.coalesce(F.col("r.n_by_type")[c.name], F.lit(0))).alias(f"n_{c.name}") for c in LATIN_STYLE.categories])
 
@@ -457,7 +463,7 @@ def _top(text_sql: str, size: int) -> str:
 @query("ngram_max_count", f"""
 SELECT conv_id, turn, CAST({_top('text', 3)} AS BIGINT) AS top_3, CAST({_top('text', 8)} AS BIGINT) AS top_8 FROM conversations""")
 def _(spark, sf):
-    g = t(spark, sf, "conversations").select("conv_id", "turn", penalties.gram_counts("text", (3, 8)).alias("g"))
+    g = long_texts(spark, sf, "conversations").select("conv_id", "turn", penalties.gram_counts("text", (3, 8)).alias("g"))
     return g.select("conv_id", "turn", big(F.col("g")[0]).alias("top_3"), big(F.col("g")[1]).alias("top_8"))
 
 
@@ -468,7 +474,7 @@ SELECT doc_id, round(least(0.8, CASE WHEN length(c) < 80 THEN 0 ELSE
 FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS c FROM documents)""")
 def _(spark, sf):
     p = penalties.repeat_penalty("text", DEFAULTS.reward)
-    return t(spark, sf, "documents").select("doc_id", F.round(p, 4).alias("penalty"))
+    return long_texts(spark, sf, "documents").select("doc_id", F.round(p, 4).alias("penalty"))
 
 
 @query("length_penalty", """
