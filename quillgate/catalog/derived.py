@@ -84,8 +84,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pools(cand: DataFrame) -> DataFrame:
     from quillgate.operators.candidates import nest_in_order
 
-    sampled = cand.filter("l_tax <= 0.045")
-    # One part per question: an order has few lines.
+    # Equal answers of a question are merged before the shuffle; the first one gives the place.
+    sampled = cand.filter("l_tax <= 0.045").groupBy("qid", "answer").agg(F.min("cand_idx").alias("cand_idx"))
+    # One part per question: its distinct answers.
     return nest_in_order(sampled, ["qid"], "cand_idx", "answer", "pool_answers", 1 << 62).drop("part")
 
 

@@ -20,6 +20,7 @@ from quillgate.functions.facts import FactPack
 from quillgate.functions.style import Category, StylePack
 from quillgate.operators import calibrate, dedup, joins, ledger, ranking, rewards, scorecard, scores
 from quillgate.operators import candidates as cands
+from quillgate.operators.pools import facts_by_key
 from quillgate.plans import training_rows, upstream
 from quillgate.settings import DEFAULTS, SpendSettings
 from quillgate.sources.settle import checkpoint_dir, settled
@@ -328,10 +329,9 @@ FROM (SELECT *, {o.terms('answer', o.TERMS)} AS pol FROM cand) a
 JOIN (SELECT qid, list_distinct(flatten(list({o.terms('answer', o.TERMS)}))) AS pol FROM cand WHERE l_linenumber <= 2 GROUP BY qid) b USING (qid)""")
 def _(spark, sf):
     cand = candidates(spark, sf)
-    terms = cand.select("qid", "cand_idx", "l_linenumber", facts.extract_facts("answer")["polarity"].alias("pol"))
-    # Union of the first answers' terms: distinct (qid, term) rows, so no unbounded list is ever built.
-    known = terms.filter("l_linenumber <= 2").select("qid", F.explode_outer("pol").alias("term")).distinct()
-    allowed = known.groupBy("qid").agg(F.collect_set("term").alias("allowed"))
+    terms = cand.select("qid", "cand_idx", facts.extract_facts("answer")["polarity"].alias("pol"))
+    known = facts_by_key(cand.filter("l_linenumber <= 2"), "qid", "answer")
+    allowed = known.select("qid", F.col("facts.polarity").alias("allowed"))
     both = joins.join_unique(terms, allowed, "qid", how="inner")
     return both.select("qid", "cand_idx", (F.size(F.array_except("pol", "allowed")) == 0).alias("inside"))
 
@@ -360,7 +360,8 @@ WITH {CANDIDATES_CTE}, {POOL_CTE} SELECT qid, array_to_string(p_pol, '|') AS pol
     CASE WHEN len(p_date) > 0 THEN '涉及日期/期限：' || array_to_string(p_date, '、') END) AS anchor
 FROM (SELECT qid, {o.facts("array_to_string(pool_answers, '#')", 'p')} FROM pool)""")
 def _(spark, sf):
-    f = pools(candidates(spark, sf)).select("qid", facts.extract_facts(facts.pool_text("pool_answers")).alias("f"))
+    sampled = candidates(spark, sf).filter("l_tax <= 0.045")
+    f = facts_by_key(sampled, "qid", "answer").withColumnRenamed("facts", "f")
     return f.select("qid", joined(F.col("f.polarity")).alias("polarity"), joined(F.col("f.value")).alias("vals"),
                     joined(F.col("f.date")).alias("dates"), facts.pool_is_trainable(F.col("f")).alias("trainable"),
                     facts.anchor_text(F.col("f")).alias("anchor"))
@@ -378,7 +379,7 @@ WITH {_WITH_FACTS} SELECT qid, cand_idx, in_pool, comparable, reason, array_to_s
   CAST(len(p_pol) + len(p_val) + len(p_date) AS BIGINT) AS pool_size FROM judged""")
 def _(spark, sf):
     cand = candidates(spark, sf)
-    target = pools(cand).select("qid", facts.extract_facts(facts.pool_text("pool_answers")).alias("p"))
+    target = facts_by_key(cand.filter("l_tax <= 0.045"), "qid", "answer").withColumnRenamed("facts", "p")
     none = facts.extract_facts(F.lit(""), normalise=False)
     both = joins.join_unique(cand, target, "qid").withColumn("m", facts.extract_facts("answer"))
     both = both.withColumn("p", F.coalesce("p", none))
@@ -630,7 +631,7 @@ _REWARD_SQL = """CASE gate WHEN 'format' THEN -4 WHEN 'out_of_pool' THEN -3 WHEN
 
 def _reward_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
     cand = candidates(spark, sf)
-    pooled = pools(cand)
+    pooled = settled(pools(cand))  # the pool is a table of its own in a run
     prompts = pooled.select("qid", F.to_json("pool_answers").alias("v1_answers_json"))
     # Only candidates of prompts with a pool take part, as in an online run.
     usable = pooled.filter(F.exists("pool_answers", lambda a: ~text.is_blank(a))).select("qid")
@@ -665,10 +666,9 @@ def _(spark, sf):
 
 
 def _selection_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rollouts, base rows and pools: a question's base reasoning is that of its smallest candidate."""
+    """Candidates, base rows and pools: a question's base reasoning is that of its smallest candidate."""
     cand = candidates(spark, sf)
-    nested = cands.nest_in_order(cand, ["qid"], "cand_idx", "text", "candidates", 1 << 62)
-    rollouts = nested.selectExpr("qid", "qid as query", f"{PROMPT} as user_prompt", "candidates")
+    rollouts = cand.selectExpr("qid", "qid as query", f"{PROMPT} as user_prompt", "cand_idx", "text")
     base = dedup.first_per_key(cand, "qid", "cand_idx").select(
         "qid", F.col("qid").alias("query"), F.expr(PROMPT).alias("user_prompt"), "answer",
         F.concat(F.lit("资料显示"), "think").alias("reasoning"), F.lit("train").alias("split"))
@@ -682,7 +682,7 @@ def _scores_for(keys: DataFrame) -> DataFrame:
 def _selected(spark, sf) -> DataFrame:
     """Survivors and screened candidates are tables of their own in a run: judge requests are made from them."""
     rollouts, base, pooled = _selection_inputs(spark, sf)
-    kept = settled(training_rows.survivors(rollouts, base, pooled))
+    kept = settled(training_rows.long_survivors(rollouts, base, pooled))
     best = settled(training_rows.screened(kept, _scores_for(kept.select(F.col("screen_key").alias("key")))))
     keys = best.select(F.explode(F.array("select_key", "base_key")).alias("key"))
     return training_rows.confirmed(best, _scores_for(keys))
@@ -710,7 +710,7 @@ def _(spark, sf):
 
 @query("survivor_counts", f"WITH {_SELECT_CTE} SELECT qid, count(*) AS n_survivors FROM alive GROUP BY qid")
 def _(spark, sf):
-    return training_rows.survivor_counts(training_rows.survivors(*_selection_inputs(spark, sf)))
+    return training_rows.survivor_counts(training_rows.long_survivors(*_selection_inputs(spark, sf)))
 
 
 _WRAP = "'<think>' || chr(10) || {t} || chr(10) || '</think>' || chr(10) || chr(10) || '<answer>' || chr(10) || b_answer || chr(10) || '</answer>'"
@@ -743,7 +743,7 @@ def _(spark, sf):
 WITH {_SELECT_CTE} SELECT DISTINCT {o.key(_REF, 'think', 2)} AS key,
   md5('R' || {_REF} || 'T' || substring(think, 1, 4000) || 'E') AS prompt, 2 AS k FROM alive""")
 def _(spark, sf):
-    kept = training_rows.survivors(*_selection_inputs(spark, sf))
+    kept = training_rows.long_survivors(*_selection_inputs(spark, sf))
     short = replies.PromptPack(judge_template="R{reference}T{think}E")
     asked = training_rows.judge_requests(kept, "screen_key", "think", 2, short)
     return asked.select("key", F.md5("user").alias("prompt"), "k")

@@ -23,7 +23,7 @@ from quillgate.functions.style import StylePack, ZH_STYLE, has_trace
 from quillgate.functions.tags import references_of, wrap_completion
 from quillgate.functions.text import filled_question_id, first_non_empty, strip, stripped, text_or_empty
 from quillgate.operators.candidates import best_of, explode_candidates, gated_candidates
-from quillgate.operators.joins import leaked_questions, sample_keys, without_pool
+from quillgate.operators.joins import join_unique, leaked_questions, sample_keys, without_pool
 from quillgate.operators.ranking import hold_out_every, shuffled_limit
 from quillgate.operators.scores import require_select_k, with_scores
 from quillgate.settings import DEFAULTS, Settings
@@ -89,22 +89,41 @@ def survivors(rollouts: DataFrame, train: DataFrame, pool: DataFrame, settings:
     exploded: one shuffle on ``qid`` for all of them.  Questions without base reasoning
     are out.  ``train`` and ``pool`` are unique by ``qid``.
     """
-    facts_type = "struct<polarity:array<string>,value:array<string>,date:array<string>>"
-    no_facts = F.struct(*[F.array().cast("array<string>").alias(k) for k in ("polarity", "value", "date")])
     asked = rollouts.select(
         filled_question_id("qid", "query").alias("qid"), "query", "user_prompt", "candidates"
     )
-    joined = (
-        asked.join(_base_side(train, pool, settings, facts), "qid", "left")
-        .withColumn("pool_facts", F.coalesce("pool_facts", no_facts.cast(facts_type)))
+    joined = _with_base(asked.join(_base_side(train, pool, settings, facts), "qid", "left"))
+    return _gated(explode_candidates(joined), settings, facts, style)
+
+
+def long_survivors(candidates: DataFrame, train: DataFrame, pool: DataFrame, settings: Settings = DEFAULTS,
+                   facts: FactPack = ZH_FACTS, style: StylePack = ZH_STYLE) -> DataFrame:
+    """The same for candidates in long form ``(qid, query, user_prompt, cand_idx, text)``.
+
+    A question may have any number of candidates: hot ones are spread in the join.
+    """
+    asked = candidates.select(
+        filled_question_id("qid", "query").alias("qid"), "query", "user_prompt", "cand_idx", "text"
+    )
+    joined = _with_base(join_unique(asked, _base_side(train, pool, settings, facts), "qid"))
+    return _gated(joined, settings, facts, style)
+
+
+def _with_base(joined: DataFrame) -> DataFrame:
+    """Drop questions without base reasoning; a missing pool holds no facts."""
+    facts_type = "struct<polarity:array<string>,value:array<string>,date:array<string>>"
+    no_facts = F.struct(*[F.array().cast("array<string>").alias(k) for k in ("polarity", "value", "date")])
+    return (
+        joined.withColumn("pool_facts", F.coalesce("pool_facts", no_facts.cast(facts_type)))
         .withColumn("references", references_of("user_prompt"))
         .filter(F.coalesce("base_think", F.lit("")) != "")
     )
-    version = settings.spend.cache_version
-    gates = settings.gates
+
+
+def _gated(candidates: DataFrame, settings: Settings, facts: FactPack, style: StylePack) -> DataFrame:
+    version, gates = settings.spend.cache_version, settings.gates
     k_select = require_select_k(gates.k_select, gates.min_select_k)
-    kept = gated_candidates(explode_candidates(joined), facts, style)
-    return kept.withColumns(
+    return gated_candidates(candidates, facts, style).withColumns(
         {
             "screen_key": score_key(version, "references", "think", gates.k_screen),
             "select_key": score_key(version, "references", "think", k_select),

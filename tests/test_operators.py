@@ -228,3 +228,15 @@ def test_settings_keep_the_selection_requirement():
     gates = DEFAULTS.gates
     assert gates.k_select >= 16 and gates.k_screen < gates.k_select
     assert math.isclose(DEFAULTS.noise.sigma_judge, 0.74)
+
+
+def test_facts_by_key_equals_reading_the_joined_pool(spark):
+    from quillgate.functions.facts import extract_facts, pool_text
+    from quillgate.operators.pools import facts_by_key
+
+    rows = [("hot", f"免征，{i % 7}万元，自202{i % 3}年起") for i in range(300)] + [("b", "空话"), ("c", None), ("c", "不超过5%")]
+    df = spark.createDataFrame(rows, "qid string, answer string").repartition(5)
+    got = {r.qid: r.facts.asDict() for r in facts_by_key(df, "qid", "answer").collect()}
+    joined = df.groupBy("qid").agg(F.collect_list("answer").alias("a"))
+    want = {r.qid: r.f.asDict() for r in joined.select("qid", extract_facts(pool_text("a")).alias("f")).collect()}
+    assert got == want and len(got["hot"]["value"]) == 7 and got["b"]["value"] == []

@@ -325,6 +325,9 @@ def test_selection_against_a_loop(spark):
         got.setdefault(r.qid, []).append((r.cand_idx, r.think))
     assert {q: sorted(v) for q, v in got.items()} == expected
     assert "q11" not in got and len(expected) > 6
+    long = roll_df.select("qid", "query", "user_prompt", F.posexplode("candidates").alias("cand_idx", "text"))
+    same = training_rows.long_survivors(long, train_df, pool_df).select(kept.columns)
+    assert sorted(map(str, same.collect())) == sorted(map(str, rows))
 
     best = training_rows.screened(kept, judge_table(spark, {r.screen_key for r in rows}))
     best_rows = {r.qid: r for r in best.collect()}
