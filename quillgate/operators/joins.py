@@ -31,9 +31,13 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     """
     hot = F.broadcast(hot_keys(left if count_from is None else count_from, key, min_rows))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
+    # The share follows from the row itself, so a task that is run again sends every row
+    # to the same place.  Rows of other keys are not hashed.
+    contents = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
+    share = F.when(copies > 1, F.pmod(F.xxhash64(*contents), copies)).otherwise(F.lit(0)).cast("int")
     spread = (
         left.join(hot, key, "left")
-        .withColumn("_salt", F.pmod(F.monotonically_increasing_id(), copies).cast("int"))
+        .withColumn("_salt", share)
         .drop("_copies")
     )
     copied = (
