@@ -48,5 +48,6 @@ def wide_hash(column: Column, name: str = "h") -> list[Column]:
 
 
 def ascii_lower(column: Column) -> Column:
-    """Lower-case A-Z only; other letters stay."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z only; other letters stay.  ASCII texts take the quicker way."""
+    translated = F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(translated)

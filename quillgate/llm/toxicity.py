@@ -43,8 +43,9 @@ class Settings:
     most_labelled: int = 20_000  #: bound of the labelled sample the classifier is fitted on
     smoothing: float = 1.0
     least_texts: int = 5  #: a feature occurs in so many labelled texts
-    least_z: float = 5.0  #: and its log-count ratio is so many standard errors from zero
-    penalty: float = 1e-3
+    least_z: float = 4.0  #: and its log-count ratio is so many standard errors from zero
+    least_ratio: float = 1.5  #: and at least so large
+    penalty: float = 1e-4
     steps: int = 400
     threshold: float = 0.3
 
@@ -131,19 +132,27 @@ def _picker(used: np.ndarray, settings: Settings):
 
 
 def _fit(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient steps over sparse features."""
-    values, w, b = scale[columns], np.zeros(len(scale)), 0.0
-    norm = np.bincount(rows, values**2, minlength=len(y)).max(initial=0) + 1
-    vw, vb, pace = w, b, 4.0 / norm
+    """Logistic regression by accelerated gradient steps over sparse features; the intercept is the last weight."""
+    n, k = len(y), len(scale) + 1
+    rows = np.concatenate((rows, np.arange(n)))
+    columns = np.concatenate((columns, np.full(n, k - 1)))
+    values = np.append(scale, 1.0)[columns]
+    times = lambda w: np.bincount(rows, values * w[columns], minlength=n)
+    back = lambda g: np.bincount(columns, values * g[rows], minlength=k)
+    v = np.ones(k) / np.sqrt(k)
+    for _ in range(20):  # the largest curvature bounds the step
+        v = back(times(v))
+        curve = float(np.linalg.norm(v))
+        v /= curve
+    shrink = np.full(k, settings.penalty)
+    shrink[-1] = 0
+    pace = 1 / (0.26 * curve + n * settings.penalty)
+    w = look = np.append(np.zeros(k - 1), np.log((y.sum() + 1) / (n - y.sum() + 1)))
     for step in range(settings.steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * vw[columns], minlength=len(y)) + vb, -30, 30)))
-        g = p - y
-        nw = vw - pace * len(y) * (np.bincount(columns, values * g[rows], minlength=len(scale)) / len(y) + settings.penalty * vw)
-        nw = nw if np.isfinite(nw).all() else w
-        nb = vb - pace * g.sum()
-        k = step / (step + 3)
-        vw, vb, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
-    return w, b
+        p = 1 / (1 + np.exp(-np.clip(times(look), -30, 30)))
+        new = look - pace * (back(p - y) + n * shrink * look)
+        look, w = new + step / (step + 3) * (new - w), new
+    return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -175,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     share = (counts + settings.smoothing) / (n[:, None] + 2 * settings.smoothing)
     ratio = np.log(share[1] / share[0])
     error = np.sqrt((1 - share[1]) / (counts[1] + settings.smoothing) + (1 - share[0]) / (counts[0] + settings.smoothing))
-    used = (counts.sum(axis=0) >= settings.least_texts) & (np.abs(ratio) >= settings.least_z * error)
+    used = (counts.sum(axis=0) >= settings.least_texts) & (np.abs(ratio) >= np.maximum(settings.least_z * error, settings.least_ratio))
     if not used.any():
         return flat
     sample = texts.mapInArrow(_picker(used, settings), "toxic int, features array<int>").toPandas()
