@@ -127,16 +127,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, u.at, u.line, translate(trim(u.line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+  SELECT doc_id, u.pos, u.line, translate(trim(u.line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d,
-       LATERAL (SELECT unnest(d.l) AS line, generate_subscripts(d.l, 1) AS at) u
+       LATERAL (SELECT unnest(d.l) AS line, generate_subscripts(d.l, 1) AS pos) u
 ), common AS (
   SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
 ), marked AS (
   SELECT l.*, c.key IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.key = c.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
