@@ -123,11 +123,11 @@ def verified_hits(docs: DataFrame, items: DataFrame, settings: Settings = Settin
     candidates = written(found.groupBy("doc").agg(F.collect_list(F.struct("start", "phrase", "words")).alias("candidates")), "candidates")
     rows = documents_of(docs).select(row_key().alias("doc"), "text").join(candidates, "doc")
     rows = rows.select("doc", "candidates", words_of(F.col("text")).alias("all"))
-    true = F.filter("candidates", lambda c: F.slice(F.col("all"), c["start"] + 1, F.size(c["words"])) == c["words"])
-    spans = F.transform("true", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))
-    hits = rows.select("doc", true.alias("true")).where("size(true) > 0").select(
+    met = F.filter("candidates", lambda c: F.slice(F.col("all"), c["start"] + 1, F.size(c["words"])) == c["words"])
+    spans = F.transform("met", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))
+    hits = rows.select("doc", met.alias("met")).where("size(met) > 0").select(
         "doc", F.size(F.array_distinct(F.flatten(spans))).cast("bigint").alias("n_hit"),
-        F.array_distinct(F.transform("true", lambda c: c["phrase"])).alias("phrases"),
+        F.array_distinct(F.transform("met", lambda c: c["phrase"])).alias("phrases"),
     )
     named = hits.select("doc", "n_hit", F.explode("phrases").alias("phrase")).join(phrases.select("phrase", "item_id"), "phrase")
     return written(
@@ -167,12 +167,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
-         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+         [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
   FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w
   FROM benchmark
 ), grams AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s : s + 9], ' ') AS g
