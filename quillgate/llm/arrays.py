@@ -101,7 +101,7 @@ class Texts:
         return prefix_hashes(_BYTE[self.data])
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, Texts]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
     """Cut a text column into row ranges of about ``most_bytes``; a longer text is alone.
 
     Nulls are empty texts.
