@@ -51,3 +51,11 @@ def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only; other letters stay.  ASCII texts take the quicker way."""
     translated = F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(translated)
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, as a lambda variable.
+
+    An expression used inside a lambda would otherwise be computed again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
