@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgate.llm.shared import ascii_lower, documents_of, table, written
+from quillgate.llm.shared import ascii_lower, bound, documents_of, table, written
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,10 +53,13 @@ def phrases_of(items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ``phrase`` is a hash of the words: items that share a window share the phrase.
     """
     n = settings.window
-    words = items.select("item_id", words_of(F.col("text").cast("string")).alias("all")).where(F.size("all") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("all") - n + 1, F.lit(1)))
-    cut = words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice(F.col("all"), s, F.lit(n)))).alias("words"))
-    return cut.select("item_id", F.xxhash64("words").alias("phrase"), "words").distinct()
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda s: F.slice(words, s, F.lit(n)))
+
+    each = items.select("item_id", F.explode(bound(words_of(F.col("text").cast("string")), cut)).alias("words")).where(F.size("words") > 0)
+    return each.select("item_id", F.xxhash64("words").alias("phrase"), "words").distinct()
 
 
 def build_index(docs: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -122,8 +125,7 @@ def verified_hits(docs: DataFrame, items: DataFrame, settings: Settings = Settin
     # A document's candidates are at most its own starts times the phrases that share anchors.
     candidates = written(found.groupBy("doc").agg(F.collect_list(F.struct("start", "phrase", "words")).alias("candidates")), "candidates")
     rows = documents_of(docs).select(row_key().alias("doc"), "text").join(candidates, "doc")
-    rows = rows.select("doc", "candidates", words_of(F.col("text")).alias("all"))
-    met = F.filter("candidates", lambda c: F.slice(F.col("all"), c["start"] + 1, F.size(c["words"])) == c["words"])
+    met = bound(words_of(F.col("text")), lambda words: F.filter("candidates", lambda c: F.slice(words, c["start"] + 1, F.size(c["words"])) == c["words"]))
     spans = F.transform("met", lambda c: F.sequence(c["start"], c["start"] + F.size(c["words"]) - 1))
     hits = rows.select("doc", met.alias("met")).where("size(met) > 0").select(
         "doc", F.size(F.array_distinct(F.flatten(spans))).cast("bigint").alias("n_hit"),

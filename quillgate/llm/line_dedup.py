@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.llm.shared import ascii_lower, documents_of, table, wide_hash, written
+from quillgate.llm.shared import ascii_lower, bound, documents_of, table, wide_hash, written
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -115,9 +115,12 @@ def drop_common_lines(docs: DataFrame, settings: Settings = Settings(), keep: li
 def _without(lines: Column, dropped: Column) -> Column:
     """The other lines, joined: the stretches between the sorted dropped positions."""
     before = F.concat(F.array(F.lit(-1)), dropped)
-    after = F.concat(dropped, F.array(F.size(lines)))
-    stretches = F.zip_with(before, after, lambda a, b: F.slice(lines, a + 2, b - a - 1))
-    return F.array_join(F.flatten(stretches), "\n")
+
+    def stretches(lines: Column) -> Column:
+        after = F.concat(dropped, F.array(F.size(lines)))
+        return F.zip_with(before, after, lambda a, b: F.slice(lines, a + 2, b - a - 1))
+
+    return F.array_join(F.flatten(bound(lines, stretches)), "\n")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
