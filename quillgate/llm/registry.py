@@ -5,16 +5,19 @@ from __future__ import annotations
 from quillgate.llm.decontaminate import OP2_SQL, op2_decontamination
 from quillgate.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillgate.llm.quality import op5_quality
+from quillgate.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from quillgate.llm.toxicity import op1_toxicity
 
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
 }
 
 LLM_ORACLES = {
     "op2_decontamination": OP2_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
 }
