@@ -73,7 +73,8 @@ class LineRuns:
 
     def common(self) -> DataFrame:
         """Keys found in at least ``least_docs`` documents over all batches."""
-        return _merged(self.runs()).where(F.col("n_docs") >= self.settings.least_docs).select("h1", "h2")
+        found = _merged(self.runs()).where(F.col("n_docs") >= self.settings.least_docs).select("h1", "h2")
+        return written(found, "common-lines")  # as a table of its own, a join to it can be split where a line is hot
 
 
 def _merged(runs: list[DataFrame]) -> DataFrame:
