@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillgate.llm.decontaminate import OP2_SQL, op2_decontamination
+from quillgate.llm.jaccard_join import op10_jaccard_join
 from quillgate.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillgate.llm.quality import op5_quality
 from quillgate.llm.substring_dedup import OP6_SQL, op6_substring_dedup
@@ -14,6 +15,7 @@ LLM_QUERIES = {
     "op5_quality": op5_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 LLM_ORACLES = {

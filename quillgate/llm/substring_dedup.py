@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgate.llm.arrays import mix, prefix_hashes, range_hashes, slices, windows
+from quillgate.llm.packing import packed, unpacked
 from quillgate.llm.shared import documents_of, table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -100,29 +101,12 @@ def _ranges(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray,
     return row, np.asarray(flat.field("a")).astype(np.int64), np.asarray(flat.field("b")).astype(np.int64)
 
 
-def _text_of(blob: pa.Array) -> pa.Array:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return pa.array([unpack(x) for x in blob.to_pylist()], pa.large_binary()).cast(pa.large_string(), safe=False)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes: the shuffles of whole texts carry a third of the size."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            yield pa.RecordBatch.from_pydict({
-                "row": part.column("row"), "doc_id": part.column("doc_id"),
-                "blob": pa.array([pack((x or "").encode("utf-8", "surrogatepass")) for x in part.column("text").to_pylist()], pa.binary()),
-            })
-
-
 def _opened(settings: Settings):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                for lo, hi, texts in slices(_text_of(batch.column("blob"))):
+                for lo, hi, texts in slices(unpacked(batch.column("blob"))):
                     starts, ends, first = texts.words()
                     start, row, h1, h2 = windows(texts.word_hashes(starts, ends), first, settings.window, _SIDES)
                     r, a, b = _ranges(batch.column("ranges"), lo, hi)
@@ -185,9 +169,8 @@ def repeated_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     told = live.join(first, ["s1", "s2"]).select("row", "a", "b", (F.col("doc_id") > F.col("first")).alias("gone"), "mixed")
     told = written(told, "told-runs")
     to_open = told.where("mixed AND NOT gone").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    packed = rows.mapInArrow(_packed, "row long, doc_id long, blob binary")
     single = written(
-        packed.join(to_open, "row").mapInArrow(_opened(settings), "row long, doc_id long, h1 long, h2 long, at int"), "windows"
+        packed(rows).join(to_open, "row").mapInArrow(_opened(settings), "row long, doc_id long, h1 long, h2 long, at int"), "windows"
     )
     earliest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     more = single.join(earliest, ["h1", "h2"]).where("doc_id > lo").select("row", F.col("at").alias("a"), F.col("at").alias("b"))
@@ -200,14 +183,14 @@ def without_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     (the other words, joined by a space): one row for each row of ``docs``."""
     ranges = written(repeated_ranges(docs, settings), "ranges")
     rows = documents_of(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    packed = rows.mapInArrow(_packed, "row long, doc_id long, blob binary").join(ranges, "row", "left").select("doc_id", "blob", "ranges")
-    out = packed.mapInArrow(_kept(settings), "doc_id long, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept binary")
+    wide = packed(rows).join(ranges, "row", "left").select("doc_id", "blob", "ranges")
+    out = wide.mapInArrow(_kept(settings), "doc_id long, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept binary")
     return out.withColumn("kept_text", F.col("kept").cast("string")).drop("kept")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "removed")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 OP6_SQL = r"""
