@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillgate.llm.decontaminate import OP2_SQL, op2_decontamination
 from quillgate.llm.jaccard_join import op10_jaccard_join
 from quillgate.llm.line_dedup import OP8_SQL, op8_line_dedup
+from quillgate.llm.mixing import op4_mixing
 from quillgate.llm.quality import op5_quality
 from quillgate.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from quillgate.llm.toxicity import op1_toxicity
@@ -12,6 +13,7 @@ from quillgate.llm.toxicity import op1_toxicity
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
