@@ -94,7 +94,7 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, settings: Settings =
     sums = sorted(((r["source"], r["n"]) for r in cells.groupBy("source").agg(F.sum("cell_size").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     goals = [(s, n, t) for (s, n), t in zip(sums, targets(sums, settings), strict=True)]
     plan = docs.sparkSession.createDataFrame(goals, "planned string, source_size bigint, target double")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
+    epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("bigint")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     before = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # ``cells`` rows for each source
     offsets = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))

@@ -9,6 +9,8 @@ from quillgate.llm.mixing import op4_mixing
 from quillgate.llm.quality import op5_quality
 from quillgate.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from quillgate.llm.toxicity import op1_toxicity
+from quillgate.llm.url_filter import op7_url_filter
+from quillgate.llm.warc import OP9_SQL, op9_warc
 
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -16,7 +18,9 @@ LLM_QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
+    "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -24,4 +28,5 @@ LLM_ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_warc": OP9_SQL,
 }
