@@ -7,6 +7,7 @@ from quillgate.llm.jaccard_join import op10_jaccard_join
 from quillgate.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillgate.llm.mixing import op4_mixing
 from quillgate.llm.quality import op5_quality
+from quillgate.llm.secret_scan import op3_secret_scan
 from quillgate.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from quillgate.llm.toxicity import op1_toxicity
 from quillgate.llm.url_filter import op7_url_filter
@@ -15,6 +16,7 @@ from quillgate.llm.warc import OP9_SQL, op9_warc
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_secret_scan": op3_secret_scan,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_substring_dedup": op6_substring_dedup,
