@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgate.llm.shared import ascii_lower, bound, documents_of, table, written
+from quillgate.llm.shared import ascii_lower, bound, carried, documents_of, fields, table, written
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -154,8 +154,8 @@ def decontamination_report(docs: DataFrame, items: DataFrame, settings: Settings
 
 def clean_documents(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark window."""
-    hits = verified_hits(docs, items, settings).select(F.col("doc").alias("__doc"))
-    return docs.withColumn("__doc", row_key()).join(hits, "__doc", "left_anti").drop("__doc")
+    hits = verified_hits(docs, items, settings).select(F.col("doc").alias("row"))
+    return carried(docs).join(hits, "row", "left_anti").select(*fields(docs.columns))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.llm.shared import ascii_lower, bound, documents_of, table, wide_hash, written
+from quillgate.llm.shared import ascii_lower, bound, carried, documents_of, table, wide_hash, written
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -84,32 +84,31 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def drop_common_lines(docs: DataFrame, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` (doc_id by default), then ``n_lines``, ``n_dropped`` and
-    ``kept_text``: one row for each row of ``docs``."""
-    keep = ["doc_id"] if keep is None else keep
+def common_lines_of(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``(row, dropped)``: the places of common lines, for the rows that have any."""
     # One 64-bit key for a row: equal rows share it, and share their lines too.
     rows = documents_of(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     lines = rows.select("doc_id", "row", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("at", "key"))
     keyed = written(
-        lines.select("doc_id", "row", "at", *[
-            F.when(F.length("key") >= settings.least_chars, h).alias(n) for h, n in zip(wide_hash(F.col("key")), ("h1", "h2"))
-        ]),
-        "line-keys",
+        lines.where(F.length("key") >= settings.least_chars).select("doc_id", "row", "at", *wide_hash(F.col("key"))), "line-keys"
     )
     runs = LineRuns(settings)
     for k in range(settings.batches):
-        runs.add(keyed.where("h1 IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(settings.batches)) == k))
-    hit = (
-        keyed.where("h1 IS NOT NULL").join(runs.common(), ["h1", "h2"]).groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
-    )
-    wide = docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("__text"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("__row"))
-    joined = wide.join(hit.withColumnRenamed("row", "__row"), "__row", "left").withColumn("__lines", lines_of(F.col("__text")))
+        runs.add(keyed.where(F.pmod(F.xxhash64("doc_id"), F.lit(settings.batches)) == k))
+    return keyed.join(runs.common(), ["h1", "h2"]).groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
+
+
+def drop_common_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``whole`` (the columns of ``docs`` as a struct), ``n_lines``, ``n_dropped`` and ``kept_text``:
+    one row for each row of ``docs``."""
+    joined = carried(docs).join(common_lines_of(docs, settings), "row", "left")
+    text = F.coalesce(F.col("whole").getField("text").cast("string"), F.lit(""))
+    clean = F.col("dropped").isNull()
     return joined.select(
-        *[F.col(c) for c in keep],
-        F.size("__lines").cast("bigint").alias("n_lines"),
-        F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped")).cast("bigint").alias("n_dropped"),
-        F.when(F.col("dropped").isNull(), F.coalesce("__text", F.lit(""))).otherwise(_without(F.col("__lines"), F.col("dropped"))).alias("kept_text"),
+        "whole",
+        F.size(lines_of(text)).cast("bigint").alias("n_lines"),
+        F.when(clean, F.lit(0)).otherwise(F.size("dropped")).cast("bigint").alias("n_dropped"),
+        F.when(clean, text).otherwise(_without(lines_of(text), F.col("dropped"))).alias("kept_text"),
     )
 
 
@@ -126,7 +125,7 @@ def _without(lines: Column, dropped: Column) -> Column:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_common_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select(F.col("whole.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""

@@ -26,6 +26,21 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *[F.col(c) for c in more])
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """``whole``, every column of ``docs`` in one struct, and ``row``, a hash of id and text.
+
+    Operators that return the rows they got work beside the struct, so that no column of
+    theirs can clash with one of the table's, and the text is carried once.
+    """
+    row = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row.alias("row"))
+
+
+def fields(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of ``whole`` again, some of them replaced."""
+    return [(changed[c] if c in changed else F.col("whole").getField(c)).alias(c) for c in columns]
+
+
 def written(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
     """Write a table once in the shared folder and read it back.
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgate.llm.arrays import SPACE, Texts, mix, range_hashes, slices
-from quillgate.llm.shared import documents_of, table
+from quillgate.llm.shared import carried, documents_of, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CHUNK = 1 << 12
@@ -197,27 +197,27 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return Model(weights, float(b), settings)
 
 
-def _scorer(m: Model, text_at: int, out_schema: pa.Schema):
+def _scorer(m: Model, carry: str, out_schema: pa.Schema):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = m.weights != 0
         for batch in batches:
+            kept = batch.column(carry)
             scores = np.full(batch.num_rows, m.intercept)
-            for at, to, texts in slices(batch.column(text_at)):
+            for at, to, texts in slices(kept.field("text") if carry == "whole" else batch.column("text")):
                 row, feature = _present(texts, m.settings, used)
                 scores[at:to] += np.bincount(row, m.weights[feature], minlength=to - at)
             scores = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-            kept = [c for k, c in enumerate(batch.columns) if k != text_at or "text" in out_schema.names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([kept, pa.array(scores)], schema=out_schema)
 
     return score
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The named columns (doc_id by default) and ``score``, one row for each row of ``docs``."""
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*[F.col(c) for c in keep if c != "text"], F.col("text").cast("string"))
-    out = T.StructType([f for f in rows.schema if f.name != "text" or "text" in keep] + [T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(model, len(rows.columns) - 1, to_arrow_schema(out)), out)
+def scored(docs: DataFrame, model: Model, carry: str = "doc_id") -> DataFrame:
+    """``doc_id`` and ``score``, one row for each row of ``docs``; with ``carry="whole"``, all its
+    columns as a struct in place of ``doc_id``."""
+    rows = carried(docs).select("whole") if carry == "whole" else documents_of(docs)
+    out = T.StructType([rows.schema[carry], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(model, carry, to_arrow_schema(out)), out)
 
 
 def held_out():
@@ -232,7 +232,7 @@ def train_on_open_rows(docs: DataFrame, labels: DataFrame, settings: Settings =
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, settings = table(spark, sf_dir, "documents"), Settings()
     model = train_on_open_rows(docs, table(spark, sf_dir, "labels"), settings)
-    return scored(docs.select("doc_id", "text"), model).select(
+    return scored(docs, model).select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= settings.threshold).cast("int").alias("predicted"),
     )

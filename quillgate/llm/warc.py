@@ -56,9 +56,12 @@ def url_key(url: Column) -> Column:
     return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest), F.lit(""))
 
 
-def write_archives(pages: DataFrame, path: str, settings: Settings = Settings()) -> None:
-    """Write ``pages`` (page_id, url, html, and ts if there is one) as gzip-compressed archives."""
-    ts = F.col("ts").cast("timestamp") if "ts" in pages.columns else F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)))
+def write_archives(pages: DataFrame, path: str, settings: Settings = Settings(), time: str | None = None) -> None:
+    """Write ``pages`` (page_id, url, html) as gzip-compressed archives.
+
+    ``time`` names a timestamp column; without one, captures are a second apart by page.
+    """
+    ts = F.col(time) if time else F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)))
     url = F.replace(F.replace(F.col("url").cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
