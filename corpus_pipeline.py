@@ -11,21 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgate.llm import decontaminate, jaccard_join, line_dedup, mixing, toxicity
-from quillgate.llm.shared import table, written
+from quillgate.llm.shared import carried, fields, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go.  Learns as ``op1`` does."""
     settings = toxicity.Settings()
     model = toxicity.train_on_open_rows(docs, table(spark, sf_dir, "labels"), settings)
-    return toxicity.scored(docs, model, keep=docs.columns).where(F.col("score") < settings.threshold).select(docs.columns)
+    return toxicity.scored(docs, model, carry="whole").where(F.col("score") < settings.threshold).select(*fields(docs.columns))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all of them; a null text stays null."""
-    kept = line_dedup.drop_common_lines(docs, keep=docs.columns)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+    kept = line_dedup.drop_common_lines(docs)
+    text = F.when(F.col("whole").getField("text").isNotNull(), F.col("kept_text"))
+    return kept.select(*fields(docs.columns, text=text, n_chars=F.char_length(text).cast("bigint")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +33,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join.joined(docs)
     firsts = found.where("doc_id = class_id").select("class_id", "row").distinct()
     stay = firsts.groupBy("class_id").agg(F.min("row").alias("row")).select("row").unionByName(found.where("doc_id IS NULL").select("row").distinct())
-    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    once = rows.withColumn("nth", F.row_number().over(W.partitionBy("row").orderBy("row"))).where("nth = 1 OR doc_id IS NULL")
-    return once.join(written(stay, "near-stay"), "row", "left_semi").select(docs.columns)
+    once = carried(docs).withColumn("nth", F.row_number().over(W.partitionBy("row").orderBy("row"))).where(
+        (F.col("nth") == 1) | F.col("whole").getField("doc_id").isNull()
+    )
+    return once.join(written(stay, "near-stay"), "row", "left_semi").select(*fields(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
