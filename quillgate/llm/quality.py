@@ -76,7 +76,8 @@ def weights_of(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
 
 def scores_of(docs: DataFrame, weights: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``(row, score)``, one for each distinct row with words."""
-    grams = documents_of(docs).select(row_key().alias("row"), F.explode(ngram_buckets(words_of(F.col("text")), settings.buckets)).alias("bucket"))
+    hashed = documents_of(docs).select(row_key().alias("row"), ngram_buckets(words_of(F.col("text")), settings.buckets).alias("buckets"))
+    grams = hashed.select("row", F.explode("buckets").alias("bucket"))  # the row key is computed before, not for every n-gram
     # The weight table has at most ``buckets`` rows of 12 bytes, whatever the input.
     return grams.join(F.broadcast(weights), "bucket").groupBy("row").agg(F.avg("weight").alias("score"))
 
