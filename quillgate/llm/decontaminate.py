@@ -65,7 +65,8 @@ def phrases_of(items: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def build_index(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Postings of all test terms over the whole texts."""
     terms = written(phrases.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("term")).distinct(), "terms")
-    tokens = documents_of(docs).select(row_key().alias("doc"), F.posexplode(words_of(F.col("text"))).alias("pos", "w"))
+    split = documents_of(docs).select(row_key().alias("doc"), words_of(F.col("text")).alias("all"))
+    tokens = split.select("doc", F.posexplode("all").alias("pos", "w"))  # the row key is computed before, not for every token
     return written(tokens.select(F.xxhash64("w").alias("term"), "doc", "pos").join(terms, "term"), "postings", sort=["term"])
 
 

@@ -75,9 +75,9 @@ def candidates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("row"), path.alias("path"),
-        F.explode(bound(words, found)).alias("c"),
+        bound(words, found).alias("all"),
     )
-    return rows.select(
+    return rows.select("doc_id", "row", "path", F.explode("all").alias("c")).select(
         "doc_id", "row", "path", "c.at", "c.value", "c.left1", "c.left2", "c.right1",
         F.rlike("c.word", F.lit("""^["'`].*["'`]""")).cast("int").alias("quoted"), F.coalesce(F.col("c.left1").isin("=", ":", ":=", "=>").cast("int"), F.lit(0)).alias("assigned"),
     ).distinct()
