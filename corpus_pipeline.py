@@ -15,10 +15,14 @@ from quillgate.llm.shared import carried, fields, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go.  Learns as ``op1`` does."""
+    """Documents whose score reaches the threshold go.  Learns as ``op1`` does.
+
+    A text without any evidence, whose score is the base score, stays whatever the base is.
+    """
     settings = toxicity.Settings()
     model = toxicity.train_on_open_rows(docs, table(spark, sf_dir, "labels"), settings)
-    return toxicity.scored(docs, model, carry="whole").where(F.col("score") < settings.threshold).select(*fields(docs.columns))
+    clean = (F.col("score") < settings.threshold) | (F.col("score") <= F.lit(model.base_score))
+    return toxicity.scored(docs, model, carry="whole").where(clean).select(*fields(docs.columns))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

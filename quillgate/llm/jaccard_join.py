@@ -41,7 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def choose_bands(threshold: float, recall: float, most_hashes: int) -> tuple[int, int]:
     """(bands, rows): as many rows in a band as ``most_hashes`` allow at the target recall."""
     for rows in range(most_hashes, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold**rows < 1 else 1
+        chance = threshold**rows  # that a pair at the threshold agrees in one band
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-chance)) if 0 < chance < 1 else int(chance) or most_hashes + 1
         if bands * rows <= most_hashes:
             return bands, rows
     raise ValueError("no bands reach the recall with so few hashes")

@@ -58,6 +58,11 @@ class Model:
     intercept: float
     settings: Settings
 
+    @property
+    def base_score(self) -> float:
+        """The score of a text without features."""
+        return float(1 / (1 + np.exp(-np.clip(self.intercept, -30, 30))))
+
 
 def _grams(texts: Texts, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(byte start, feature) of every n-gram, one order at a time.  White space is one class."""

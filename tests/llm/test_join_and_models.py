@@ -1,0 +1,326 @@
+"""Jaccard join, toxicity, mixing, urls, archives, secrets and the pipeline."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quillgate.llm import jaccard_join, mixing, secret_scan, toxicity, url_filter, warc
+
+from .conftest import CLASHES, awkward_texts, sentence, with_clashes
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if x]
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_groups(texts, threshold=0.8):
+    """(doc_id, class_id, n_links, text_id) of every row, by comparing all pairs of sets."""
+    known = [(i, shingles(t)) for i, t in texts]
+    rep = {}
+    for i, s in known:
+        if s and i is not None:
+            rep[s] = min(i, rep.get(s, i))
+    links, parent = Counter(), {s: s for s in rep}
+
+    def find(s):
+        while parent[s] is not s:
+            s = parent[s]
+        return s
+
+    sets = list(rep)
+    for k, a in enumerate(sets):
+        for b in sets[:k]:
+            both = len(a & b)
+            if both and both >= threshold * (len(a) + len(b) - both) - 1e-9:
+                links[a] += 1
+                links[b] += 1
+                parent[find(a)] = find(b)
+    least = defaultdict(lambda: 1 << 60)
+    for s in sets:
+        least[find(s)] = min(least[find(s)], rep[s])
+    return sorted(((i, least[find(s)], links[s], rep[s]) if s and i is not None else (i, i, 0, i) for i, s in known), key=repr)
+
+
+def rows_of(df, *names):
+    return sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
+
+
+def test_bands_reach_the_recall():
+    for threshold, recall in ((0.8, 0.9999), (0.5, 0.95)):
+        bands, rows = jaccard_join.choose_bands(threshold, recall, 128)
+        assert bands * rows <= 128 and 1 - (1 - threshold**rows) ** bands >= recall
+
+
+def test_awkward_rows_join(awkward):
+    got = rows_of(jaccard_join.joined(awkward), "doc_id", "class_id", "n_links", "text_id")
+    assert got == brute_groups(awkward_texts())
+
+
+def test_large_groups_are_counted_in_blocks(spark):
+    base = sentence(300, 160).split()
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for k in range(i % 4):
+            w[(i * 37 + k * 53) % 160] = f"edit{i}x{k}"
+        texts.append((i, " ".join(w)))
+    texts += [(200 + i, sentence(400 + i, 40)) for i in range(10)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = jaccard_join.joined(docs, jaccard_join.Settings(block=16, bin_rows=64))
+    assert rows_of(got, "doc_id", "class_id", "n_links", "text_id") == brute_groups(texts)
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (500, 499)]
+    got = jaccard_join.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    want = [(k, 0) for k in range(31)] + [(100 + k, 100) for k in range(50)] + [(499, 499), (500, 499)]
+    assert rows_of(got, "node", "root") == sorted(want, key=repr)
+
+
+def test_empty_join(nothing):
+    assert jaccard_join.joined(nothing).count() == 0
+
+
+@pytest.fixture(scope="module")
+def spoken(spark):
+    bad = ["zorgle", "blixen", "quamfit"]
+    rows = []
+    for i in range(400):
+        w = sentence(1000 + i, 60).split()
+        if i % 4 == 0:
+            w[10:10] = [bad[i % 3], bad[(i // 3) % 3].upper()]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+
+
+def test_toxic_texts_are_told_apart_on_held_out_rows(spoken):
+    docs, labels = spoken
+    model = toxicity.train_on_open_rows(docs, labels)
+    out = toxicity.scored(docs, model).join(labels, "doc_id").withColumn("held", toxicity.held_out()).where("held").collect()
+    assert len(out) > 50
+    right = [(r["score"] >= 0.3) == bool(r["toxic"]) for r in out]
+    assert sum(right) >= 0.97 * len(right)
+
+
+def test_a_long_text_keeps_its_single_insult(spoken, spark):
+    docs, labels = spoken
+    model = toxicity.train(docs, labels)
+    long = " ".join(sentence(1001, 60).split()[k * k % 60] for k in range(20_000))
+    rows = [(1, long), (2, long + " zorgle blixen quamfit"), (3, None), (4, ""), (5, "ab")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert got[2] > 0.5 > got[1]
+    assert got[3] == got[4] == got[5] and 0 <= got[3] <= 1
+
+
+def test_scores_are_sums_of_present_grams(spoken, spark):
+    docs, labels = spoken
+    model = toxicity.train(docs, labels)
+    texts = ["zorgle", "ZORGLE  zorgle", "é zorgle ü"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(rows, model).collect()}
+    import numpy as np
+
+    def weight(gram):
+        from quillgate.llm.arrays import Texts
+
+        raw = gram.encode()
+        t = Texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        n = len(gram)
+        return next(model.weights[f[0]] for k, (_, f) in zip(model.settings.orders, toxicity._grams(t, model.settings), strict=True) if k == n)
+
+    for i, t in enumerate(texts):
+        low = t.lower()
+        grams = {low[k : k + n] for n in model.settings.orders for k in range(len(low) - n + 1)}
+        z = model.intercept + sum(weight(g) for g in grams)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_training_needs_both_labels(awkward, labels, nothing):
+    model = toxicity.train(awkward, labels)
+    assert toxicity.scored(awkward, model).count() == len(awkward_texts())
+    one = toxicity.train(awkward, labels.where("toxic = 1"))
+    assert not one.weights.any()
+    none = toxicity.train(nothing, labels)
+    assert toxicity.scored(nothing, none).count() == 0 and not none.weights.any()
+
+
+def test_targets_share_the_excess():
+    got = mixing.targets([("a", 10), ("b", 100), ("c", 100), (None, 0)])
+    assert got[0] == 20 and got[3] == 0 and sum(got) == pytest.approx(315)
+    assert got[1] == pytest.approx(196.67, abs=0.01) and got[2] == pytest.approx(98.33, abs=0.01)
+    assert mixing.targets([]) == [] and mixing.targets([("a", 0)]) == [0]
+    assert mixing.targets([("a", 4)], mixing.Settings(share=9)) == [8]
+
+
+def test_mix_of_awkward_rows(awkward, labels, nothing):
+    got = mixing.mixed(awkward, labels).collect()
+    assert len(got) == len(awkward_texts())
+    sizes = sorted(len([x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]) for _, t in awkward_texts())
+    assert sorted(r["size"] for r in got) == sizes
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+    assert None in {r["source"] for r in got}
+    assert sorted(map(repr, mixing.mixed(awkward.repartition(7), labels).collect())) == sorted(map(repr, got))
+    assert mixing.mixed(nothing, labels).count() == 0
+
+
+def test_mix_meets_targets_and_follows_quality(spark):
+    rows = [(i, sentence(i, 5 + i % 20), "ab"[i % 7 == 0]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id bigint, quality int")
+    out = mixing.mixed(docs, labels, mixing.Settings(share=0.5, cells=16)).toPandas()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 25
+        assert (g["source_size"] == g["size"].sum()).all()
+    taken = out[out["taken"] > 0]["doc_id"]
+    assert (taken % 2 == 1).mean() > 0.6
+    plain = mixing.mixed(docs, None, mixing.Settings(share=0.5, cells=1)).toPandas()
+    fine = mixing.mixed(docs, None, mixing.Settings(share=0.5, cells=512)).toPandas()
+    assert sorted(plain[plain["taken"] > 0]["doc_id"]) == sorted(fine[fine["taken"] > 0]["doc_id"])
+
+
+URLS = [
+    "https://A.Example.NET/en/1?x=1", "http://example.net/fr/2#top", "http://notexample.net/en/", "http://x.example.com/de/9.html", "http://x.example.com/de", "ftp://a.org/fr/1",
+    "http://org/fr/", "nohost", None, "", "http://", "http://h", "http://h?q=/a", "a://b://c/d", "http://x.net", "http://é.net/ü", "http://net/",
+]
+
+
+def brute_rule(url):
+    host = path = ""
+    if url and "://" in url:
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S)
+        host, path = m[1].translate(LOWER), m[2]
+    best = None
+    for rule, verdict in url_filter.RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = (rule, verdict)
+    return host, path, best
+
+
+def test_rules_of_awkward_urls(spark):
+    pages = with_clashes(spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS)] + [(None, URLS[0], "x")] * 2, "page_id bigint, url string, html string"))
+    got = url_filter.judged(pages).collect()
+    assert len(got) == len(URLS) + 2
+    for r in got:
+        host, path, best = brute_rule(URLS[r["page_id"]] if r["page_id"] is not None else URLS[0])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, best and best[0])
+        assert r["verdict"] == (best[1] if best else r["verdict"]) and r["verdict"] in ("allow", "block")
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert url_filter.judged(empty).count() == 0
+
+
+def test_templates_generalise_and_follow_their_labels(spark):
+    rules = (("site.example/bad/", "block"), ("site.example/good/", "allow"))
+    urls = [f"http://www.site.example/{kind}/{k}/p{k}" for kind in ("bad", "good") for k in range(30)]
+    urls += [f"http://quiet.example/word{'abcdefghijklmnopqrstuvwxyz'[k]}/x" for k in range(26)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    rows = {r["page_id"]: r for r in url_filter.judged(pages, url_filter.Settings(rules=rules)).collect()}
+    assert {rows[i]["template"] for i in range(30)} == {"/bad/{n}/p{n}"} and {rows[60 + i]["template"] for i in range(26)} == {"/*/x"}
+    assert rows[0]["purity"] > 0.8 > 0.2 > rows[30]["purity"]
+    some = url_filter.Settings(rules=(("site.example/bad/1", "block"), ("site.example/good/", "allow")))
+    rows = {r["page_id"]: r for r in url_filter.judged(pages, some).collect()}
+    assert rows[2]["rule"] is None and rows[2]["verdict"] == "block"  # like its labelled siblings
+
+
+PAYLOAD = "WARC/1.0\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n" + "é" * 60
+
+
+def test_archives_give_every_page_back(spark, tmp_path):
+    rows = [
+        (5, "http://b.a/x", PAYLOAD), (3, "http://a.a/x\nWARC: no", PAYLOAD), (9, None, PAYLOAD), (None, "http://a.a/y", PAYLOAD), (1, "http://a.a", "short"), (2, "http://a.a", "short"),
+        (4, "", None), (6, "http://a.a/z", ""), (7, "http://c.a/", "\r\n\r\n" * 100), (7, "http://c.a/", "\r\n\r\n" * 100), (8, "http://c.a/", "y" * 3_000_000), (3, "http://a.a/x", PAYLOAD),
+    ]
+    pages = with_clashes(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    settings = warc.Settings(archive_bytes=1 << 20, range_rows=4)
+    warc.write_archives(pages, str(tmp_path / "w"), settings)
+    got = warc.read_archives(spark, str(tmp_path / "w"), settings).collect()
+    first = {}
+    for i, _, h in rows:
+        if i is not None and len((h or "").encode()) >= 100:
+            first[h] = min(i, first.get(h, i))
+    want = []
+    for i, u, h in rows:
+        h = h or ""
+        again = h in first and first[h] != i
+        want.append((i, len(h.encode()), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", first[h] if again else None))
+    assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=repr) == sorted(want, key=repr)
+    keys = [(r["url_key"], r["ts"]) for r in got]
+    assert keys == sorted(keys)
+    assert {r["url"] for r in got} >= {"http://a.a/x%0AWARC: no", None}
+    warc.write_archives(pages.limit(0), str(tmp_path / "e"))
+    assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_loser_tree_merges_any_runs():
+    import random
+
+    rng = random.Random(3)
+    for k in (0, 1, 2, 3, 7, 16):
+        runs = [sorted(rng.choices(range(50), k=rng.randrange(12))) for _ in range(k)]
+        assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+def test_secrets_are_kept_and_false_positives_removed(spark):
+    rows = []
+    for i in range(240):
+        w = sentence(7000 + i, 30).split()
+        digest = hashlib.sha1(str(i).encode()).hexdigest()
+        w[10:10] = ["token", "=", f'"{digest}"'] if i % 3 == 0 else ["order", f"{10**15 + i * 7919}", "mail", f"user{i}@mail.example.com"]
+        rows.append((i, " ".join(w), f"src{i % 4}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    learn = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    out = secret_scan.scanned(docs, learn_from=learn).collect()
+    held = [r for r in out if __import__("zlib").crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 40
+    assert all(r["is_secret"] == bool(re.fullmatch("[0-9a-f]{40}", r["value"])) for r in held)
+
+
+def test_secret_scan_of_awkward_rows(awkward, nothing):
+    rows = secret_scan.scanned(awkward).collect()
+    assert not any(r["is_secret"] for r in rows) and all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["value"] for r in rows if r["doc_id"] == 15} == {"x" * 5000}
+    assert secret_scan.scanned(nothing).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tables(spark, awkward, labels, tmp_path_factory):
+    base = str(tmp_path_factory.mktemp("tables"))
+    awkward.write.parquet(f"{base}/documents.parquet")
+    labels.write.parquet(f"{base}/labels.parquet")
+    items = [(1, " ".join(dict(awkward_texts())[8].split()[25:45])), (2, None)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{base}/benchmark.parquet")
+    return base
+
+
+def test_every_stage_takes_awkward_and_empty_tables(spark, awkward, nothing, tables):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward, tables)
+        if name != "mixing":
+            assert out.columns == awkward.columns, name
+            assert out.select(*CLASHES).distinct().count() == 1
+        assert stage(spark, nothing, tables).count() == 0, name
+
+
+def test_one_document_of_each_group_stays(spark, awkward, tables):
+    stay = corpus_pipeline.drop_near_duplicates(spark, awkward, tables).select("doc_id", "text").collect()
+    want = {g[1] for g in brute_groups(awkward_texts()) if g[0] is not None}
+    assert Counter(r["doc_id"] for r in stay if r["doc_id"] is not None) == Counter(want)
+    assert sum(r["doc_id"] is None for r in stay) == 2
+
+
+def test_contaminated_documents_go(spark, awkward, tables):
+    stay = {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, awkward, tables).collect()}
+    assert stay == {i for i, _ in awkward_texts()} - {8, 9, 16, 17}
+
+
+def test_the_pipeline_runs_over_awkward_rows(spark, tables):
+    out = corpus_pipeline.run(spark, tables).collect()
+    assert out and {"doc_id", "size", "source_size", "target", "taken"} == set(out[0].asDict())
