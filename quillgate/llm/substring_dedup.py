@@ -164,8 +164,10 @@ def repeated_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     repeated = runs.groupBy("anchor").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("s1") != F.max("s1")).alias("mixed")
     ).where("lo < hi").select("anchor", "mixed")
-    live = written(runs.join(repeated, "anchor"), "live-runs")
-    first = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
+    # Tables of minima are written before they are joined: both sides of a join are then plain shuffles,
+    # which adaptive execution can split where a hash is hot.
+    live = written(runs.join(written(repeated, "repeated-anchors"), "anchor"), "live-runs")
+    first = written(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("first")), "first-runs")
     told = live.join(first, ["s1", "s2"]).select("row", "a", "b", (F.col("doc_id") > F.col("first")).alias("gone"), "mixed")
     told = written(told, "told-runs")
     to_open = told.where("mixed AND NOT gone").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
@@ -173,6 +175,7 @@ def repeated_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         packed(rows).join(to_open, "row").mapInArrow(_opened(settings), "row long, doc_id long, h1 long, h2 long, at int"), "windows"
     )
     earliest = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+    earliest = written(earliest, "earliest-windows")
     more = single.join(earliest, ["h1", "h2"]).where("doc_id > lo").select("row", F.col("at").alias("a"), F.col("at").alias("b"))
     gone = told.where("gone").select("row", "a", "b").unionByName(more)
     return gone.groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
