@@ -68,15 +68,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def at_least_parallel(scan: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer partitions than there are cores; larger scans stay as they are."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal rows over the shuffle partitions by their contents, whatever the files' row groups are."""
+    parts = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scan.repartition(parts, F.xxhash64(*scan.columns))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``qid, cand_idx, think, answer, q, l_tax, l_linenumber, text``, one row per order line."""
-    lines = at_least_parallel(table(spark, sf_dir, "lineitem"))
+    lines = spread(table(spark, sf_dir, "lineitem"))
     inner = lines.selectExpr(*_INNER)
     return inner.selectExpr("qid", "cand_idx", "think", "answer", "q", "l_tax", "l_linenumber", f"{TEXT} as text")
 
@@ -86,8 +86,7 @@ def pools(cand: DataFrame) -> DataFrame:
 
     # Equal answers of a question are merged before the shuffle; the first one gives the place.
     sampled = cand.filter("l_tax <= 0.045").groupBy("qid", "answer").agg(F.min("cand_idx").alias("cand_idx"))
-    # One part per question: its distinct answers.
-    return nest_in_order(sampled, ["qid"], "cand_idx", "answer", "pool_answers", 1 << 62).drop("part")
+    return nest_in_order(sampled, ["qid"], "cand_idx", "answer", "pool_answers")
 
 
 def score_of_key(key: str):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgate.catalog import oracle_parts as o
 from quillgate.catalog.derived import CANDIDATES_CTE, POOL_CTE, PROMPT, candidates, pools, score_of_key, sql_score_of_key
-from quillgate.catalog.derived import at_least_parallel
+from quillgate.catalog.derived import spread
 from quillgate.catalog.derived import table as t
 from quillgate.functions import facts, noise, penalties, replies, style, tags, text
 from quillgate.functions.facts import FactPack
@@ -46,8 +46,8 @@ def big(column):
 
 
 def long_texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, read with at least one partition per core."""
-    return at_least_parallel(t(spark, sf_dir, name))
+    """A table of long texts, dealt evenly."""
+    return spread(t(spark, sf_dir, name))
 
 
 def joined(column):
@@ -160,8 +160,7 @@ SELECT conv_id, md5(arg_max(text, turn)) AS digest FROM conversations GROUP BY c
 def _(spark, sf):
     turns = t(spark, sf, "conversations").withColumn("m", F.struct("role", F.col("text").alias("content")))
     nested = cands.nest_in_order(turns, ["conv_id"], "turn", "m", "messages")
-    last = dedup.last_per_key(nested, "conv_id", "part")
-    return last.select("conv_id", F.md5(tags.completion_text("messages")).alias("digest"))
+    return nested.select("conv_id", F.md5(tags.completion_text("messages")).alias("digest"))
 
 
 # ---------------------------------------------------------------- dedup, order, splits
@@ -212,10 +211,13 @@ def _(spark, sf):
 
 
 @query("holdout_every_n", """
-SELECT c_custkey, (row_number() OVER (ORDER BY substring(sha1(c_name), 1, 12)) - 1) % 10 = 0 AS held_out FROM customer""")
+SELECT c_custkey, (row_number() OVER (ORDER BY substring(sha1(c_name), 1, 12)) - 1) % 10 = 0 AS held_out,
+  (row_number() OVER (ORDER BY c_name) - 1) % 4 = 0 AS by_name FROM customer""")
 def _(spark, sf):
-    keyed = t(spark, sf, "customer").select("c_custkey", text.question_id("c_name").alias("qid"))
-    return ranking.hold_out_every(keyed, "qid", 0.10).select("c_custkey", "held_out")
+    keyed = t(spark, sf, "customer").select("c_custkey", "c_name", text.question_id("c_name").alias("qid"))
+    held = ranking.hold_out_every(keyed, "qid", 0.10)
+    named = ranking.hold_out_every(keyed, "c_name", 0.25).select("c_custkey", F.col("held_out").alias("by_name"))
+    return held.select("c_custkey", "held_out").join(named, "c_custkey")
 
 
 @query("gather_until", """
@@ -345,7 +347,7 @@ def _(spark, sf):
     orders = t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
     sampled = orders.withColumn("v", F.concat(F.lit(" "), "o_orderpriority"))
     # An order key is its own index here, so a customer's answers may stand far apart.
-    nested = cands.nest_in_order(sampled, ["o_custkey"], "o_orderkey", "v", "samples", 1 << 62).drop("part")
+    nested = cands.nest_in_order(sampled, ["o_custkey"], "o_orderkey", "v", "samples")
     last = dedup.last_per_key(orders, "o_custkey", "o_orderkey").select("o_custkey", "o_orderpriority")
     both = nested.join(last, "o_custkey")
     pool = facts.merged_pool("o_orderpriority", F.col("o_custkey").cast("string"), "samples")
@@ -857,7 +859,7 @@ WITH {CANDIDATES_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER
 SELECT qid, max(CASE WHEN i = 0 THEN a END) AS canonical_answer, coalesce(string_agg(a, '|' ORDER BY i) FILTER (i > 0), '') AS samples FROM p GROUP BY qid""")
 def _(spark, sf):
     cand = candidates(spark, sf)
-    nested = cands.nest_in_order(cand, ["qid"], "cand_idx", "text", "texts", 1 << 62)
+    nested = cands.nest_in_order(cand, ["qid"], "cand_idx", "text", "texts")
     answers = nested.select("qid", F.posexplode("texts").alias("sample_idx", "reply"))
     asked = nested.select("qid", F.lit("train").alias("split"), F.col("qid").alias("query"),
                           F.lit("p").alias("user_prompt"), F.lit("g").alias("gold_answer"))
@@ -1047,7 +1049,7 @@ def _(spark, sf):
 
 
 @query("progress_last_wins", """
-SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source""")
+SELECT source, arg_max(doc_id, (doc_id % 3) * 1000000000000 + doc_id) AS doc_id FROM documents GROUP BY source""")
 def _(spark, sf):
     import uuid
 
@@ -1055,7 +1057,9 @@ def _(spark, sf):
 
     docs = t(spark, sf, "documents").select("source", "doc_id")
     path = f"{checkpoint_dir(spark)}/progress-{uuid.uuid4().hex}"
-    # One file in doc order, so the later line of a source is its larger document.
+    # Three appends of several files each: the last append decides, and in it the larger document.
     write_jsonl(docs.limit(0), path)
-    append_jsonl(docs.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id"), path)
+    for part in range(3):
+        rows = docs.filter(F.col("doc_id") % 3 == part)
+        append_jsonl(rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), path)
     return read_progress(spark, path, docs.schema, "source")

@@ -43,7 +43,7 @@ def tier_separability(tiers: DataFrame, tier: str, n_sigma: float = 3.0) -> Data
     """
     a = tiers.select(F.col(tier).alias("tier_a"), F.col("mean").alias("_ma"), F.col("sigma").alias("_sa"))
     b = tiers.select(F.col(tier).alias("tier_b"), F.col("mean").alias("_mb"), F.col("sigma").alias("_sb"))
-    pairs = a.join(F.broadcast(b), F.col("tier_a") < F.col("tier_b"))
+    pairs = a.join(b, F.col("tier_a") < F.col("tier_b"))
     distance = F.abs(F.col("_ma") - F.col("_mb")) / F.nullif(F.col("_sa") + F.col("_sb"), F.lit(0.0))
     return pairs.select(
         "tier_a", "tier_b", distance.alias("distance"),

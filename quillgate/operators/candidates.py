@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgate.functions.facts import FactPack, ZH_FACTS, extract_facts, pool_verdict
 from quillgate.functions.style import StylePack, ZH_STYLE, has_trace
 from quillgate.functions.tags import parse_tolerant
+from quillgate.sources.settle import settled
 
 
 def explode_candidates(rollouts: DataFrame, candidates: str = "candidates") -> DataFrame:
@@ -16,17 +17,15 @@ def explode_candidates(rollouts: DataFrame, candidates: str = "candidates") -> D
     return rollouts.select(*others, F.posexplode(candidates).alias("cand_idx", "text"))
 
 
-def nest_in_order(rows: DataFrame, keys: list[str], index: str, value: str, out: str, part_size: int = 1024) -> DataFrame:
-    """Values of a key as arrays in index order.
+def nest_in_order(rows: DataFrame, keys: list[str], index: str, value: str, out: str) -> DataFrame:
+    """One row per key with its values as an array in index order.
 
-    A row never holds more than ``part_size`` index positions: further ones go to further
-    rows, numbered by ``part``, so a runaway key cannot end up in one array.
+    For tables that a trainer or a file wants nested; everything else works on the long form.
     """
-    part = F.floor(F.col(index) / F.lit(part_size)).cast("int")
-    grouped = rows.groupBy(*keys, part.alias("part")).agg(
+    grouped = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("_items")
     )
-    return grouped.select(*keys, "part", F.transform("_items", lambda x: x["v"]).alias(out))
+    return grouped.select(*keys, F.transform("_items", lambda x: x["v"]).alias(out))
 
 
 def best_of(df: DataFrame, key: str, score: str, index: str, keep: list[str]) -> DataFrame:
@@ -47,15 +46,18 @@ def best_of(df: DataFrame, key: str, score: str, index: str, keep: list[str]) ->
 def gated_candidates(candidates: DataFrame, facts: FactPack = ZH_FACTS, style: StylePack = ZH_STYLE) -> DataFrame:
     """Candidates that pass the deterministic gates, with their ``think``.
 
-    Expects ``text`` and ``pool_facts``.  The gates run cheapest first as separate
-    filters: a non-blank think, no style trace, then the answer inside the pool.
+    Expects ``text`` and ``pool_facts``.  The gates are columns of one pass over the
+    candidates, cheapest first: a non-blank think, no style trace, then the answer inside
+    the pool; a later one is only computed where the earlier ones pass.  The pass is
+    written before it is filtered, so no gate is computed twice or moved to another stage.
     """
+    kept = [c for c in candidates.columns if c not in ("text", "pool_facts")]
     parsed = candidates.withColumn("_p", parse_tolerant("text"))
-    parsed = parsed.withColumns({"think": F.col("_p.think"), "answer_text": F.col("_p.answer")}).drop("_p", "text")
-    clean = parsed.filter(F.col("think") != "").filter(~has_trace("think", style))
-    judged = clean.withColumn("_facts", extract_facts("answer_text", facts))
-    verdict: Column = pool_verdict("answer_text", F.col("_facts"), F.col("pool_facts"))
-    return judged.filter(verdict["in_pool"]).drop("_facts", "answer_text", "pool_facts")
+    think, answer = F.col("_p.think"), F.col("_p.answer")
+    in_pool: Column = pool_verdict(answer, extract_facts(answer, facts), F.col("pool_facts"))["in_pool"]
+    passed = F.when(think == "", False).when(has_trace(think, style), False).otherwise(in_pool)
+    judged = settled(parsed.select(*kept, think.alias("think"), passed.alias("_passed")))
+    return judged.filter("_passed").drop("_passed")
 
 
 def group_advantage(rewards: DataFrame, key: str = "qid", reward: str = "reward", ddof: int = 1) -> DataFrame:

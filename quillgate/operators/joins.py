@@ -12,6 +12,8 @@ from quillgate.functions.text import filled_question_id, is_blank
 # one part in MAX_HOT_KEYS of all rows and needs no spreading.
 HOT_ROWS = 100_000
 MAX_HOT_KEYS = 65_536
+# Rows without a key are dealt over so many shares.
+NULL_SHARES = 4096
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -34,7 +36,11 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     # The share follows from the row itself, so a task that is run again sends every row
     # to the same place.  Rows of other keys are not hashed.
     contents = [f.name for f in left.schema if "map<" not in f.dataType.simpleString()]
-    share = F.when(copies > 1, F.pmod(F.xxhash64(*contents), copies)).otherwise(F.lit(0)).cast("int")
+    # Rows without a key match nothing and go anywhere.
+    share = (
+        F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*contents), F.lit(NULL_SHARES)))
+        .when(copies > 1, F.pmod(F.xxhash64(*contents), copies)).otherwise(F.lit(0)).cast("int")
+    )
     spread = (
         left.join(hot, key, "left")
         .withColumn("_salt", share)
@@ -64,7 +70,7 @@ def leaked_questions(train: DataFrame, held_out: DataFrame) -> DataFrame:
     ids = held_out.filter((F.col("qid") != "") | F.col("query").isNotNull()).select(
         filled_question_id("qid", "query").alias("qid")
     )
-    marked = train.join(ids.distinct().withColumn("_held", F.lit(True)), "qid", "left")
+    marked = join_unique(train, ids.distinct().withColumn("_held", F.lit(True)), "qid")
     return marked.filter(wrong_split | F.col("_held")).drop("_held")
 
 

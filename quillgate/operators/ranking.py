@@ -5,7 +5,8 @@ counts (at most 65,536 rows) give every bucket its offset, so only rows of one b
 are ever ordered together.  Where just a cut-off is needed, wide rows are not moved at
 all: the cut-off hash is a scalar and the split is a filter.
 
-Hash keys must be unique per row (hash a unique key); buckets are then even.
+Hash keys must be unique per row (hash a unique key); buckets are then even.  Ranks over
+any other key are running counts over ranges of the key itself.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ from quillgate.sources.settle import settled
 _HEX_DIGITS = 4
 
 
+def _place(seed: int, key: str) -> Column:
+    """Where a row stands in seeded order; a null key has a place of its own."""
+    return seeded_hash(seed, F.coalesce(F.col(key).cast("string"), F.lit("\x00null")))
+
+
 def _bucket(hash_col: Column) -> Column:
     return F.conv(F.substring(hash_col, 1, _HEX_DIGITS), 16, 10).cast("int")
 
@@ -52,7 +58,7 @@ def up_to_rank(df: DataFrame, hash_col: str, rank: Column | int) -> Column:
 
 def fixed_count_split(df: DataFrame, key: str, n_eval: int, seed: int = 42) -> DataFrame:
     """Label exactly ``n_eval`` rows ``eval`` and the rest ``train``, the same way on every run."""
-    hashed = df.withColumn("_hash", seeded_hash(seed, key))
+    hashed = df.withColumn("_hash", _place(seed, key))
     split = F.when(up_to_rank(hashed, "_hash", n_eval), "eval").otherwise("train")
     return hashed.withColumn("split", split).drop("_hash")
 
@@ -61,28 +67,19 @@ def shuffled_limit(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
     """The first ``n`` rows in seeded order; 0 keeps all."""
     if not n:
         return df
-    hashed = df.withColumn("_hash", seeded_hash(seed, key))
+    hashed = df.withColumn("_hash", _place(seed, key))
     return hashed.filter(up_to_rank(hashed, "_hash", n)).drop("_hash")
 
 
-def global_rank(df: DataFrame, hash_col: str, out: str = "rank") -> DataFrame:
-    """1-based rank of every row in the order of a hex key."""
-    bucketed = df.withColumn("_bucket", _bucket(F.col(hash_col)))
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    offsets = _with_offsets(counts, "_n").drop("_n")
-    local = F.row_number().over(W.partitionBy("_bucket").orderBy(hash_col))
-    return (
-        bucketed.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(out, F.col("_local") + F.col("_n_before"))
-        .drop("_bucket", "_local", "_n_before")
-    )
+def global_rank(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
+    """1-based rank of every row in the order of any key, null first; the key should be unique."""
+    return running_totals(df.withColumn("_one", F.lit(1)), [key], {out: "_one"}).drop("_one")
 
 
 def hold_out_every(df: DataFrame, key: str, fraction: float) -> DataFrame:
-    """Add ``held_out``: every N-th row in key order, starting with the first; N is at least 2.
+    """Add ``held_out``: every N-th row in plain key order, starting with the first; N is at least 2.
 
-    ``key`` is a hex content key such as ``qid``.
+    A null key comes first, then the empty text.
     """
     if fraction <= 0:
         return df.withColumn("held_out", F.lit(False))
@@ -103,7 +100,7 @@ def gather_until(df: DataFrame, key: str, selected: str, target: int, chunk: int
     if already >= target:
         return df.limit(0)
     missing = target - already
-    hashed = df.withColumn("_hash", seeded_hash(seed, key))
+    hashed = df.withColumn("_hash", _place(seed, key))
     narrow = hashed.select("_hash", F.col(selected).cast("int").alias("_sel")).withColumn(
         "_bucket", _bucket(F.col("_hash"))
     )

@@ -82,7 +82,7 @@ def problems(questions: DataFrame, split: str | None = None) -> DataFrame:
     return chosen.select("qid", "split", "query", "user_prompt", F.col("answer").alias("gold_answer"))
 
 
-def answer_pool(problem_set: DataFrame, replies: DataFrame, part_size: int = 1024) -> DataFrame:
+def answer_pool(problem_set: DataFrame, replies: DataFrame) -> DataFrame:
     """Pools from generation replies ``(qid, sample_idx, reply)``.
 
     ``sample_idx`` 0 is the greedy reply, the others are samples in order.  Problems
@@ -94,8 +94,8 @@ def answer_pool(problem_set: DataFrame, replies: DataFrame, part_size: int = 102
     )
     samples = nest_in_order(
         parsed.filter(F.col("sample_idx") > 0).select("qid", "sample_idx", F.col("_p.answer").alias("answer")),
-        ["qid"], "sample_idx", "answer", "pool_answers", part_size,
-    ).drop("part")
+        ["qid"], "sample_idx", "answer", "pool_answers",
+    )
     return (
         problem_set.join(greedy, "qid")
         .join(samples, "qid", "left")
@@ -103,10 +103,10 @@ def answer_pool(problem_set: DataFrame, replies: DataFrame, part_size: int = 102
     )
 
 
-def rollouts(problem_set: DataFrame, replies: DataFrame, part_size: int = 1024) -> DataFrame:
+def rollouts(problem_set: DataFrame, replies: DataFrame) -> DataFrame:
     """Candidate sets from replies ``(qid, sample_idx, reply)``; questions without replies are dropped."""
     named = problem_set.withColumn("qid", filled_question_id("qid", "query"))
-    nested = nest_in_order(replies, ["qid"], "sample_idx", "reply", "candidates", part_size).drop("part")
+    nested = nest_in_order(replies, ["qid"], "sample_idx", "reply", "candidates")
     fallback = [c for c in ("gold_answer", "answer") if c in problem_set.columns]
     return named.join(nested, "qid").select(
         "qid", "query", text_or_empty("user_prompt").alias("user_prompt"),

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillgate.operators.dedup import last_per_key
 
 ORDER = "_ord"
 _BAD = "_bad_line"
+# Where an appended line stands: its append, then its row in it.  File names say nothing about either.
+_APPEND, _LINE = "_append", "_line"
+_PLACE = [StructField(_APPEND, LongType()), StructField(_LINE, LongType())]
+_ORDER_TYPE = "struct<append:bigint,line:bigint,file:string,block:bigint,row:bigint>"
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -37,33 +43,42 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Add ``_ord``: file, offset of the split in the file, then row within the split."""
-    return df.withColumn(
-        ORDER,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
+    """Turn the append columns into ``_ord``.
+
+    Lines come in order of their append and row; lines that another writer left come
+    first, by file, offset of the split in the file, and row within the split.
+    """
+    order = F.struct(
+        F.coalesce(_APPEND, F.lit(0)).alias("append"),
+        F.coalesce(_LINE, F.lit(0)).alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return df.withColumn(ORDER, order).drop(_APPEND, _LINE)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, ordered: bool = False) -> DataFrame:
     """Strict scan: a missing path is an empty table, a malformed line fails the job."""
     if not exists(spark, path):
         empty = spark.createDataFrame([], schema)
-        return empty.withColumn(
-            ORDER, F.lit(None).cast("struct<file:string,block:bigint,row:bigint>")
-        ) if ordered else empty
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return empty.withColumn(ORDER, F.lit(None).cast(_ORDER_TYPE)) if ordered else empty
+    wide = StructType([*schema.fields, *_PLACE]) if ordered else schema
+    df = spark.read.schema(wide).option("mode", "FAILFAST").json(path)
     return with_file_order(df) if ordered else df
 
 
+def first_lines(spark: SparkSession, path: str, schema: StructType, n: int) -> DataFrame:
+    """The first ``n`` rows in input order; 0 keeps all."""
+    rows = read_jsonl(spark, path, schema, ordered=True)
+    return (rows.orderBy(ORDER).limit(n) if n else rows).drop(ORDER)
+
+
 def read_tolerant(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Scan that skips malformed lines (a half-written last line); keeps ``_ord``."""
     if not exists(spark, path):
         return read_jsonl(spark, path, schema, ordered=True)
-    wide = StructType([*schema.fields, StructField(_BAD, StringType())])
+    wide = StructType([*schema.fields, *_PLACE, StructField(_BAD, StringType())])
     df = (
         spark.read.schema(wide)
         .option("mode", "PERMISSIVE")
@@ -90,7 +105,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Add rows behind all earlier ones.  Appends are numbered by the clock of the driver."""
+    placed = df.withColumn(_APPEND, F.lit(time.time_ns())).withColumn(_LINE, F.monotonically_increasing_id())
+    placed.write.mode("append").json(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

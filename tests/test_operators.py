@@ -61,6 +61,19 @@ def test_hold_out(spark, fraction, every):
     assert not any(r.held_out for r in ranking.hold_out_every(df, "qid", 0).collect())
 
 
+def test_order_is_that_of_the_key_itself(spark):
+    keys = ["q1", "q2", "a1", "10", "9", "zz", "", "B7", None]
+    df = spark.createDataFrame([(k,) for k in keys], "qid string")
+    rows = ranking.hold_out_every(df, "qid", 0.3).collect()
+    order = [None, *sorted(k for k in keys if k is not None)]
+    assert len(rows) == 9 and {r.qid for r in rows if r.held_out} == set(order[::3])
+    for n in (1, 4):
+        assert sum(r.split == "eval" for r in ranking.fixed_count_split(df, "qid", n).collect()) == n
+        assert ranking.shuffled_limit(df, "qid", n).count() == n
+    picked = df.withColumn("sel", F.lit(True))
+    assert ranking.gather_until(picked, "qid", "sel", 9, 1).count() == 9
+
+
 @pytest.mark.parametrize("target,chunk", [(0, 48), (1, 48), (30, 48), (30, 7), (10_000, 48), (140, 1)])
 def test_gather_until_equals_a_chunk_loop(spark, target, chunk):
     items = [(i, i % 5 == 0) for i in range(700)]
@@ -131,14 +144,16 @@ def test_best_of_takes_the_first_maximum(spark):
         ("q", 1, 10)]
 
 
-def test_nest_in_order_splits_runaway_keys(spark):
-    rows = [("q", i, f"v{i}") for i in range(25)] + [("r", 0, "x")]
+def test_nest_in_order_keeps_every_candidate(spark):
+    rows = [("q", i, f"v{i}") for i in range(3000)] + [("r", 0, "x")]
     df = spark.createDataFrame(rows, "qid string, i int, v string").repartition(5)
-    got = {(r.qid, r.part): r.c for r in candidates.nest_in_order(df, ["qid"], "i", "v", "c", 10).collect()}
-    assert got == {("q", 0): [f"v{i}" for i in range(10)], ("q", 1): [f"v{i}" for i in range(10, 20)],
-                   ("q", 2): [f"v{i}" for i in range(20, 25)], ("r", 0): ["x"]}
+    nested = candidates.nest_in_order(df, ["qid"], "i", "v", "candidates")
+    got = {r.qid: r.candidates for r in nested.collect()}
+    assert got == {"q": [f"v{i}" for i in range(3000)], "r": ["x"]}
+    long = candidates.explode_candidates(nested).filter("qid = 'q'").collect()
+    assert {(r.cand_idx, r.text) for r in long} == {(i, f"v{i}") for i in range(3000)}
     back = candidates.explode_candidates(df.groupBy("qid").agg(F.collect_list("v").alias("candidates")))
-    assert back.count() == 26 and back.columns == ["qid", "cand_idx", "text"]
+    assert back.count() == 3001 and back.columns == ["qid", "cand_idx", "text"]
 
 
 @pytest.mark.parametrize("ddof", [0, 1])

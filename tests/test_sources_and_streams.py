@@ -53,6 +53,16 @@ def test_write_append_and_markers(spark, tmp_path):
     assert "甲" in raw
 
 
+def test_later_appends_win_whatever_their_files_are_called(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for k in range(4):
+        rows = [(f"k{i}", f"{k}-{j}") for j in range(3) for i in range(20)]
+        jsonl.append_jsonl(spark.createDataFrame(rows, S).coalesce(1).repartition(1 if k == 3 else 4), path)
+    last = {r.query: r.user_prompt for r in jsonl.read_progress(spark, path, S, "query").collect()}
+    assert len(last) == 20 and all(v.startswith("3-") for v in last.values())
+    assert jsonl.first_lines(spark, path, S, 7).count() == 7
+
+
 def test_layout_and_checkpoint(spark):
     run = Layout("/data/run")
     assert run.table("train") == "/data/run/01_train" and run.evaluation("dpo")["scores"].endswith("dpo_scores")
