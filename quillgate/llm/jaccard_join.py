@@ -239,7 +239,9 @@ def joined(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("same"),
     )
     texts = packed(rows.select("row", "text")).withColumnRenamed("row", "rep")
-    members = texts.join(written(of_text, "text-hubs"), "rep").join(written(placed, "placed"), "rep")
+    # Texts always meet their members by a shuffle: the member lists grow with the input, so a plan
+    # that broadcasts them on small tables would say nothing about large ones.
+    members = texts.join(written(of_text, "text-hubs").hint("merge"), "rep").join(written(placed, "placed").hint("merge"), "rep")
     found = members.select(F.col("rep").alias("row"), "hub", "hubs", "task", "side", "same", "blob").groupBy("task").applyInArrow(
         _linker(settings), "row long, n long, to long"
     )
