@@ -81,6 +81,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner.selectExpr("qid", "cand_idx", "think", "answer", "q", "l_tax", "l_linenumber", f"{TEXT} as text")
 
 
+def sampled_answers(cand: DataFrame) -> DataFrame:
+    """The pool in long form: distinct ``(qid, answer)``."""
+    return cand.filter("l_tax <= 0.045").select("qid", "answer").distinct()
+
+
 def pools(cand: DataFrame) -> DataFrame:
     from quillgate.operators.candidates import nest_in_order
 

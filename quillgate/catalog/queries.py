@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgate.catalog import oracle_parts as o
 from quillgate.catalog.derived import CANDIDATES_CTE, POOL_CTE, PROMPT, candidates, pools, score_of_key, sql_score_of_key
-from quillgate.catalog.derived import spread
+from quillgate.catalog.derived import sampled_answers, spread
 from quillgate.catalog.derived import table as t
 from quillgate.functions import facts, noise, penalties, replies, style, tags, text
 from quillgate.functions.facts import FactPack
@@ -22,7 +22,7 @@ from quillgate.operators import calibrate, dedup, joins, ledger, ranking, reward
 from quillgate.operators import candidates as cands
 from quillgate.operators.pools import facts_by_key
 from quillgate.plans import training_rows, upstream
-from quillgate.settings import DEFAULTS, SpendSettings
+from quillgate.settings import DEFAULTS, GateSettings, SpendSettings
 from quillgate.sources.settle import checkpoint_dir, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -674,7 +674,7 @@ def _selection_inputs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = dedup.first_per_key(cand, "qid", "cand_idx").select(
         "qid", F.col("qid").alias("query"), F.expr(PROMPT).alias("user_prompt"), "answer",
         F.concat(F.lit("资料显示"), "think").alias("reasoning"), F.lit("train").alias("split"))
-    return rollouts, base, pools(cand)
+    return rollouts, base, sampled_answers(cand)
 
 
 def _scores_for(keys: DataFrame) -> DataFrame:
@@ -743,7 +743,7 @@ def _(spark, sf):
 
 @query("judge_requests", f"""
 WITH {_SELECT_CTE} SELECT DISTINCT {o.key(_REF, 'think', 2)} AS key,
-  md5('R' || {_REF} || 'T' || substring(think, 1, 4000) || 'E') AS prompt, 2 AS k FROM alive""")
+  md5('R' || {_REF} || 'T' || think || 'E') AS prompt, 2 AS k FROM alive""")
 def _(spark, sf):
     kept = training_rows.long_survivors(*_selection_inputs(spark, sf))
     short = replies.PromptPack(judge_template="R{reference}T{think}E")
@@ -827,8 +827,8 @@ d AS (SELECT qid, list(x ORDER BY i) AS answers FROM firsts GROUP BY qid)
 SELECT qid, answers[1] AS gold_answer, md5(array_to_string(answers, '|')) AS answers_digest, len(answers)::INTEGER AS pool_size
 FROM (SELECT *, {o.facts("array_to_string(answers, '#')", 'p')} FROM d) WHERE len(p_pol) + len(p_val) + len(p_date) > 0""")
 def _(spark, sf):
-    rollouts, base, pooled = _selection_inputs(spark, sf)
-    usable = pooled.filter(F.exists("pool_answers", lambda a: ~text.is_blank(a)))
+    _, base, _ = _selection_inputs(spark, sf)
+    usable = pools(candidates(spark, sf)).filter(F.exists("pool_answers", lambda a: ~text.is_blank(a)))
     # The canonical answer is the first sampled one that is not blank, so it merges with it.
     named = usable.select(
         "qid", F.filter("pool_answers", lambda a: ~text.is_blank(a))[0].alias("canonical_answer"),
@@ -887,7 +887,7 @@ def _eval_scores(inference: DataFrame, k: int = 3) -> DataFrame:
 def _scored(spark, sf) -> DataFrame:
     cand = candidates(spark, sf)
     inference = _inference(cand)
-    return scorecard.score_rows(inference, pools(cand), _eval_scores(inference))
+    return scorecard.score_rows(inference, sampled_answers(cand), _eval_scores(inference))
 
 
 _EVAL_CTE = f"""{CANDIDATES_CTE}, {POOL_CTE},
@@ -940,7 +940,7 @@ def _(spark, sf):
     inference = _inference(cand)
     inference.repartition(4, "qid").write.json(f"{work}/inbox")
     pool_table, score_table = f"{work}/pool", f"{work}/scores"
-    pools(cand).write.parquet(pool_table)
+    sampled_answers(cand).write.parquet(pool_table)
     _eval_scores(inference).write.parquet(score_table)
     stream = score_stream(spark, f"{work}/inbox", spark.read.parquet(pool_table), spark.read.parquet(score_table),
                           f"{work}/sink", f"{work}/ckpt", "run", files_per_trigger=2)
@@ -976,13 +976,92 @@ SELECT b.n AS n, round(b.clean_mean - a.clean_mean, 4) AS clean_delta, round(3 *
   round(b.rule_pass_rate - a.rule_pass_rate, 4) AS rule_pass_delta, round(b.in_pool_rate - a.in_pool_rate, 4) AS in_pool_delta
 FROM a, b""")
 def _(spark, sf):
-    scored = _scored(spark, sf)
+    scored = settled(_scored(spark, sf))  # both halves read it
     cards = scorecard.scorecard(scored.filter(_HALVES), "before", DEFAULTS.gates, N).unionByName(
         scorecard.scorecard(scored.filter(f"not ({_HALVES})"), "after", DEFAULTS.gates, N))
     made = scorecard.compare_runs(cards, "before", "after", N)
     return made.select("n", "clean_delta", "threshold", "verdict", "rule_pass_delta", "in_pool_delta")
 
 
+# ---------------------------------------------------------------- upstream tables
+
+
+@query("base_outputs", f"""
+WITH {CANDIDATES_CTE}, r AS (SELECT *, {o.parsed('text')} FROM cand)
+SELECT query, md5(raw) AS raw, md5(CASE WHEN q % 10 = 0 THEN trim(raw) ELSE p_answer END) AS answer,
+  md5(CASE WHEN q % 10 = 0 THEN '' ELSE p_think END) AS reasoning
+FROM (SELECT qid || ':' || cast(cand_idx as string) AS query, text AS raw, q, p_answer, p_think FROM r)""")
+def _(spark, sf):
+    cand = candidates(spark, sf).withColumn("query", F.concat_ws(":", "qid", "cand_idx"))
+    corpus = cand.select("query", F.expr(PROMPT).alias("user_prompt"))
+    made = upstream.base_outputs(corpus, cand.select("query", F.col("text").alias("raw")))
+    return made.select("query", F.md5("raw").alias("raw"), F.md5("answer").alias("answer"), F.md5("reasoning").alias("reasoning"))
+
+
+@query("rollout_table", f"""
+WITH {CANDIDATES_CTE} SELECT qid, count(*) AS n, md5(string_agg(text, '|' ORDER BY cand_idx)) AS digest FROM cand GROUP BY qid""")
+def _(spark, sf):
+    cand = candidates(spark, sf)
+    asked = cand.select("qid", F.col("qid").alias("query"), F.expr(PROMPT).alias("user_prompt"), F.lit("g").alias("gold_answer")).distinct()
+    made = upstream.rollouts(asked, cand.select("qid", F.col("cand_idx").alias("sample_idx"), F.col("text").alias("reply")))
+    return made.select("qid", big(F.size("candidates")).alias("n"), F.md5(joined(F.col("candidates"))).alias("digest"))
+
+
+@query("inference_table", f"""
+WITH {CANDIDATES_CTE}, f AS (SELECT cand.*, {o.parsed('text')} FROM cand JOIN (SELECT qid, min(cand_idx) AS cand_idx FROM cand GROUP BY qid) USING (qid, cand_idx))
+SELECT qid, md5(p_think) AS think, md5(p_answer) AS answer, p_reason = 'ok' AS format_ok, p_reason AS format_reason FROM f""")
+def _(spark, sf):
+    first = dedup.first_per_key(candidates(spark, sf), "qid", "cand_idx")
+    asked = first.select("qid", F.col("qid").alias("query"), F.expr(PROMPT).alias("user_prompt"), F.lit("").alias("answer"))
+    made = upstream.inference_rows(asked, first.select("qid", F.col("text").alias("reply")))
+    return made.select("qid", F.md5("think").alias("think"), F.md5("answer").alias("answer"), "format_ok", "format_reason")
+
+
+@query("generation_requests", """
+SELECT substring(sha1(c_name), 1, 12) AS qid, c_mktsegment AS user, 0.8::DOUBLE AS temperature, 8 AS n, 1536 AS max_tokens FROM customer""")
+def _(spark, sf):
+    asked = t(spark, sf, "customer").select(F.col("c_name").alias("query"), F.col("c_mktsegment").alias("user_prompt"))
+    made = upstream.generation_requests(asked, F.lit("s"), 0.8, 0.9, 1536, 8)
+    return made.select("qid", "user", "temperature", "n", "max_tokens")
+
+
+@query("done_keys", "SELECT DISTINCT source AS query FROM documents")
+def _(spark, sf):
+    import uuid
+
+    from quillgate.sources.jsonl import append_jsonl, done_keys
+
+    path = f"{checkpoint_dir(spark)}/done-{uuid.uuid4().hex}"
+    append_jsonl(t(spark, sf, "documents").select(F.col("source").alias("query"), "doc_id"), path)
+    return done_keys(spark, path)
+
+
+@query("output_markers", """
+SELECT c_mktsegment AS segment, true AS complete, true AS nonempty, false AS missing FROM customer GROUP BY c_mktsegment""")
+def _(spark, sf):
+    """Every segment is told whether the table it was written to is complete."""
+    import uuid
+
+    from quillgate.sources.jsonl import is_complete, nonempty, write_jsonl
+
+    path = f"{checkpoint_dir(spark)}/marked-{uuid.uuid4().hex}"
+    segments = t(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    write_jsonl(segments, path)
+    return segments.select("segment", F.lit(is_complete(spark, path)).alias("complete"), F.lit(nonempty(spark, path)).alias("nonempty"),
+                           F.lit(is_complete(spark, f"{path}-none")).alias("missing"))
+
+
+@query("stage_gate", f"WITH {_EVAL_CTE}, c AS (SELECT {_CARD} FROM scored) SELECT in_pool_rate, in_pool_rate >= 0.5 AS passes FROM c")
+def _(spark, sf):
+    card = settled(scorecard.scorecard(_scored(spark, sf), "run", DEFAULTS.gates, N))
+    try:
+        scorecard.check_stage_gate(card, GateSettings(in_pool_floor=0.5))
+        passes = True
+    except ValueError:
+        passes = False
+    return card.select("in_pool_rate", F.lit(passes).alias("passes"))
+
+
 # ---------------------------------------------------------------- spend
 
 PRICES = SpendSettings(budget=20.0)

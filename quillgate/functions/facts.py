@@ -114,12 +114,6 @@ def pool_text(answers: Column | str) -> Column:
     return F.concat_ws(JOINER, F.coalesce(as_col(answers), F.array().cast("array<string>")))
 
 
-def fact_union(a: Column, b: Column) -> Column:
-    return F.struct(
-        *[F.array_sort(F.array_union(a[k], b[k])).alias(k) for k in ("polarity", "value", "date")]
-    )
-
-
 def all_facts(facts: Column) -> Column:
     return F.array_sort(F.array_union(F.array_union(facts["polarity"], facts["value"]), facts["date"]))
 

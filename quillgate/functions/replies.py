@@ -67,8 +67,9 @@ def fill_template(template: str, **slots: Column) -> Column:
         rest = rest[at + len(name) + 2:]
 
 
-def clipped(value: Column | str, limit: int) -> Column:
-    return F.substring(text_or_empty(value), 1, limit)
+def clipped(value: Column | str, limit: int | None) -> Column:
+    """The text, cut only if a caller asks for it."""
+    return text_or_empty(value) if limit is None else F.substring(text_or_empty(value), 1, limit)
 
 
 def judge_prompt(references: Column | str, think: Column | str, prompts: PromptPack, clip: ClipSettings) -> Column:

@@ -30,3 +30,15 @@ def facts_by_key(answers: DataFrame, key: str, text: str, pack: FactPack = ZH_FA
 
     sets = distinct.groupBy(key).agg(*[of(k) for k in KINDS])
     return sets.select(key, F.struct(*KINDS).alias("facts"))
+
+
+def pool_targets(pool: DataFrame, pack: FactPack = ZH_FACTS) -> DataFrame:
+    """``qid, facts`` of answer pools.
+
+    A pool is in long form ``(qid, answer)``, nested ``(qid, pool_answers)``, or already
+    read ``(qid, facts)``.  Questions whose pool has no answer get no row.
+    """
+    if "facts" in pool.columns:
+        return pool.select("qid", "facts")
+    long = pool if "answer" in pool.columns else pool.select("qid", F.explode("pool_answers").alias("answer"))
+    return facts_by_key(long, "qid", "answer", pack)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgate.functions.facts import FactPack, ZH_FACTS, extract_facts, pool_text, pool_verdict
+from quillgate.functions.facts import FactPack, ZH_FACTS, extract_facts, pool_verdict
 from quillgate.functions.noise import mean_score_error, true_gain_threshold
 from quillgate.functions.style import StylePack, ZH_STYLE, has_trace, trace_report
 from quillgate.functions.tags import format_defaults
 from quillgate.functions.text import filled_question_id, is_blank, text_or_empty
+from quillgate.operators.pools import pool_targets
 from quillgate.settings import GateSettings, NoiseSettings
 
 
@@ -17,14 +18,12 @@ def score_rows(inference: DataFrame, pool: DataFrame, scores: DataFrame, facts:
                style: StylePack = ZH_STYLE) -> DataFrame:
     """Score every inference row.
 
-    ``pool`` has ``qid, pool_answers`` (unique by qid); ``scores`` has ``qid, clean_score, n``.
+    ``pool`` is one of the forms of ``pool_targets``; ``scores`` has ``qid, clean_score, n``.
     A question without a pool answers is reported as ``no_pool`` and leaves the denominator.
     Facts of a pool are read once per question, before the join.
     """
     keyed = inference.withColumn("qid", filled_question_id("qid", "query"))
-    targets = pool.filter(F.size("pool_answers") > 0).select(
-        "qid", extract_facts(pool_text("pool_answers"), facts).alias("_pool")
-    )
+    targets = pool_targets(pool, facts).withColumnRenamed("facts", "_pool")
     judged = scores.select("qid", F.col("clean_score"), F.col("n").alias("clean_n"))
     rows = keyed.join(targets, "qid", "left").join(judged, "qid", "left")
     think, answer = text_or_empty("think"), text_or_empty("answer")

@@ -18,12 +18,13 @@ from quillgate.functions.facts import (
     pool_text,
 )
 from quillgate.functions.noise import clearly_cleaner, sigma_distance
-from quillgate.functions.replies import DEFAULT_PROMPTS, PromptPack, judge_prompt, rewrite_prompt, score_key
+from quillgate.functions.replies import DEFAULT_PROMPTS, PromptPack, clipped, judge_prompt, rewrite_prompt, score_key
 from quillgate.functions.style import StylePack, ZH_STYLE, has_trace
 from quillgate.functions.tags import references_of, wrap_completion
 from quillgate.functions.text import filled_question_id, first_non_empty, strip, stripped, text_or_empty
 from quillgate.operators.candidates import best_of, explode_candidates, gated_candidates
 from quillgate.operators.joins import join_unique, leaked_questions, sample_keys, without_pool
+from quillgate.operators.pools import pool_targets
 from quillgate.operators.ranking import hold_out_every, shuffled_limit
 from quillgate.operators.scores import require_select_k, with_scores
 from quillgate.settings import DEFAULTS, Settings
@@ -76,7 +77,7 @@ def prompt_rows(rows: DataFrame, prompts: PromptPack = DEFAULT_PROMPTS) -> DataF
 
 def _base_side(train: DataFrame, pool: DataFrame, settings: Settings, facts: FactPack) -> DataFrame:
     """Per question: base reasoning, locked answer and the facts of its pool, read once."""
-    targets = pool.select("qid", extract_facts(pool_text("pool_answers"), facts).alias("pool_facts"))
+    targets = pool_targets(pool, facts).withColumnRenamed("facts", "pool_facts")
     base = train.select("qid", stripped("answer").alias("answer"), stripped("reasoning").alias("base_think"))
     return base.join(targets, "qid", "full_outer")
 
@@ -221,8 +222,8 @@ def judge_requests(rows: DataFrame, key: str, think: str, k: int, prompts: Promp
 def rewrite_requests(train: DataFrame, pool: DataFrame, settings: Settings = DEFAULTS,
                      prompts: PromptPack = DEFAULT_PROMPTS, facts: FactPack = ZH_FACTS) -> DataFrame:
     """Requests for a fresh reasoning: question, references, and the locked conclusion as an anchor."""
-    anchors = pool.select("qid", anchor_text(extract_facts(pool_text("pool_answers"), facts)).alias("_anchor"))
-    fallback = F.substring(stripped("answer"), 1, settings.clip.anchor_fallback)
+    anchors = pool_targets(pool, facts).select("qid", anchor_text(F.col("facts")).alias("_anchor"))
+    fallback = clipped(stripped("answer"), settings.clip.anchor_fallback)
     return train.join(anchors, "qid", "left").select(
         "qid",
         F.lit(prompts.rewrite_system).alias("system"),
@@ -244,22 +245,20 @@ def rewrite_gates(train: DataFrame, pool: DataFrame, rewrites: DataFrame, settin
     k_select = require_select_k(gates.k_select, gates.min_select_k)
     joined = (
         train.select("qid", "query", "user_prompt", "answer", "reasoning")
-        .join(pool.select("qid", "pool_answers"), "qid", "left")
+        .join(pool_targets(pool, facts).select("qid", F.col("facts.polarity").alias("_pooled")), "qid", "left")
         .join(rewrites.select("qid", strip("natural").alias("natural")), "qid", "left")
         .withColumn("references", references_of("user_prompt"))
         .withColumn("base_think", stripped("reasoning"))
     )
-    allowed_text = pool_text(
-        F.concat(F.array("answer", "reasoning"), F.coalesce("pool_answers", F.array().cast("array<string>")))
-    )
     written = F.col("natural").isNotNull()
     read = joined.withColumn("rule_ok", written & ~has_trace("natural", style)).withColumns(
         {
-            "_allowed": extract_facts(allowed_text, facts),
+            "_own": extract_facts(pool_text(F.array("answer", "reasoning")), facts),
             "_written": extract_facts(F.when(F.col("rule_ok"), F.col("natural")), facts),
         }
     )
-    allowed, wrote = F.col("_allowed.polarity"), F.col("_written.polarity")
+    allowed = F.array_union("_own.polarity", F.coalesce("_pooled", F.array().cast("array<string>")))
+    wrote = F.col("_written.polarity")
     facts_ok = F.col("rule_ok") & ((F.size(allowed) == 0) | (F.size(F.array_except(wrote, allowed)) == 0))
     return read.withColumn("facts_ok", facts_ok).select(
         "qid", "query", "user_prompt", "answer", "natural", "base_think", "references", "rule_ok", "facts_ok",

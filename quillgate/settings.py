@@ -23,7 +23,6 @@ class GateSettings:
     k_screen: int = 2
     k_select: int = 16
     k_eval: int = 3
-    k_online: int = 2
     in_pool_floor: float = 0.85
     min_select_k: int = 16
 
@@ -55,7 +54,6 @@ class RewardSettings:
     answer_out_of_pool: float = -3.0
     answer_not_comparable: float = -2.0
     rule_fail_base: float = 0.50
-    rule_fail_judge_weight: float = 0.20
     rule_pass_base: float = 1.00
     rule_pass_judge_weight: float = 0.40
     think_min_chars: int = 40
@@ -86,21 +84,17 @@ class TargetSettings:
     rft: int = 200
     dpo: int = 900
     sft_eval_fraction: float = 0.10
-    pool_samples: int = 8
-    rft_candidates: int = 32
-    dpo_candidates: int = 16
-    group_size: int = 8
 
 
 @dataclass(frozen=True)
 class ClipSettings:
-    """Character limits applied before text enters a request."""
+    """Character limits applied before text enters a request; none unless a deployment sets them."""
 
-    judge_reference: int = 3500
-    judge_think: int = 4000
-    rewrite_reference: int = 6000
-    rewrite_query: int = 500
-    anchor_fallback: int = 1500
+    judge_reference: int | None = None
+    judge_think: int | None = None
+    rewrite_reference: int | None = None
+    rewrite_query: int | None = None
+    anchor_fallback: int | None = None
 
 
 @dataclass(frozen=True)

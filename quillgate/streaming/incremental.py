@@ -9,9 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from quillgate.functions.text import filled_question_id
 from quillgate.operators.dedup import first_per_key
 from quillgate.operators.joins import not_done
+from quillgate.operators.pools import pool_targets
 from quillgate.operators.scorecard import score_rows
 from quillgate.schemas import schema
 from quillgate.sources.jsonl import exists
+from quillgate.sources.settle import settled
 
 
 def score_stream(spark: SparkSession, inbox: str, pool: DataFrame, scores: DataFrame, sink: str, checkpoint: str,
@@ -26,6 +28,8 @@ def score_stream(spark: SparkSession, inbox: str, pool: DataFrame, scores: DataF
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
     arriving = source.json(inbox)
+    # Facts of the pool are read once, not for every batch.
+    targets = settled(pool_targets(pool))
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -36,7 +40,7 @@ def score_stream(spark: SparkSession, inbox: str, pool: DataFrame, scores: DataF
         if exists(session, base):
             done = session.read.parquet(sink).filter((F.col("tag") == tag) & (F.col("batch") != batch_id))
             fresh = not_done(fresh, done, "qid")
-        score_rows(fresh, pool, scores).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        score_rows(fresh, targets, scores).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
 
     writer = arriving.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
     if available_now:

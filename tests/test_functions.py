@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgate.functions import facts, noise, penalties, replies, style, tags, text
-from quillgate.settings import DEFAULTS, NoiseSettings
+from quillgate.settings import ClipSettings, DEFAULTS, NoiseSettings
 
 N = DEFAULTS.noise
 
@@ -331,12 +331,14 @@ def test_judge_replies(ask):
 
 def test_score_key_and_prompts(ask):
     k = replies.score_key("v", F.lit("参考"), F.lit("想"), 16)
-    p = replies.judge_prompt(F.lit("R" * 5000 + "{think}"), F.lit("T{reference}"), replies.DEFAULT_PROMPTS, DEFAULTS.clip)
+    p = replies.judge_prompt(F.lit("R" * 5000 + "{think}"), F.lit("T{reference}"), replies.DEFAULT_PROMPTS, ClipSettings(judge_reference=3500))
+    whole = replies.judge_prompt(F.lit("R" * 5000), F.lit("T" * 5000), replies.DEFAULT_PROMPTS, DEFAULTS.clip)
     names = F.when(F.col("t") == "none", None).otherwise(F.col("t"))
-    got = ask(["base", "", "none", "dpo"], k=k, p=p,
+    got = ask(["base", "", "none", "dpo"], k=k, p=p, w=whole,
               s=replies.system_prompt_for(names, "base", replies.DEFAULT_PROMPTS))
     assert got[0]["k"] == hashlib.sha1("v\0参考\0想\0".encode() + b"16\0").hexdigest()
     assert "R" * 3500 in got[0]["p"] and "R" * 3501 not in got[0]["p"] and "T{reference}" in got[0]["p"]
+    assert "R" * 5000 in got[0]["w"] and "T" * 5000 in got[0]["w"]
     retrieval, neutral = replies.DEFAULT_PROMPTS.retrieval_system, replies.DEFAULT_PROMPTS.neutral_system
     assert [r["s"] for r in got] == [retrieval, retrieval, retrieval, neutral]
 
