@@ -99,12 +99,13 @@ def mixed(docs: DataFrame, labels: DataFrame | None = None, settings: Settings =
     before = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)  # ``cells`` rows for each source
     offsets = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
     offsets = offsets.join(plan, F.col("source").eqNullSafe(F.col("planned")))
+    # The plan has a row for each cell of each source; it grows with the sources, so it is not broadcast.
     # Cells that the prefix passes or never reaches need no order; one cell of each source does.
     offsets = written(offsets.select(
         F.col("source").alias("s"), F.col("cell").alias("c"), "offset", "source_size", "target", "epochs", "rest",
         ((F.col("offset") < F.col("rest")) & (F.col("offset") + F.col("cell_size") > F.col("rest"))).alias("cut"),
     ), "mix-plan")
-    rows = keyed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
+    rows = keyed.join(offsets.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
     order = W.partitionBy("source", "cell").orderBy("key", "draw", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     whole = rows.where("NOT cut").withColumn("chosen", F.col("offset") < F.col("rest"))
     start = F.col("offset") + F.coalesce(F.sum("size").over(order), F.lit(0))
