@@ -297,6 +297,11 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- facts and pools
 
+_ANCHOR_SQL = "concat_ws(chr(10), " + ", ".join(
+    f"CASE WHEN len({column}) > 0 THEN '{label}' || array_to_string({column}, '、') END"
+    for (_, label), column in zip(facts.ANCHOR_LABELS, ("p_pol", "p_val", "p_date"))
+) + ")"
+
 LATIN_FACTS = FactPack(
     polarity=("there", "the", "her", "ere", "tion", "ation", "on"),
     date=r"\d{4}-\d{2}-\d{2}", values=(r"\d+(?:\.\d+)?%", r"\d{3,}"), units=(),
@@ -357,9 +362,7 @@ def _(spark, sf):
 @query("pool_facts", f"""
 WITH {CANDIDATES_CTE}, {POOL_CTE} SELECT qid, array_to_string(p_pol, '|') AS polarity, array_to_string(p_val, '|') AS vals,
   array_to_string(p_date, '|') AS dates, len(p_pol) + len(p_val) + len(p_date) > 0 AS trainable,
-  concat_ws(chr(10), CASE WHEN len(p_pol) > 0 THEN '结论方向（只能落在这些极性上、不得相反）：' || array_to_string(p_pol, '、') END,
-    CASE WHEN len(p_val) > 0 THEN '可用的关键数字/金额/比例（只能用这些、不得新增）：' || array_to_string(p_val, '、') END,
-    CASE WHEN len(p_date) > 0 THEN '涉及日期/期限：' || array_to_string(p_date, '、') END) AS anchor
+  {_ANCHOR_SQL} AS anchor
 FROM (SELECT qid, {o.facts("array_to_string(pool_answers, '#')", 'p')} FROM pool)""")
 def _(spark, sf):
     sampled = candidates(spark, sf).filter("l_tax <= 0.045")
@@ -735,12 +738,25 @@ SELECT qid AS query, md5({_WRAP.format(t='think')}) AS completion, 3::BIGINT AS
 WHERE selected AND rn <= coalesce((SELECT ceil(min(rn) / 48.0) * 48 FROM h WHERE hits >= 200), 9e18)""")
 def _(spark, sf):
     results = settled(_selected(spark, sf))  # read several times by the early stop
-    gathered = ranking.gather_until(results, "qid", "selected", 200, 48, 42).filter("selected")
-    rows = training_rows.sft_rows(gathered, "best_think")
+    rows = training_rows.sft_rows(training_rows.until_target(results, DEFAULTS.targets.rft), "best_think")
     return rows.select("query", F.md5(F.element_at("messages", -1)["content"]).alias("completion"),
                        big(F.size("messages")).alias("n_messages"))
 
 
+_UNTIL = """r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || qid)) AS rn FROM {rows}),
+h AS (SELECT rn, sum(CASE WHEN selected THEN 1 ELSE 0 END) OVER (ORDER BY rn) AS hits FROM r),
+u AS (SELECT * FROM r WHERE selected AND rn <= coalesce((SELECT ceil(min(rn) / 48.0) * 48 FROM h WHERE hits >= {target}), 9e18))"""
+
+
+@query("preference_pairs_until_target", f"""
+WITH {_SELECT_CTE}, {_UNTIL.format(rows='chosen', target=900)} SELECT qid AS query, md5({_WRAP.format(t='think')}) AS chosen,
+  md5({_WRAP.format(t='b_think')}) AS rejected FROM u""")
+def _(spark, sf):
+    results = settled(_selected(spark, sf))
+    pairs = training_rows.pair_rows(training_rows.until_target(results, DEFAULTS.targets.dpo))
+    return pairs.select("query", F.md5(F.element_at("messages", -1)["content"]).alias("chosen"), F.md5("rejected_response").alias("rejected"))
+
+
 @query("judge_requests", f"""
 WITH {_SELECT_CTE} SELECT DISTINCT {o.key(_REF, 'think', 2)} AS key,
   md5('R' || {_REF} || 'T' || think || 'E') AS prompt, 2 AS k FROM alive""")
@@ -806,12 +822,19 @@ def _(spark, sf):
     return both.select("query", F.md5(F.element_at("messages", -1)["content"]).alias("completion"), "held_out")
 
 
+@query("sft_rows_until_target", f"""
+WITH {_REWRITE_CTE}, {_UNTIL.format(rows='g6', target=700)}, e AS (SELECT *, (row_number() OVER (ORDER BY qid) - 1) % 10 = 0 AS held_out FROM u)
+SELECT qid AS query, held_out FROM e""")
+def _(spark, sf):
+    results = settled(_rewrite_results(spark, sf))
+    train, held = training_rows.sft_train_and_eval(training_rows.until_target(results, DEFAULTS.targets.sft))
+    return train.select("query", F.lit(False).alias("held_out")).unionByName(held.select("query", F.lit(True).alias("held_out")))
+
+
 @query("rewrite_requests", f"""
 WITH {CANDIDATES_CTE}, {POOL_CTE}, pf AS (SELECT qid, {o.facts("array_to_string(pool_answers, '#')", 'p')} FROM pool),
 base AS (SELECT qid, min_by(answer, cand_idx) AS b_answer FROM cand GROUP BY qid),
-a AS (SELECT qid, b_answer, concat_ws(chr(10), CASE WHEN len(p_pol) > 0 THEN '结论方向（只能落在这些极性上、不得相反）：' || array_to_string(p_pol, '、') END,
-    CASE WHEN len(p_val) > 0 THEN '可用的关键数字/金额/比例（只能用这些、不得新增）：' || array_to_string(p_val, '、') END,
-    CASE WHEN len(p_date) > 0 THEN '涉及日期/期限：' || array_to_string(p_date, '、') END) AS anchor FROM base LEFT JOIN pf USING (qid))
+a AS (SELECT qid, b_answer, {_ANCHOR_SQL} AS anchor FROM base LEFT JOIN pf USING (qid))
 SELECT qid, md5('Q' || qid || 'R第' || qid || '题的依据A' || coalesce(nullif(anchor, ''), trim(b_answer))) AS prompt FROM a""")
 def _(spark, sf):
     _, base, pooled = _selection_inputs(spark, sf)

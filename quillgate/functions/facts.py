@@ -195,7 +195,7 @@ def pool_is_trainable(pool_facts: Column) -> Column:
 
 
 # The labels of the three anchor lines.
-_ANCHOR_LABELS = (
+ANCHOR_LABELS = (
     ("polarity", "结论方向（只能落在这些极性上、不得相反）："),
     ("value", "可用的关键数字/金额/比例（只能用这些、不得新增）："),
     ("date", "涉及日期/期限："),
@@ -206,6 +206,6 @@ def anchor_text(facts: Column) -> Column:
     """Labelled, sorted, joined facts of a pool; empty string when it has none."""
     lines = [
         F.when(F.size(facts[kind]) > 0, F.concat(F.lit(label), F.array_join(facts[kind], "、")))
-        for kind, label in _ANCHOR_LABELS
+        for kind, label in ANCHOR_LABELS
     ]
     return F.concat_ws("\n", *lines)

@@ -108,7 +108,9 @@ def judge_score(reply: Column | str) -> Column:
     """
     text = text_or_empty(reply)
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    strict = F.get_json_object(body, "$.clean_score").try_cast("double")
+    # Of a repeated key the last value counts; true and false are numbers.
+    read = F.from_json(body, "clean_score string")["clean_score"]
+    strict = F.when(read == "true", 1.0).when(read == "false", 0.0).otherwise(read.try_cast("double"))
     loose = F.regexp_extract(text, r'(?U)"clean_score"\s*:\s*([0-9.]+)', 1).try_cast("double")
     score = F.coalesce(strict, loose)
     return F.when(score.isNotNull() & ~F.isnan(score), F.greatest(F.lit(0.0), F.least(F.lit(10.0), score)))

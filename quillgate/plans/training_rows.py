@@ -25,7 +25,7 @@ from quillgate.functions.text import filled_question_id, first_non_empty, strip,
 from quillgate.operators.candidates import best_of, explode_candidates, gated_candidates
 from quillgate.operators.joins import join_unique, leaked_questions, sample_keys, without_pool
 from quillgate.operators.pools import pool_targets
-from quillgate.operators.ranking import hold_out_every, shuffled_limit
+from quillgate.operators.ranking import gather_until, hold_out_every, shuffled_limit
 from quillgate.operators.scores import require_select_k, with_scores
 from quillgate.settings import DEFAULTS, Settings
 
@@ -302,6 +302,12 @@ def selection_funnel(results: DataFrame) -> DataFrame:
     )
 
 
+def until_target(results: DataFrame, target: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Selected rows of the seeded-order chunks up to the one that reaches ``target`` of them."""
+    split = settings.split
+    return gather_until(results, "qid", "selected", target, split.gather_chunk, split.gather_seed).filter("selected")
+
+
 def sft_train_and_eval(results: DataFrame, settings: Settings = DEFAULTS,
                        prompts: PromptPack = DEFAULT_PROMPTS) -> tuple[DataFrame, DataFrame]:
     """Selected rewrites as rows, every N-th question (in qid order) held out."""

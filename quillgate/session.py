@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "quillgate", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
+    work = tempfile.mkdtemp(prefix="quillgate-ckpt-")
+    atexit.register(shutil.rmtree, work, ignore_errors=True)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -20,7 +24,7 @@ def local_session(app: str = "quillgate", cpus: str | int = "*", shuffle_partiti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quillgate-ckpt-"))
+        .config("spark.checkpoint.dir", work)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

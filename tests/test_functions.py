@@ -324,9 +324,9 @@ def test_tiers_must_ascend():
 def test_judge_replies(ask):
     texts = ['{"clean_score": 7.5}', '好的 {"clean_score": 12, "reason": "x"} 完', '{"clean_score": -1}',
              'broken {"clean_score": 3.5, ', "no score", None, '{"clean_score": null}', '{"clean_score": "6"}',
-             '{"other": 1}', '{"clean_score": "NaN"}']
+             '{"other": 1}', '{"clean_score": "NaN"}', '{"clean_score": 3, "clean_score": 8}', '{"clean_score": true}']
     got = [r["s"] for r in ask(texts, s=replies.judge_score("t"))]
-    assert got == [7.5, 10.0, 0.0, 3.5, None, None, None, 6.0, None, None]
+    assert got == [7.5, 10.0, 0.0, 3.5, None, None, None, 6.0, None, None, 8.0, 1.0]
 
 
 def test_score_key_and_prompts(ask):

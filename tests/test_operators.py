@@ -255,3 +255,13 @@ def test_facts_by_key_equals_reading_the_joined_pool(spark):
     joined = df.groupBy("qid").agg(F.collect_list("answer").alias("a"))
     want = {r.qid: r.f.asDict() for r in joined.select("qid", extract_facts(pool_text("a")).alias("f")).collect()}
     assert got == want and len(got["hot"]["value"]) == 7 and got["b"]["value"] == []
+
+
+def test_pool_targets_of_a_hundred_thousand_answers(spark):
+    from quillgate.operators.pools import pool_targets
+
+    long = spark.range(100_000).select(F.lit("q").alias("qid"), F.concat(F.lit("免征"), F.col("id") % 50, F.lit("万元")).alias("answer"))
+    row = pool_targets(long).first()
+    assert row.facts.polarity == ["免征"] and len(row.facts.value) == 50
+    nested = spark.createDataFrame([("a", ["免征3万元", None]), ("b", [])], "qid string, pool_answers array<string>")
+    assert {r.qid: r.facts.value for r in pool_targets(nested).collect()} == {"a": ["3万"]}
