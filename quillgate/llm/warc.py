@@ -11,8 +11,8 @@ are dealt to ranges of (URL key, time, page), and each range merges its pieces o
 by a loser tree: the result is globally ordered by range and inside each range.
 
 Rows meet by payload digest in a join that can be split, and a hot URL spreads over ranges by
-time.  Payloads are held one archive at a time (``archive_bytes``; a longer payload is alone
-in excess of it).
+time.  Payloads are held one archive at a time when read; an archive has as many records as
+``archive_bytes`` hold at the mean payload.
 
 Defined results: a null html is an empty payload; a null url has an empty key and comes back
 null; line breaks in a url are percent-encoded.  A null page is never the one referred to.
@@ -45,7 +45,7 @@ _END = "\r\n\r\n"
 @dataclass(frozen=True)
 class Settings:
     least_bytes: int = 100
-    archive_bytes: int = 8 << 20  #: payload bytes of an archive, about
+    archive_bytes: int = 8 << 20  #: payload bytes of an archive at the mean payload
     range_rows: int = 100_000  #: captures of a range, about
 
 
@@ -84,11 +84,11 @@ def write_archives(pages: DataFrame, path: str, settings: Settings = Settings(),
         )).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(_END),
     )
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
-    archives = max(1, math.ceil(total / settings.archive_bytes))
+    mean = max(1.0, rows.agg(F.avg("bytes")).first()[0] or 0.0)
     records = told.select(url_key(F.col("url")).alias("key"), "ts", F.coalesce("page_id", F.lit(-1)).alias("page"), F.concat(header, "payload").alias("value"))
-    dealt = records.repartition(archives, F.xxhash64("page", "key")).sortWithinPartitions("key", "ts", "page")
-    dealt.select("value").write.option("lineSep", _END).option("compression", "gzip").text(path)
+    # Pages are written where the join has brought them: payloads are shuffled once.
+    run = records.sortWithinPartitions("key", "ts", "page").select("value").write.option("maxRecordsPerFile", max(1, int(settings.archive_bytes / mean)))
+    run.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
