@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgate.operators.joins import join_unique
 from quillgate.operators.ranking import running_totals
+from quillgate.sources.settle import settled
 
 
 def fit_tiers(observations: DataFrame, tier: str, score: str) -> DataFrame:
@@ -57,12 +59,12 @@ def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal (x, y) pairs are counted first, so a hot value is one row in the rank joins and
     the result is a weighted correlation over distinct pairs.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_w"))
+    pairs = settled(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_w")))
     weights_x = pairs.groupBy(x).agg(F.sum("_w").alias("_ties"))
     weights_y = pairs.groupBy(y).agg(F.sum("_w").alias("_ties"))
-    ranked = (
-        pairs.join(_ranks_of(weights_x, x, "_rx"), x).join(_ranks_of(weights_y, y, "_ry"), y)
-    )
+    # A value may stand in a large share of the pairs.
+    ranked = join_unique(pairs, _ranks_of(weights_x, x, "_rx"), x, how="inner")
+    ranked = join_unique(ranked, _ranks_of(weights_y, y, "_ry"), y, how="inner", count_from=pairs)
     # Average ranks always have the mean (n + 1) / 2; centring keeps the sums exact enough at any size.
     middle = (pairs.agg(F.sum("_w").alias("_n")).scalar() + 1) / F.lit(2.0)
     w, dx, dy = F.col("_w"), F.col("_rx") - middle, F.col("_ry") - middle

@@ -69,11 +69,12 @@ def group_advantage(rewards: DataFrame, key: str = "qid", reward: str = "reward"
     from quillgate.operators.joins import join_unique
 
     spread = F.stddev_samp(reward) if ddof == 1 else F.stddev_pop(reward)
-    stats = rewards.groupBy(key).agg(F.avg(reward).alias("_mean"), spread.alias("_std"))
+    # One narrow row for each group; it also tells which groups are large.
+    stats = settled(rewards.groupBy(key).agg(F.avg(reward).alias("_mean"), spread.alias("_std"), F.count("*").alias("_n")))
     scaled = (F.col(reward) - F.col("_mean")) / F.col("_std")
     no_spread = F.col("_std").isNull() | (F.col("_std") == 0.0)
     return (
-        join_unique(rewards, stats, key)
+        join_unique(rewards, stats.drop("_n"), key, counts=stats.filter(F.col(key).isNotNull()).select(key, "_n"))
         .withColumn("advantage", F.when(no_spread, F.lit(0.0)).otherwise(scaled))
         .drop("_mean", "_std")
     )

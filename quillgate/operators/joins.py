@@ -18,20 +18,28 @@ NULL_SHARES = 4096
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
     """``key, _copies`` of the largest keys; counts are combined before the shuffle."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return largest_keys(df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), key, min_rows)
+
+
+def largest_keys(counts: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """The same from counts ``(key, _n)`` that are known already."""
     largest = counts.filter(F.col("_n") >= min_rows).orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
     return largest.select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias("_copies"))
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left", min_rows: int = HOT_ROWS,
-                count_from: DataFrame | None = None) -> DataFrame:
+                count_from: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Join to a table with one row per key, spreading hot keys of the left side.
 
     A hot key is cut into salted shares and only its single row on the right is copied
     to each share, so the other keys cost nothing extra.  ``count_from`` is a cheaper
-    table with the same keys to find the hot ones in, when ``left`` is costly to compute.
+    table with the same keys to find the hot ones in, when ``left`` is costly to compute;
+    ``counts`` are its rows for each key, ``(key, _n)``, where they are known.
     """
-    hot = F.broadcast(hot_keys(left if count_from is None else count_from, key, min_rows))
+    if counts is None:
+        hot = F.broadcast(hot_keys(left if count_from is None else count_from, key, min_rows))
+    else:
+        hot = F.broadcast(largest_keys(counts, key, min_rows))
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     # The share follows from the row itself, so a task that is run again sends every row
     # to the same place.  Rows of other keys are not hashed.
