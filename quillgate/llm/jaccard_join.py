@@ -204,8 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        if after.select("b").intersect(after.select(F.col("a").alias("b"))).isEmpty():  # all edges lead to a root
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        rooted = after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        # Done when every node has one root: none is source and target, none is tied to two roots.
+        if rooted.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least < last").isEmpty():
+            return rooted
         now = after
 
 

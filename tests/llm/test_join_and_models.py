@@ -84,6 +84,20 @@ def test_components_of_paths_and_stars(spark):
     assert rows_of(got, "node", "root") == sorted(want, key=repr)
 
 
+def test_components_of_shuffled_paths_and_trees(spark):
+    import random
+
+    shapes = [[(10, 5), (5, 3), (3, 1), (10, 2)]]
+    for seed, tree in ((1, False), (2, False), (3, True)):
+        rng = random.Random(seed)
+        name = rng.sample(range(100), 8)
+        shapes.append([(name[k], name[rng.randrange(k) if tree else k - 1]) for k in range(1, 8)])
+    for edges in shapes:  # one at a time: a component that needs more rounds hides another's early stop
+        got = jaccard_join.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        nodes = {x for e in edges for x in e}
+        assert rows_of(got, "node", "root") == sorted(((x, min(nodes)) for x in nodes), key=repr)
+
+
 def test_empty_join(nothing):
     assert jaccard_join.joined(nothing).count() == 0
 
