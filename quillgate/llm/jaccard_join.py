@@ -240,7 +240,8 @@ def joined(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("hub"), F.lit(bins))).otherwise(F.xxhash64("hub", F.least("mine", "other"), F.greatest("mine", "other"))).alias("task"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("same"),
     )
-    texts = packed(rows.select("row", "text")).withColumnRenamed("row", "rep")
+    # Equal rows send one text: a task must not meet copies of a representative.
+    texts = packed(rows.select("row", "text")).dropDuplicates(["row"]).withColumnRenamed("row", "rep")
     # Texts always meet their members by a shuffle: the member lists grow with the input, so a plan
     # that broadcasts them on small tables would say nothing about large ones.
     members = texts.join(written(of_text, "text-hubs").hint("merge"), "rep").join(written(placed, "placed").hint("merge"), "rep")

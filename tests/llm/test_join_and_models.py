@@ -98,6 +98,15 @@ def test_components_of_shuffled_paths_and_trees(spark):
         assert rows_of(got, "node", "root") == sorted(((x, min(nodes)) for x in nodes), key=repr)
 
 
+def test_equal_rows_of_a_representative_link_once(spark):
+    base = sentence(900, 120)
+    near = " ".join(w if k != 60 else "changed" for k, w in enumerate(base.split()))
+    texts = [(1, base)] * 3 + [(2, near)] * 2 + [(3, base), (4, sentence(901, 50))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    got = jaccard_join.joined(docs)
+    assert rows_of(got, "doc_id", "class_id", "n_links", "text_id") == brute_groups(texts)
+
+
 def test_empty_join(nothing):
     assert jaccard_join.joined(nothing).count() == 0
 
