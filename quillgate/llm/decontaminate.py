@@ -91,8 +91,9 @@ def anchors_of(phrases: DataFrame, index: DataFrame, settings: Settings = Settin
 
 def exact_matches(index: DataFrame, anchors: DataFrame) -> DataFrame:
     """``(doc, start, phrase)`` where all anchors of a phrase stand at their offsets."""
-    lists = index.join(anchors, "term").select("phrase", "doc", (F.col("pos") - F.col("offset")).alias("start"), "n_anchors")
-    met = lists.where("start >= 0").groupBy("phrase", "doc", "start").agg(F.count(F.lit(1)).alias("n"), F.first("n_anchors").alias("n_anchors"))
+    lists = index.join(anchors, "term").select("phrase", "doc", "offset", (F.col("pos") - F.col("offset")).alias("start"), "n_anchors")
+    # Equal rows share their ``doc`` and give equal postings: offsets are counted, not postings.
+    met = lists.where("start >= 0").groupBy("phrase", "doc", "start").agg(F.count_distinct("offset").alias("n"), F.first("n_anchors").alias("n_anchors"))
     return met.where("n = n_anchors").select("doc", "start", "phrase")
 
 

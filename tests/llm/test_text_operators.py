@@ -129,6 +129,18 @@ def test_benchmark_windows_are_found(spark, awkward):
     assert sorted((r["doc_id"] for r in clean.collect()), key=repr) == want
 
 
+def test_equal_contaminated_rows_are_all_found(spark):
+    passage = sentence(60, 20)
+    dirty = sentence(61, 30) + " " + passage + " " + sentence(62, 5)
+    texts = [(1, dirty)] * 3 + [(2, dirty), (None, dirty), (None, dirty), (3, sentence(63, 40)), (3, sentence(63, 40))]
+    items = [(1, passage), (2, " ".join(passage.split()[:1]))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.decontamination_report(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items")
+    assert table_of(got) == brute_hits(texts, items)
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()] == [3, 3]
+
+
 def test_proximity_allows_a_slip(spark):
     docs = spark.createDataFrame([(1, "red x green blue"), (2, "red green blue"), (3, "red x y z green"), (4, "green red")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "red green")], "item_id bigint, text string")
