@@ -33,10 +33,13 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least ``doc_id`` of each group of near duplicates stays, once; documents without an id stay."""
+    """The least ``doc_id`` of each group of near duplicates stays, once; documents without an id stay.
+
+    Unrelated texts under one ``doc_id`` are groups of their own and all stay.
+    """
     found = jaccard_join.joined(docs)
-    firsts = found.where("doc_id = class_id").select("class_id", "row").distinct()
-    stay = firsts.groupBy("class_id").agg(F.min("row").alias("row")).select("row").unionByName(found.where("doc_id IS NULL").select("row").distinct())
+    firsts = found.where("doc_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    stay = firsts.select("first.row").unionByName(found.where("doc_id IS NULL").select("row").distinct())
     once = carried(docs).withColumn("nth", F.row_number().over(W.partitionBy("row").orderBy("row"))).where(
         (F.col("nth") == 1) | F.col("whole").getField("doc_id").isNull()
     )

@@ -212,10 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, row, class_id, n_links, text_id``: one row for each row of ``docs``.
+    """``doc_id, row, class_id, n_links, text_id, group_id``: one row for each row of ``docs``.
 
     ``text_id`` is the least id with the same shingle set, ``class_id`` the least id of the
     group of linked texts, ``n_links`` the number of other shingle sets at the threshold.
+    ``group_id`` tells groups apart: unlike ``class_id`` it differs between unrelated texts
+    that share a ``doc_id``.  It is the hash of a row of the group.
     """
     rows = documents_of(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     signed = written(
@@ -254,10 +256,17 @@ def joined(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     named = roots.join(classes.select(F.col("rep").alias("node"), "text_id"), "node")
     group = written(named.groupBy("root").agg(F.min("text_id").alias("class_id")), "groups")
     whole = classes.select("c1", "c2", "text_id", "rep").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(group, "root", "left")
-    told = written(whole.select("c1", "c2", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), "class-table")
+    told = written(
+        whole.select(
+            "c1", "c2", "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+            F.coalesce("root", "rep").alias("group_id"),
+        ),
+        "class-table",
+    )
     by_row = signed.select("row", "c1", "c2").distinct().join(told, ["c1", "c2"]).drop("c1", "c2")
     return rows.select("row", "doc_id").join(by_row, "row", "left").select(
-        "doc_id", "row", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("text_id", "doc_id").alias("text_id")
+        "doc_id", "row", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("text_id", "doc_id").alias("text_id"),
+        F.coalesce("group_id", "row").alias("group_id"),
     )
 
 

@@ -339,6 +339,15 @@ def test_one_document_of_each_group_stays(spark, awkward, tables):
     assert sum(r["doc_id"] is None for r in stay) == 2
 
 
+def test_unrelated_texts_under_one_id_all_stay(spark, tables):
+    texts = [(13, sentence(920, 60)), (13, sentence(921, 60)), (13, None), (13, ""), (14, sentence(920, 60)), (14, sentence(922, 60)), (13, sentence(921, 60)), (13, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    stay = corpus_pipeline.drop_near_duplicates(spark, docs, tables).select("doc_id", "text").collect()
+    assert sorted(map(tuple, stay), key=repr) == sorted({*texts} - {texts[4]}, key=repr)
+    groups = {(r["row"], r["group_id"]) for r in jaccard_join.joined(docs).collect()}
+    assert len(groups) == 6 and len({g for _, g in groups}) == 5
+
+
 def test_contaminated_documents_go(spark, awkward, tables):
     stay = {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, awkward, tables).collect()}
     assert stay == {i for i, _ in awkward_texts()} - {8, 9, 16, 17}
