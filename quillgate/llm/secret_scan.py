@@ -8,12 +8,16 @@ and holds a digit, or is longer still.  Its features:
   character pairs under the corpus' own letters-only words
 * dictionary coverage: the share of its characters in letter runs that the corpus knows as
   words of at least ``least_documents`` documents
-* path and neighbouring words: smoothed log odds of true findings, from the labelled ones
+* path and the word after it: smoothed log odds of true findings, from the labelled ones
+
+An assignment in the same word (``token="..."``) is cut off before the features are computed.
 
 Labels come from a table of findings ``(doc_id, at, label)``.  ``pattern_labels`` makes one
-where nobody has reviewed findings: a quoted value after ``name =`` or ``name :`` with a
-credential's name is true, any other candidate false.  The labels of documents that are held
-out never reach the model.
+where nobody has reviewed findings: a value assigned to a credential's name is true, quoted or
+not, with or without blanks; numbers, addresses and dictionary words are false; any other
+candidate, and one that is both, has no label.  What these labels look at, the words before a
+candidate and its quotes, is no feature.  The labels of documents that are held out never
+reach the model.
 
 Only DataFrame operations and Spark's own forest are used.  Dictionary, transition, path and
 neighbour statistics cover all documents; the forest is fitted on at most ``most_findings``
@@ -22,7 +26,8 @@ so the later joins move a small table; hot words are summed before they are join
 
 Defined results: a null, empty or wordless text has no candidate.  Rows that repeat a
 ``doc_id`` and text give equal findings once.  Without true or without false labels all
-candidates get the smoothed share of true labels as their score.
+candidates get the smoothed share of true labels as their score; without true labels none is
+a secret.
 """
 
 from __future__ import annotations
@@ -40,10 +45,14 @@ from quillgate.llm.shared import bound, table, written
 _SPACES = r"[\x20\x09-\x0D]+"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 _FEATURES = [
-    "length", "digits", "lower", "upper", "distinct_chars", "class_changes", "quoted", "assigned", "pair_logp", "coverage", "path_odds", "left_odds", "right_odds",
+    "length", "digits", "lower", "upper", "distinct_chars", "class_changes", "pair_logp", "coverage", "path_odds", "right_odds",
 ]
 #: Names that a credential is assigned to, for ``pattern_labels``.
 CREDENTIAL_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key", "auth")
+_ASSIGNED = "(?:" + "|".join(CREDENTIAL_NAMES) + r""")[\w.-]{0,40}["'`\])]{0,2}"""
+_SIGN = "(?::=|=>|==?|:)"
+#: Numbers, dates, times, IP addresses, mails.
+_CLEAR = r"^[+-]?[0-9][0-9.,_:/-]*$|^[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}$|^[^@:/]+@[^@:/]+\.\p{L}{2,}$"
 
 
 @dataclass(frozen=True)
@@ -60,7 +69,11 @@ class Settings:
 
 
 def candidates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, row, path, at, value, left1, left2, right1, quoted, assigned``."""
+    """``doc_id, row, path, at, value, left1, left2, right1, bare, assigned``.
+
+    ``bare`` is the value without a credential's name and sign in the same word; ``assigned``
+    says that it is assigned to such a name, in this word or by the words before.
+    """
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), _SPACES, -1), lambda w: w != "")
     n, plain = settings.least_length, settings.least_plain_length
@@ -79,15 +92,18 @@ def candidates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     return rows.select("doc_id", "row", "path", F.explode("all").alias("c")).select(
         "doc_id", "row", "path", "c.at", "c.value", "c.left1", "c.left2", "c.right1",
-        F.rlike("c.word", F.lit("""^["'`].*["'`]""")).cast("int").alias("quoted"), F.coalesce(F.col("c.left1").isin("=", ":", ":=", "=>").cast("int"), F.lit(0)).alias("assigned"),
+        F.coalesce(F.nullif(F.regexp_replace("c.value", f"(?i)^.*?{_ASSIGNED}{_SIGN}[\"'`]*", ""), F.lit("")), "c.value").alias("bare"),
+        F.concat_ws(" ", "c.left2", "c.left1", "c.word").rlike(f"(?i){_ASSIGNED} ?{_SIGN} ?[^ ]+$").alias("assigned"),
     ).distinct()
 
 
 def pattern_labels(found: DataFrame) -> DataFrame:
-    """``doc_id, at, label`` by assignment pattern, a stand-in for reviewed findings."""
-    named = F.coalesce(F.lower("left2").rlike("(" + "|".join(CREDENTIAL_NAMES) + ")"), F.lit(False))
-    true = (F.col("assigned") == 1) & (F.col("quoted") == 1) & named
-    return found.select("doc_id", "row", "at", true.cast("int").alias("label"))
+    """``doc_id, row, at, label`` of clear cases, a stand-in for reviewed findings."""
+    plain = found.where(F.col("bare").rlike(r"^\p{Lu}?\p{Ll}+$")).groupBy("bare").agg(F.count_distinct("row").alias("n"))
+    known = plain.where(F.col("n") >= Settings().least_documents).select("bare", F.lit(True).alias("is_word"))
+    clear = F.col("bare").rlike(_CLEAR) | F.coalesce("is_word", F.lit(False))
+    told = found.join(known, "bare", "left").where(F.col("assigned") != clear)
+    return told.select("doc_id", "row", "at", F.col("assigned").cast("int").alias("label"))
 
 
 def dictionary(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -114,7 +130,7 @@ def _odds(of: DataFrame, key: str, name: str, settings: Settings) -> DataFrame:
 
 def features(found: DataFrame, docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The candidates with all features; ``labelled`` has ``row, at, label``."""
-    value = F.col("value")
+    value = F.col("bare")
     share = lambda cls: F.regexp_count(value, F.lit(cls)) / F.char_length(value)
     kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), "[0-9]+", "9")
     base = found.select(
@@ -130,23 +146,22 @@ def features(found: DataFrame, docs: DataFrame, labelled: DataFrame, settings: S
         "pair", F.log((F.col("n") + a) / (F.col("all") + a * 37)).alias("logp")
     )  # 37 classes: at most 1,369 pairs, the bound of these broadcasts
     unseen = -10.0
-    values = written(found.select("value").distinct(), "secret-values")
-    fluency = values.select("value", F.explode(_pairs(value)).alias("pair")).join(F.broadcast(pairs), "pair", "left").groupBy("value").agg(
+    values = written(found.select("bare").distinct(), "secret-values")
+    fluency = values.select("bare", F.explode(_pairs(value)).alias("pair")).join(F.broadcast(pairs), "pair", "left").groupBy("bare").agg(
         F.avg(F.coalesce("logp", F.lit(unseen))).alias("pair_logp")
     )
-    runs = values.select("value", F.explode(F.regexp_extract_all(F.lower(value), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word"))
-    covered = runs.join(known.select("word"), "word").groupBy("value").agg(F.sum(F.char_length("word")).alias("chars"))
+    runs = values.select("bare", F.explode(F.regexp_extract_all(F.lower(value), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word"))
+    covered = runs.join(known.select("word"), "word").groupBy("bare").agg(F.sum(F.char_length("word")).alias("chars"))
     by_value = written(
-        values.join(fluency, "value", "left").join(covered, "value", "left").select(
-            "value", "pair_logp", (F.coalesce("chars", F.lit(0)) / F.char_length("value")).alias("coverage")
+        values.join(fluency, "bare", "left").join(covered, "bare", "left").select(
+            "bare", "pair_logp", (F.coalesce("chars", F.lit(0)) / F.char_length("bare")).alias("coverage")
         ),
         "secret-value-features",
     )
-    marked = written(found.join(labelled.select("row", "at", "label"), ["row", "at"]).select("path", "left1", "left2", "right1", "label"), "secret-labels")
-    lefts = written(_odds(marked.select("left2", "label"), "left2", "left_odds", settings), "left-odds")
+    marked = written(found.join(labelled.select("row", "at", "label"), ["row", "at"]).select("path", "right1", "label"), "secret-labels")
     rights = written(_odds(marked.select("right1", "label"), "right1", "right_odds", settings), "right-odds")
     paths = written(_odds(marked.select("path", "label"), "path", "path_odds", settings), "path-odds")
-    wide = base.join(by_value, "value").join(paths, "path", "left").join(lefts, "left2", "left").join(rights, "right1", "left")
+    wide = base.join(by_value, "bare").join(paths, "path", "left").join(rights, "right1", "left")
     return wide.select("doc_id", "row", "at", "value", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FEATURES])
 
 
@@ -164,7 +179,7 @@ def scanned(docs: DataFrame, labels_of=pattern_labels, learn_from: Column | None
     true, false = sizes.get(1, 0), sizes.get(0, 0)
     if not true or not false:
         score = F.lit((true + settings.smoothing) / (true + false + 2 * settings.smoothing))
-        return rows.select("doc_id", "at", "value", score.alias("score"), (score >= settings.threshold).alias("is_secret"))
+        return rows.select("doc_id", "at", "value", score.alias("score"), (F.lit(true > 0) & (score >= settings.threshold)).alias("is_secret"))
     order = [F.xxhash64("row", "at"), F.col("row"), F.col("at")]
     sample = [known.where(F.col("label") == k).orderBy(*order).limit(settings.most_findings) for k in (0, 1)]
     # At most 2 * most_findings rows, sorted, in one task: the forest is the same on every run.
