@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillgate.llm.decontaminate import OP2_SQL, op2_decontamination
 from quillgate.llm.jaccard_join import op10_jaccard_join
 from quillgate.llm.line_dedup import OP8_SQL, op8_line_dedup
+from quillgate.llm.merkle import OP13_SQL, op13_merkle
 from quillgate.llm.mixing import op4_mixing
 from quillgate.llm.quality import op5_quality
 from quillgate.llm.secret_scan import op3_secret_scan
@@ -24,6 +25,7 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_merkle": op13_merkle,
 }
 
 LLM_ORACLES = {
@@ -31,4 +33,5 @@ LLM_ORACLES = {
     "op6_substring_dedup": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op13_merkle": OP13_SQL,
 }
