@@ -13,6 +13,7 @@ from quillgate.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from quillgate.llm.toxicity import op1_toxicity
 from quillgate.llm.url_filter import op7_url_filter
 from quillgate.llm.warc import OP9_SQL, op9_warc
+from quillgate.llm.whitening import op12_whitening
 
 LLM_QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -25,6 +26,7 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_whitening": op12_whitening,
     "op13_merkle": op13_merkle,
 }
 
