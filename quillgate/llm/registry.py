@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillgate.llm.decontaminate import OP2_SQL, op2_decontamination
+from quillgate.llm.hamming_dedup import op11_hamming_dedup
 from quillgate.llm.jaccard_join import op10_jaccard_join
 from quillgate.llm.line_dedup import OP8_SQL, op8_line_dedup
 from quillgate.llm.merkle import OP13_SQL, op13_merkle
@@ -26,6 +27,7 @@ LLM_QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_hamming_dedup": op11_hamming_dedup,
     "op12_whitening": op12_whitening,
     "op13_merkle": op13_merkle,
 }
