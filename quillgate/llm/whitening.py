@@ -34,6 +34,7 @@ from quillgate.llm.shared import table, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _EPS = np.finfo(float).eps
+_FLOOR = 1e-100  #: stands for the norm of a zero matrix
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,7 @@ def back(mirrors: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
 
 def count_below(diagonal: np.ndarray, beside: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sturm count: how many eigenvalues are less than each value of ``at``."""
-    least = _EPS * max(np.abs(diagonal).max(initial=0), np.abs(beside).max(initial=0), np.finfo(float).tiny)
+    least = _EPS * max(np.abs(diagonal).max(initial=0), np.abs(beside).max(initial=0), _FLOOR)
     q = np.ones(len(at))
     below = np.zeros(len(at), dtype=int)
     for k in range(len(diagonal)):
@@ -105,7 +106,7 @@ def leading_values(diagonal: np.ndarray, beside: np.ndarray, k: int) -> np.ndarr
     around[:-1] += np.abs(beside)
     around[1:] += np.abs(beside)
     lo, hi = (diagonal - around).min(), (diagonal + around).max()
-    slack = 4 * _EPS * max(abs(lo), abs(hi), np.finfo(float).tiny)
+    slack = 4 * _EPS * max(abs(lo), abs(hi), _FLOOR)
     low, high = np.full(k, lo - slack), np.full(k, hi + slack)
     wanted = d - 1 - np.arange(k)  # index of each among all, rising
     for _ in range(200):
@@ -151,7 +152,7 @@ def _solved(diagonal: np.ndarray, beside: np.ndarray, shift: float, right: np.nd
 def inverse_iteration(diagonal: np.ndarray, beside: np.ndarray, values: np.ndarray, gap: float = 1e-3) -> np.ndarray:
     """Unit vectors for the falling ``values``; those closer than ``gap`` of the norm are one cluster."""
     d = len(diagonal)
-    norm = max(np.abs(diagonal).max(initial=0), np.abs(beside).max(initial=0), np.finfo(float).tiny)
+    norm = max(np.abs(diagonal).max(initial=0), np.abs(beside).max(initial=0), _FLOOR)
     out = np.zeros((d, len(values)))
     rng = np.random.default_rng(7)
     first, shift = 0, np.inf
