@@ -55,7 +55,7 @@ class Settings:
     most_chunks: int = 64
     block: int = 1024  #: members of one side of a task
     block_shingles: int = 400_000  #: and their shingles
-    slice_bytes: int = 1 << 20  #: packed texts a worker opens at a time
+    slice_bytes: int = 1 << 18  #: packed texts a worker opens at a time
 
 
 def choose_chunks(settings: Settings) -> tuple[int, int]:

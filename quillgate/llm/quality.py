@@ -60,7 +60,8 @@ def weights_of(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
     trusted = (
         labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"))
         .where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.most_trusted)
+        .where("quality = 1").join(documents_of(docs).select("doc_id"), "doc_id", "left_semi")  # labels of other tables take no place in the sample
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.most_trusted)
         .select("doc_id", F.lit(1).alias("trusted"))
     )
     # At most ``most_trusted`` pairs of numbers: the bound of this broadcast.

@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgate.llm.arrays import SPACE, Texts, mix, range_hashes, slices
 from quillgate.llm.shared import carried, documents_of, table
@@ -52,12 +50,18 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """``weights[feature]`` is the fitted weight times the log-count ratio; zero if unused."""
+    """``values`` of the used ``features``: the fitted weight times the log-count ratio."""
 
-    weights: np.ndarray
+    features: np.ndarray
+    values: np.ndarray
     intercept: float
     settings: Settings
 
+    @property
+    def weights(self) -> np.ndarray:
+        """The value of every feature; zero if unused."""
+        return _dense(self.features, self.values, self.settings)
+
     @property
     def base_score(self) -> float:
         """The score of a text without features."""
@@ -121,16 +125,24 @@ def _total(pdf):
     return pdf[["part"]].head(1).assign(counts=[total.tobytes()])
 
 
-def _picker(used: np.ndarray, settings: Settings):
+def _dense(features: np.ndarray, values: np.ndarray | bool, settings: Settings) -> np.ndarray:
+    """A table over all features, made in the worker: closures carry the used ones only."""
+    out = np.zeros(1 << settings.bits, dtype=np.asarray(values).dtype)
+    out[features] = values
+    return out
+
+
+def _picker(ids: np.ndarray, settings: Settings):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = _dense(ids, True, settings)
         for batch in batches:
-            toxic = batch.column("toxic")
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             for at, to, texts in slices(batch.column("text")):
                 row, feature = _present(texts, settings, used)
-                cuts = np.searchsorted(row, np.arange(to - at + 1))
+                place = np.searchsorted(ids, feature)
                 yield pa.RecordBatch.from_pydict({
-                    "toxic": toxic.slice(at, to - at).cast(pa.int32()),
-                    "features": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature.astype(np.int32))),
+                    "toxic": pa.array([toxic[at:to].astype(np.int8).tobytes()], pa.binary()), "sizes": pa.array([np.bincount(row, minlength=to - at).astype("<i4").tobytes()], pa.binary()),
+                    "places": pa.array([place.astype("<i4").tobytes()], pa.binary()),
                 })
 
     return pick
@@ -139,11 +151,16 @@ def _picker(used: np.ndarray, settings: Settings):
 def _fit(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps over sparse features; the intercept is the last weight."""
     n, k = len(y), len(scale) + 1
-    rows = np.concatenate((rows, np.arange(n)))
-    columns = np.concatenate((columns, np.full(n, k - 1)))
-    values = np.append(scale, 1.0)[columns]
-    times = lambda w: np.bincount(rows, values * w[columns], minlength=n)
-    back = lambda g: np.bincount(columns, values * g[rows], minlength=k)
+    spread = np.append(scale, 1.0)
+
+    def times(w: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, (spread * w)[columns], minlength=n) + w[-1]
+
+    def back(g: np.ndarray) -> np.ndarray:
+        out = np.bincount(columns, g[rows], minlength=k) * spread
+        out[-1] = g.sum()
+        return out
+
     v = np.ones(k) / np.sqrt(k)
     for _ in range(20):  # the largest curvature bounds the step
         v = back(times(v))
@@ -161,11 +178,15 @@ def _fit(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, y: np.ndarray
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on ``labels`` (doc_id, toxic) and the texts of ``docs`` (doc_id, text)."""
+    """Fit on ``labels`` (doc_id, toxic) and the texts of ``docs`` (doc_id, text).
+
+    The sample is taken among labels whose documents are there.
+    """
     known = (
         labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"))
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        .join(documents_of(docs).select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.most_labelled)
     )
     # At most ``most_labelled`` pairs of numbers: the bound of this broadcast.
@@ -183,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         else:
             counts[:, part : part + _CHUNK] = got.reshape(2, -1)
     prior = (n[1] + 1) / (n.sum() + 2)
-    flat = Model(np.zeros(size, dtype=np.float32), float(np.log(prior / (1 - prior))), settings)
+    flat = Model(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), float(np.log(prior / (1 - prior))), settings)
     if not n.all():
         return flat
     share = (counts + settings.smoothing) / (n[:, None] + 2 * settings.smoothing)
@@ -192,27 +213,30 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     used = (counts.sum(axis=0) >= settings.least_texts) & (np.abs(ratio) >= np.maximum(settings.least_z * error, settings.least_ratio))
     if not used.any():
         return flat
-    sample = texts.mapInArrow(_picker(used, settings), "toxic int, features array<int>").toPandas()
     ids = np.flatnonzero(used)
-    lengths = np.array([len(x) for x in sample["features"]])
-    columns = np.searchsorted(ids, np.concatenate([np.asarray(x, dtype=np.int64) for x in sample["features"]]))
-    w, b = _fit(np.repeat(np.arange(len(sample)), lengths), columns, ratio[ids], sample["toxic"].to_numpy(float), settings)
-    weights = np.zeros(size, dtype=np.float32)
-    weights[ids] = w * ratio[ids]
-    return Model(weights, float(b), settings)
-
-
-def _scorer(m: Model, carry: str, out_schema: pa.Schema):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = m.weights != 0
-        for batch in batches:
-            kept = batch.column(carry)
-            scores = np.full(batch.num_rows, m.intercept)
-            for at, to, texts in slices(kept.field("text") if carry == "whole" else batch.column("text")):
-                row, feature = _present(texts, m.settings, used)
-                scores[at:to] += np.bincount(row, m.weights[feature], minlength=to - at)
-            scores = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-            yield pa.RecordBatch.from_arrays([kept, pa.array(scores)], schema=out_schema)
+    scale = ratio[ids]
+    del counts, share, ratio, error, used
+    # Numbers of features reach the driver packed, 4 bytes for each one that a sampled text holds.
+    blobs = texts.mapInArrow(_picker(ids, settings), "toxic binary, sizes binary, places binary").collect()
+    y, sizes, places = (np.concatenate([np.frombuffer(r[k], dtype=kind) for r in blobs]) for k, kind in enumerate(("i1", "<i4", "<i4")))
+    del blobs
+    w, b = _fit(np.repeat(np.arange(len(y), dtype=np.int32), sizes), places, scale, y.astype(float), settings)
+    return Model(ids, (w * scale).astype(np.float32), float(b), settings)
+
+
+def score_of(model: Model):
+    """A column function from a text to its score; only the text goes to Python."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = model.weights
+        used = weights != 0
+        for texts_of in batches:
+            scores = np.full(len(texts_of), model.intercept)
+            for at, to, texts in slices(texts_of):
+                row, feature = _present(texts, model.settings, used)
+                scores[at:to] += np.bincount(row, weights[feature], minlength=to - at)
+            yield pa.array(1 / (1 + np.exp(-np.clip(scores, -30, 30))))
 
     return score
 
@@ -221,8 +245,8 @@ def scored(docs: DataFrame, model: Model, carry: str = "doc_id") -> DataFrame:
     """``doc_id`` and ``score``, one row for each row of ``docs``; with ``carry="whole"``, all its
     columns as a struct in place of ``doc_id``."""
     rows = carried(docs).select("whole") if carry == "whole" else documents_of(docs)
-    out = T.StructType([rows.schema[carry], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(model, carry, to_arrow_schema(out)), out)
+    text = F.col("whole").getField("text").cast("string") if carry == "whole" else F.col("text")
+    return rows.select(carry, score_of(model)(text).alias("score"))
 
 
 def held_out():

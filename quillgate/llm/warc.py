@@ -39,6 +39,7 @@ from quillgate.sources.settle import checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CAPTURE = "url_key string, ts string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
+_SECONDS = 200_000_000_000  #: from 2023 to the year 8361
 _END = "\r\n\r\n"
 
 
@@ -59,9 +60,11 @@ def url_key(url: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, settings: Settings = Settings(), time: str | None = None) -> None:
     """Write ``pages`` (page_id, url, html) as gzip-compressed archives.
 
-    ``time`` names a timestamp column; without one, captures are a second apart by page.
+    ``time`` names a timestamp column; without one, captures are a second apart by page, and
+    begin again after ``_SECONDS`` ids, so that any id has a date of four-digit years.
     """
-    ts = F.col(time) if time else F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)))
+    second = F.pmod(F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)), F.lit(_SECONDS))
+    ts = F.col(time) if time else F.timestamp_seconds(F.lit(1_700_000_000) + second)
     url = F.replace(F.replace(F.col("url").cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),

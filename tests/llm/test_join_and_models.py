@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgate.llm import jaccard_join, mixing, secret_scan, toxicity, url_filter, warc
+from quillgate.llm import jaccard_join, mixing, quality, secret_scan, toxicity, url_filter, warc
 
 from .conftest import CLASHES, awkward_texts, sentence, with_clashes
 
@@ -351,11 +351,39 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, awkward, nothing, tab
 
 def test_one_document_of_each_group_stays(spark, awkward, tables):
     stay = corpus_pipeline.drop_near_duplicates(spark, awkward, tables).select("doc_id", "text").collect()
-    want = {g[1] for g in brute_groups(awkward_texts()) if g[0] is not None}
-    assert Counter(r["doc_id"] for r in stay if r["doc_id"] is not None) == Counter(want)
+    named = [(i, t) for i, t in awkward_texts() if i is not None]
+    least = {}  # by text group: unrelated texts under one id are groups of their own
+    for k, group, _, _ in brute_groups([(k, t) for k, (_, t) in enumerate(named)]):
+        least[group] = min(named[k][0], least.get(group, named[k][0]))
+    assert Counter(r["doc_id"] for r in stay if r["doc_id"] is not None) == Counter(least.values())
     assert sum(r["doc_id"] is None for r in stay) == 2
 
 
+def test_archives_take_any_page_id(spark, tmp_path):
+    ids = [0, 10**13, 2**62, 2**63 - 1, -1, -(2**63)]
+    pages = spark.createDataFrame([(i, f"http://a.example/{k}", f"page {k} " * 30) for k, i in enumerate(ids)], "page_id bigint, url string, html string")
+    warc.write_archives(pages, f"{tmp_path}/any")
+    got = warc.read_archives(spark, f"{tmp_path}/any").collect()
+    assert sorted(r["page_id"] for r in got) == sorted(ids)
+    assert all(re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}Z", r["ts"]) for r in got)
+
+
+def test_labels_of_other_documents_take_no_place_in_the_samples(spark):
+    """Far more labels than either sample holds, and nearly all of them belong to no document."""
+    docs = spark.createDataFrame([(i, sentence(i, 40) + (" vile filthy scum" * 3 if i % 2 else " kind gentle calm" * 3)) for i in range(200)], "doc_id bigint, text string")
+    own = spark.range(200).select("id", (F.col("id") % 2).cast("int").alias("toxic"), (1 - F.col("id") % 2).cast("int").alias("quality"))
+    other = spark.range(1000, 61_000).select("id", (F.col("id") % 2).cast("int").alias("toxic"), F.lit(1).alias("quality"))
+    labels = own.unionByName(other).withColumnRenamed("id", "doc_id")
+    for name in CLASHES:
+        labels = labels.withColumn(name, F.lit("extra"))
+    alone, among = (toxicity.train(docs, x) for x in (own.withColumnRenamed("id", "doc_id"), labels))
+    assert len(alone.features) > 50 and (alone.features == among.features).all()
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, among).collect()}
+    assert all((s > 0.5) == bool(i % 2) for i, s in scores.items())
+    weights = [rows_of(quality.weights_of(docs, x), "bucket", "weight") for x in (own.withColumnRenamed("id", "doc_id"), labels)]
+    assert weights[0] == weights[1] and any(w for _, w in weights[0])
+
+
 def test_unrelated_texts_under_one_id_all_stay(spark, tables):
     texts = [(13, sentence(920, 60)), (13, sentence(921, 60)), (13, None), (13, ""), (14, sentence(920, 60)), (14, sentence(922, 60)), (13, sentence(921, 60)), (13, None)]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
