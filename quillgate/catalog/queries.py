@@ -18,7 +18,7 @@ from quillgate.catalog.derived import table as t
 from quillgate.functions import facts, noise, penalties, replies, style, tags, text
 from quillgate.functions.facts import FactPack
 from quillgate.functions.style import Category, StylePack
-from quillgate.operators import calibrate, dedup, joins, ledger, ranking, rewards, scorecard, scores
+from quillgate.operators import calibrate, dedup, joins, ledger, moments, ranking, rewards, scorecard, scores, waves
 from quillgate.operators import candidates as cands
 from quillgate.operators.pools import facts_by_key
 from quillgate.plans import training_rows, upstream
@@ -230,6 +230,36 @@ def _(spark, sf):
     return ranking.gather_until(orders, "o_orderkey", "selected", 700, 48, 42)
 
 
+@query("gather_in_waves", ORACLES["gather_until"])
+def _(spark, sf):
+    orders = t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("selected"))
+    return waves.gather_in_waves(orders, lambda part: part, "o_orderkey", "selected", 700, 48, 42).rows
+
+
+@query("wave_counts", """
+WITH r AS (SELECT o_orderstatus, row_number() OVER (ORDER BY md5('42:' || cast(o_orderkey as string))) AS rn FROM orders),
+h AS (SELECT rn, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (ORDER BY rn) AS hits FROM r),
+s AS (SELECT min(rn) AS stop, (SELECT count(*) FROM orders) AS n FROM h WHERE hits >= 700),
+w AS (SELECT n, min(k) AS k FROM s, generate_series(1, 40) g(k) WHERE 48 * (pow(2, k) - 1) >= coalesce(stop, n) GROUP BY n)
+SELECT n AS n_items, least(n, 48 * (pow(2, k) - 1))::BIGINT AS n_scored, k::BIGINT AS n_waves FROM w""")
+def _(spark, sf):
+    """How many orders the work was done for: counted where it is done, not where it stops."""
+    from pyspark.sql import Observation
+
+    orders = t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("selected"))
+    seen = []
+
+    def work(part: DataFrame) -> DataFrame:
+        seen.append(Observation(f"wave {len(seen)}"))
+        return part.observe(seen[-1], F.count(F.lit(1)).alias("n"))
+
+    made = waves.gather_in_waves(orders, work, "o_orderkey", "selected", 700, 48, 42)
+    counted = sum(o.get["n"] for o in seen)
+    assert counted == made.scored
+    return orders.agg(F.count(F.lit(1)).alias("n_items")).select(
+        "n_items", F.lit(counted).cast("bigint").alias("n_scored"), F.lit(made.waves).cast("bigint").alias("n_waves"))
+
+
 # ---------------------------------------------------------------- joins and checks
 
 
@@ -538,6 +568,35 @@ def _(spark, sf):
         missing.select("key", F.lit(None).cast("double").alias("clean_score"), F.lit("to_send").alias("state")))
 
 
+@query("merged_scores", ORACLES["k_repeat_score"])
+def _(spark, sf):
+    """``k_repeat_score`` from the stored moments of three parts of the observations, one after another."""
+    seen = _observations(spark, sf)
+    state = None
+    for part in range(3):
+        more = moments.moments(seen.filter(F.col("event_id") % 3 == part), ["user_id"], "score")
+        state = settled(more if state is None else moments.merged_moments(state, more, ["user_id"]))
+    made = moments.scores_of_moments(state, ["user_id"])
+    return made.select("user_id", F.round("clean_score", 6).alias("clean_score"), F.round("sd", 6).alias("sd"), "n")
+
+
+@query("score_cache_partitions", f"""
+WITH k AS (SELECT user_id, count(s) AS n, round(avg(s), 6) AS m FROM (SELECT user_id, {_SCORE_SQL} AS s FROM events) GROUP BY user_id)
+SELECT cast(user_id as string) AS key, CASE WHEN user_id % 2 = 0 THEN -1.0 ELSE m END AS clean_score, n FROM k WHERE n >= 16""")
+def _(spark, sf):
+    """The cache in hash partitions: half of the keys are stored first, with another score that stays."""
+    import uuid
+
+    from quillgate.sources.score_cache import add_scores, answered
+
+    path = f"{checkpoint_dir(spark)}/score-cache-{uuid.uuid4().hex}"
+    seen = _observations(spark, sf).withColumn("key", F.col("user_id").cast("string"))
+    fresh = scores.admitted_to_cache(scores.repeat_scores(seen, "key"), 16, DEFAULTS.spend.cache_min_k)
+    add_scores(spark, path, fresh.filter(F.col("key").cast("bigint") % 2 == 0).withColumn("clean_score", F.lit(-1.0)), 64)
+    add_scores(spark, path, fresh)
+    return answered(spark, path, seen.select("key")).select("key", F.round("clean_score", 6).alias("clean_score"), "n")
+
+
 _SCALED = "(p_retailprice - 900) / 110.0"
 
 
@@ -812,6 +871,28 @@ def _(spark, sf):
     return training_rows.selection_funnel(_rewrite_results(spark, sf))
 
 
+@query("sft_rows_in_waves", f"""
+WITH {_REWRITE_CTE}, {_UNTIL.format(rows='g6', target=700)}, e AS (SELECT *, (row_number() OVER (ORDER BY qid) - 1) % 10 = 0 AS held_out FROM u)
+SELECT qid AS query, held_out FROM e""")
+def _(spark, sf):
+    """``sft_rows_until_target`` without gating and scoring the questions beyond the target."""
+    rollouts, base, pooled = _selection_inputs(spark, sf)
+    pooled = settled(pooled)
+    written = settled(dedup.last_per_key(candidates(spark, sf), "qid", "cand_idx").filter("q % 7 <> 0").select("qid", F.concat("think", F.lit("，"), "answer").alias("natural")))
+
+    def work(part: DataFrame) -> DataFrame:
+        mine = part.select("qid")
+        gated = settled(training_rows.rewrite_gates(part, pooled.join(mine, "qid", "left_semi"), written.join(mine, "qid", "left_semi")))
+        quick = _scores_for(gated.select(F.explode(F.array("screen_key", "screen_base_key")).alias("key")))
+        full = _scores_for(gated.select(F.explode(F.array("select_key", "base_key")).alias("key")))
+        return training_rows.rewrite_results(gated, quick, full)
+
+    split = DEFAULTS.split
+    made = waves.gather_in_waves(settled(base), work, "qid", "selected", DEFAULTS.targets.sft, split.gather_chunk, split.gather_seed, first_chunks=16)
+    train, held = training_rows.sft_train_and_eval(made.rows)
+    return train.select("query", F.lit(False).alias("held_out")).unionByName(held.select("query", F.lit(True).alias("held_out")))
+
+
 @query("sft_rows", f"""
 WITH {_REWRITE_CTE}, e AS (SELECT *, (row_number() OVER (ORDER BY qid) - 1) % 10 = 0 AS held_out FROM g6 WHERE selected)
 SELECT qid AS query, md5('<think>' || chr(10) || nat || chr(10) || '</think>' || chr(10) || chr(10) || '<answer>' || chr(10)
@@ -1135,6 +1216,56 @@ def _(spark, sf):
     return made.select(F.unix_timestamp("window_start").alias("window_start"), "stage", "calls", "in_tokens", "yuan")
 
 
+def _usage_stream(spark, sf):
+    """The usage log as it grows: three appends in the order of time, then the mark of its end.
+
+    Yields the stream, the folder and the stored log after the second append and after the last,
+    so that whoever follows it is stopped in between and starts again.
+    """
+    import uuid
+
+    work = f"{checkpoint_dir(spark)}/usage-{uuid.uuid4().hex}"
+    usage = _usage(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
+    cuts = usage.select(F.percentile_approx("ts", F.array(F.lit(0.4), F.lit(0.7)))).first()[0]
+    ends = usage.agg(F.max("ts")).first()[0]
+    bounds = [None, *cuts, None]
+    for k in range(3):
+        rows = usage
+        if bounds[k] is not None:
+            rows = rows.filter(F.col("ts") > F.lit(bounds[k]))
+        if bounds[k + 1] is not None:
+            rows = rows.filter(F.col("ts") <= F.lit(bounds[k + 1]))
+        rows.write.mode("append").parquet(f"{work}/log")
+        if k == 2:  # a row without tokens, far enough ahead to close every window of the log
+            mark = usage.limit(1).select(F.lit(-1).cast("bigint").alias("seq"), (F.lit(ends) + F.expr("interval 2 days")).cast(usage.schema["ts"].dataType).alias("ts"), F.lit("end of log").alias("stage"),
+                                         F.lit(0).cast("bigint").alias("in_tokens"), F.lit(0).cast(usage.schema["out_tokens"].dataType).alias("out_tokens"), F.lit(False).alias("cache_hit"))
+            mark.write.mode("append").parquet(f"{work}/log")
+        if k:
+            stream = spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", 64).parquet(f"{work}/log")
+            yield stream, work, spark.read.schema(usage.schema).parquet(f"{work}/log")
+
+
+@query("streamed_spend", ORACLES["windowed_spend"])
+def _(spark, sf):
+    """``windowed_spend`` by a stream that closes windows and is started again in mid-log."""
+    from quillgate.streaming.spend import spend_stream
+
+    for stream, work, _ in _usage_stream(spark, sf):
+        spend_stream(stream, PRICES, f"{work}/windows", f"{work}/ckpt", "1 hour", "1 hour").awaitTermination()
+    made = spark.read.parquet(f"{work}/windows")
+    return made.select(F.unix_timestamp("window_start").alias("window_start"), "stage", "calls", "in_tokens", "yuan")
+
+
+@query("streamed_crossing", ORACLES["budget_crossing"])
+def _(spark, sf):
+    """``budget_crossing`` by a stream that is started again in mid-log."""
+    from quillgate.streaming.spend import crossing_stream
+
+    for stream, work, log in _usage_stream(spark, sf):
+        crossing_stream(stream, log, ["ts", "seq"], PRICES, "warn", f"{work}/spend", f"{work}/ckpt", "1 hour", "1 hour").awaitTermination()
+    return spark.read.schema("seq bigint, yuan_so_far double").parquet(f"{work}/spend/crossing").select("seq", "yuan_so_far")
+
+
 # ---------------------------------------------------------------- files
 
 

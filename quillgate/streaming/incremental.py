@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillgate.functions.text import filled_question_id
-from quillgate.operators.dedup import first_per_key
 from quillgate.operators.joins import not_done
 from quillgate.operators.pools import pool_targets
 from quillgate.operators.scorecard import score_rows
@@ -21,28 +20,29 @@ def score_stream(spark: SparkSession, inbox: str, pool: DataFrame, scores: DataF
     """Score every new inference file into ``sink`` (Parquet, one folder per tag and batch).
 
     A batch writes to its own folder in overwrite mode, so a batch that is repeated after
-    a failure replaces its rows; questions scored by earlier batches are anti-joined
-    away.  The stream checkpoint remembers which files were read.
+    a failure replaces its rows.  Questions of earlier batches are known from the keyed state of
+    the checkpoint; the sink is not read.  Only a stream that starts without a checkpoint looks
+    at the sink, once, for questions that another stream has scored.
     """
     source = spark.readStream.schema(schema("inference"))
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    arriving = source.json(inbox)
+    arriving = source.json(inbox).withColumn("qid", filled_question_id("qid", "query"))
+    # One bit of keyed state for each question, kept with the checkpoint: a batch costs what its own
+    # rows cost, however many came before.  Of equal questions in one batch any one counts.
+    fresh = arriving.dropDuplicates(["qid"])
     # Facts of the pool are read once, not for every batch.
     targets = settled(pool_targets(pool))
+    base, done = f"{sink}/tag={tag}", None
+    if not exists(spark, f"{checkpoint}/metadata") and exists(spark, base):
+        done = settled(spark.read.parquet(sink).filter(F.col("tag") == tag).select("qid").distinct())
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.withColumn("qid", filled_question_id("qid", "query"))
-        # A question may arrive twice in one batch; any fixed choice will do.
-        fresh = first_per_key(fresh, "qid", F.struct("gen_text", "think", "answer", "gold_answer"))
-        base = f"{sink}/tag={tag}"
-        if exists(session, base):
-            done = session.read.parquet(sink).filter((F.col("tag") == tag) & (F.col("batch") != batch_id))
-            fresh = not_done(fresh, done, "qid")
-        score_rows(fresh, targets, scores).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
-
-    writer = arriving.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint)
+        rows = settled(batch)  # scoring reads it several times; the state must be asked once
+        rows = rows if done is None else not_done(rows, done, "qid")
+        score_rows(rows, targets, scores).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+
+    writer = fresh.writeStream.foreachBatch(score_batch).outputMode("append").option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
