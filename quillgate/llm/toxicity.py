@@ -32,6 +32,8 @@ from quillgate.llm.shared import carried, documents_of, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CHUNK = 1 << 12
+_SLICE = 1 << 18  #: bytes of text whose n-grams are held at a time
+_BUFFER = 1 << 20  #: n-grams that are counted at a time
 
 
 @dataclass(frozen=True)
@@ -100,14 +102,23 @@ def _counter(settings: Settings):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << settings.bits), dtype=np.int32)
         rows = np.zeros(2, dtype=np.int64)
+        waiting: tuple[list, list] = ([], [])
+
+        def add(label: int, least: int) -> None:
+            if sum(map(len, waiting[label])) >= least:
+                counts[label] += np.bincount(np.concatenate(waiting[label]), minlength=1 << settings.bits).astype(np.int32)
+                waiting[label].clear()
+
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             rows += np.bincount(toxic, minlength=2)
-            for at, to, texts in slices(batch.column("text")):
+            for at, to, texts in slices(batch.column("text"), _SLICE):
                 row, feature = _present(texts, settings)
                 for label in (0, 1):
-                    mine = feature[toxic[at:to][row] == label]
-                    counts[label] += np.bincount(mine, minlength=1 << settings.bits).astype(np.int32)
+                    waiting[label].append(feature[toxic[at:to][row] == label])
+                    add(label, _BUFFER)
+        for label in (0, 1):
+            add(label, 1)
         if not rows.any():
             return
         parts = [k for k in range(0, 1 << settings.bits, _CHUNK) if counts[:, k : k + _CHUNK].any()]
@@ -137,7 +148,7 @@ def _picker(ids: np.ndarray, settings: Settings):
         used = _dense(ids, True, settings)
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for at, to, texts in slices(batch.column("text")):
+            for at, to, texts in slices(batch.column("text"), _SLICE):
                 row, feature = _present(texts, settings, used)
                 place = np.searchsorted(ids, feature)
                 yield pa.RecordBatch.from_pydict({
@@ -233,7 +244,7 @@ def score_of(model: Model):
         used = weights != 0
         for texts_of in batches:
             scores = np.full(len(texts_of), model.intercept)
-            for at, to, texts in slices(texts_of):
+            for at, to, texts in slices(texts_of, _SLICE):
                 row, feature = _present(texts, model.settings, used)
                 scores[at:to] += np.bincount(row, weights[feature], minlength=to - at)
             yield pa.array(1 / (1 + np.exp(-np.clip(scores, -30, 30))))
