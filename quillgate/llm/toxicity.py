@@ -34,6 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CHUNK = 1 << 12
 _SLICE = 1 << 18  #: bytes of text whose n-grams are held at a time
 _BUFFER = 1 << 20  #: n-grams that are counted at a time
+_ROWS = 512  #: rows of a batch whose texts are copied at a time
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.intercept, -30, 30))))
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, Texts]]:
+    """``slices`` of a few rows after another, so that a whole batch is never copied."""
+    for lo in range(0, len(column), _ROWS):
+        for at, to, texts in slices(column.slice(lo, _ROWS), _SLICE):
+            yield lo + at, lo + to, texts
+
+
 def _grams(texts: Texts, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(byte start, feature) of every n-gram, one order at a time.  White space is one class."""
     low = texts.lowered()
@@ -112,7 +120,7 @@ def _counter(settings: Settings):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             rows += np.bincount(toxic, minlength=2)
-            for at, to, texts in slices(batch.column("text"), _SLICE):
+            for at, to, texts in _slices(batch.column("text")):
                 row, feature = _present(texts, settings)
                 for label in (0, 1):
                     waiting[label].append(feature[toxic[at:to][row] == label])
@@ -148,7 +156,7 @@ def _picker(ids: np.ndarray, settings: Settings):
         used = _dense(ids, True, settings)
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for at, to, texts in slices(batch.column("text"), _SLICE):
+            for at, to, texts in _slices(batch.column("text")):
                 row, feature = _present(texts, settings, used)
                 place = np.searchsorted(ids, feature)
                 yield pa.RecordBatch.from_pydict({
@@ -244,7 +252,7 @@ def score_of(model: Model):
         used = weights != 0
         for texts_of in batches:
             scores = np.full(len(texts_of), model.intercept)
-            for at, to, texts in slices(texts_of, _SLICE):
+            for at, to, texts in _slices(texts_of):
                 row, feature = _present(texts, model.settings, used)
                 scores[at:to] += np.bincount(row, weights[feature], minlength=to - at)
             yield pa.array(1 / (1 + np.exp(-np.clip(scores, -30, 30))))
