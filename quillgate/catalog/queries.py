@@ -325,6 +325,15 @@ def _(spark, sf):
     return long.select("conv_id", big(F.col("cand_idx")).alias("cand_idx"), F.md5("text").alias("digest"))
 
 
+@query("aligned_candidates", """
+WITH k AS (SELECT (SELECT count(*) FROM part) // (SELECT count(*) FROM supplier) AS k)
+SELECT s_suppkey, p_partkey, p_partkey % k AS cand_idx FROM part, k, supplier WHERE s_suppkey = p_partkey // k""")
+def _(spark, sf):
+    prompts = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("position"), "s_suppkey")
+    completions = t(spark, sf, "part").select(F.col("p_partkey").alias("position"), "p_partkey")
+    return cands.aligned_candidates(prompts, completions).select("s_suppkey", "p_partkey", "cand_idx")
+
+
 # ---------------------------------------------------------------- facts and pools
 
 _ANCHOR_SQL = "concat_ws(chr(10), " + ", ".join(
@@ -1070,6 +1079,22 @@ def _(spark, sf):
     return card.select(F.explode("format_failure_reasons").alias("reason", "n"))
 
 
+@query("scorecard_report", f"WITH {_EVAL_CTE}, card AS (SELECT {_CARD} FROM scored) SELECT n::BIGINT AS n, clean_mean, rule_pass_rate, TRUE AS complete FROM card")
+def _(spark, sf):
+    """Scores, summary and report of a run as files; the summary is read back, and the report tested for completeness."""
+    import uuid
+
+    from quillgate.plans.evaluation import read_summary, report_is_complete, run_evaluation
+    from quillgate.sources.layout import Layout
+
+    cand = candidates(spark, sf)
+    inference = _inference(cand)
+    paths = Layout(f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}").evaluation("run")
+    run_evaluation(inference, sampled_answers(cand), _eval_scores(inference), "run", paths)
+    card = read_summary(spark, paths["summary"])
+    return card.select(big(F.col("n")).alias("n"), "clean_mean", "rule_pass_rate", F.lit(report_is_complete(spark, paths)).alias("complete"))
+
+
 _HALVES = "substring(qid, 1, 1) < '8'"
 
 

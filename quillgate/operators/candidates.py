@@ -17,6 +17,33 @@ def explode_candidates(rollouts: DataFrame, candidates: str = "candidates") -> D
     return rollouts.select(*others, F.posexplode(candidates).alias("cand_idx", "text"))
 
 
+def aligned_candidates(prompts: DataFrame, completions: DataFrame, position: str = "position") -> DataFrame:
+    """Completions with the columns of their prompt and ``cand_idx``: K in a row belong to one prompt.
+
+    Both tables number their rows from 0 in ``position``.  K is the number of completions for each
+    prompt; tables that do not divide, or whose numbers have gaps or repeats, are an error,
+    because a completion would be held against another question's answers.
+    """
+    counted = []
+    for name, table in (("prompts", prompts), ("completions", completions)):
+        seen = table.agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("lo"), F.max(position).alias("hi"), F.count(position).alias("there")).first()
+        if seen.n and (seen.there, seen.lo, seen.hi) != (seen.n, 0, seen.n - 1):
+            raise ValueError(f"{name}: positions are not 0 to {seen.n - 1}")
+        counted.append(seen.n)
+    n_prompts, n = counted
+    if (n % n_prompts if n_prompts else n):
+        raise ValueError(f"{n} completions do not divide by {n_prompts} prompts")
+    k = max(1, n // n_prompts) if n_prompts else 1
+    # A repeated position leaves a gap elsewhere, so every completion must find one prompt.
+    numbered = completions.select(
+        F.floor(F.col(position) / k).cast("bigint").alias("_prompt"), (F.col(position) % k).cast("bigint").alias("cand_idx"), *[c for c in completions.columns if c != position]
+    )
+    once = prompts.groupBy(F.col(position).cast("bigint").alias("_prompt")).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in prompts.columns if c != position])
+    told = numbered.join(once, "_prompt", "left")
+    sound = F.when(F.col("_n") == 1, F.col("_prompt")).otherwise(F.raise_error(F.lit("a completion has no prompt, or two")).cast("bigint"))
+    return told.select(sound.alias(position), "cand_idx", *[c for c in told.columns if c not in ("_prompt", "_n", "cand_idx")])
+
+
 def nest_in_order(rows: DataFrame, keys: list[str], index: str, value: str, out: str) -> DataFrame:
     """One row per key with its values as an array in index order.
 

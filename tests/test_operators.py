@@ -265,3 +265,17 @@ def test_pool_targets_of_a_hundred_thousand_answers(spark):
     assert row.facts.polarity == ["免征"] and len(row.facts.value) == 50
     nested = spark.createDataFrame([("a", ["免征3万元", None]), ("b", [])], "qid string, pool_answers array<string>")
     assert {r.qid: r.facts.value for r in pool_targets(nested).collect()} == {"a": ["3万"]}
+
+
+def test_completions_line_up_with_their_prompts_or_fail(spark):
+    prompts = spark.createDataFrame([(i, f"q{i}") for i in range(3)], "position bigint, qid string")
+    made = lambda ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "position bigint, text string")
+    got = candidates.aligned_candidates(prompts, made(range(6))).collect()
+    assert sorted((r.qid, r.cand_idx, r.text) for r in got) == [(f"q{i // 2}", i % 2, f"t{i}") for i in range(6)]
+    assert candidates.aligned_candidates(prompts, made([])).count() == 0
+    for bad in (range(7), [0, 1, 3], [1, 2, 3], [0, None, 2]):
+        with pytest.raises(ValueError):
+            candidates.aligned_candidates(prompts, made(bad))
+    twice = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c")], "position bigint, qid string")
+    with pytest.raises(Exception, match="no prompt, or two"):
+        candidates.aligned_candidates(twice, made(range(3))).collect()
