@@ -10,7 +10,9 @@
 
 Urls collapse to distinct (host, generalised path) counts by partial sums before anything
 else, so a host with a third of all pages is a few rows; the verdicts return by a join that
-can be split.  Segments beyond ``depth`` are one tail ``**``.
+can be split.  The tree has any depth: levels are built until no path has segments left, and
+only paths that some other path still follows go on to the next level.  The number of jobs
+grows with the longest common beginning of two paths.
 
 Defined results: a null url or one without ``://`` has an empty host and path and fits no
 rule; all of them are one template.  Rows that repeat a url get the same verdict.  Without
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgate.llm.shared import ascii_lower, table, written
@@ -33,7 +35,6 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 @dataclass(frozen=True)
 class Settings:
     rules: tuple[tuple[str, str], ...] = RULES
-    depth: int = 4
     most_children: int = 16
     z: float = 2.0  #: siblings differ beyond so many standard errors
     prior_weight: float = 4.0  #: labelled urls that the parent's purity counts for
@@ -69,46 +70,71 @@ def parsed(pages: DataFrame, settings: Settings) -> DataFrame:
     return urls.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), shape_of(F.col("path")).alias("shape"))
 
 
-def template_tree(shapes: DataFrame, settings: Settings) -> DataFrame:
-    """``(host, shape, p0, p1, ..., b, l)``: the template prefixes of each shape, from the root on."""
-    segments = F.split(F.regexp_replace("shape", "^/", ""), "/", -1)
-    tail = F.when(F.size(segments) > settings.depth, F.concat(F.slice(segments, 1, settings.depth), F.array(F.lit("**")))).otherwise(segments)
-    tree = shapes.withColumn("segments", tail).withColumn("p0", F.lit(""))
-    for d in range(settings.depth + 1):
-        at = tree.withColumn("segment", F.get("segments", F.lit(d)))
-        fan = at.where("segment IS NOT NULL").select("host", f"p{d}", "segment").distinct().groupBy("host", f"p{d}").agg(F.count(F.lit(1)).alias("children"))
-        one = F.when(F.col("children") > settings.most_children, F.lit("*")).otherwise(F.col("segment"))
-        tree = at.join(fan, ["host", f"p{d}"], "left").withColumn(
-            f"p{d + 1}", F.when(F.col("segment").isNull(), F.col(f"p{d}")).otherwise(F.concat(f"p{d}", F.lit("/"), one))
-        ).drop("children", "segment")
-        tree = written(tree, f"url-tree-{d}")
-    return tree.drop("segments")
-
-
-def purities(tree: DataFrame, settings: Settings) -> DataFrame:
-    """``(host, template, purity)`` of the deepest nodes."""
-    m, last = settings.prior_weight, settings.depth + 1
-    total = tree.agg(F.sum("b"), F.sum("l")).first()
+def children_of(alive: DataFrame, settings: Settings) -> DataFrame:
+    """One level of the tree: ``alive`` with each row's ``child`` node and whether it is a ``leaf``.
+
+    A path that ends is a leaf of its own node.  A node with a single shape has one leaf, the
+    whole rest of the path; no deeper node could tell it from anything.
+    """
+    below = alive.groupBy("host", "node", F.get("rest", F.lit(0)).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    fan = written(
+        below.groupBy("host", "node").agg(F.count("segment").alias("children"), F.sum("n").alias("shapes")), "url-fan"
+    )
+    ended, lone = F.size("rest") == 0, F.col("shapes") == 1
+    segment = F.when(F.col("children") > settings.most_children, F.lit("*")).otherwise(F.get("rest", F.lit(0)))
+    child = (
+        F.when(ended, F.col("node"))
+        .when(lone, F.concat_ws("/", "node", F.array_join("rest", "/")))
+        .otherwise(F.concat_ws("/", "node", segment))
+    )
+    rest = F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))
+    return alive.join(fan, ["host", "node"]).select(
+        "host", "shape", "node", child.alias("child"), rest.alias("rest"), (ended | lone).alias("leaf"), "b", "l"
+    )
+
+
+def child_purities(rows: DataFrame, above: DataFrame, settings: Settings) -> DataFrame:
+    """``(host, node, purity)`` of the children in ``rows``, from their parents' purities.
+
+    A node has at most ``most_children`` children and its own end, so a window over it is small.
+    """
+    m = settings.prior_weight
+    siblings = Window.partitionBy("host", "node")
+    nodes = rows.groupBy("host", "node", "child").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
+    both = nodes.withColumn("all_b", F.sum("b").over(siblings)).withColumn("all_l", F.sum("l").over(siblings))
+    rest = F.col("all_l") - F.col("l")
+    p = F.try_divide("all_b", "all_l")
+    apart = F.abs(F.try_divide("b", "l") - F.try_divide(F.col("all_b") - F.col("b"), rest))
+    error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), F.col("l")) + F.try_divide(F.lit(1), rest)))
+    marked = both.withColumn("alone", F.coalesce(apart > settings.z * error, F.lit(False)))  # null where one side has no label
+    for name in ("b", "l"):
+        shared = F.sum(F.when(~F.col("alone"), F.col(name))).over(siblings)
+        marked = marked.withColumn(f"m{name}", F.when(F.col("alone"), F.col(name)).otherwise(shared))
+    return marked.join(above, ["host", "node"]).select(
+        "host", F.col("child").alias("node"), ((F.col("mb") + m * F.col("purity")) / (F.col("ml") + m)).alias("purity")
+    )
+
+
+def templates(shapes: DataFrame, settings: Settings) -> DataFrame:
+    """``(host, shape, template, purity)``: level by level, until every path has reached its leaf."""
+    m = settings.prior_weight
+    total = shapes.agg(F.sum("b"), F.sum("l")).first()
     share = (total[0] or 0) / total[1] if total[1] else 0.0
-    level = tree.groupBy("host").agg(F.sum("b").alias("b"), F.sum("l").alias("l")).select(
+    above = shapes.groupBy("host").agg(F.sum("b").alias("b"), F.sum("l").alias("l")).select(
         "host", F.lit("").alias("node"), ((F.col("b") + m * share) / (F.col("l") + m)).alias("purity")
     )
-    for d in range(1, last + 1):
-        nodes = tree.groupBy("host", F.col(f"p{d - 1}").alias("node"), F.col(f"p{d}").alias("child")).agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
-        nodes = written(nodes, "url-nodes")
-        both = nodes.groupBy("host", "node").agg(F.sum("b").alias("all_b"), F.sum("l").alias("all_l"))
-        rest = F.col("all_l") - F.col("l")
-        p = F.try_divide("all_b", "all_l")
-        apart = F.abs(F.try_divide("b", "l") - F.try_divide(F.col("all_b") - F.col("b"), rest))
-        error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), F.col("l")) + F.try_divide(F.lit(1), rest)))
-        alone = F.coalesce(apart > settings.z * error, F.lit(False))  # null where one side has no label
-        marked = nodes.join(both, ["host", "node"]).withColumn("alone", alone)
-        alike = marked.where("NOT alone").groupBy("host", "node").agg(F.sum("b").alias("mb"), F.sum("l").alias("ml"))
-        told = marked.join(alike, ["host", "node"], "left").join(level, ["host", "node"])
-        b = F.when(F.col("alone"), F.col("b")).otherwise(F.col("mb"))
-        n = F.when(F.col("alone"), F.col("l")).otherwise(F.col("ml"))
-        level = written(told.select("host", F.col("child").alias("node"), ((b + m * F.col("purity")) / (n + m)).alias("purity")), "url-level")
-    return level.select("host", F.col("node").alias("template"), "purity")
+    segments = F.split(F.regexp_replace("shape", "^/", ""), "/", -1)
+    alive = shapes.select("host", "shape", F.lit("").alias("node"), segments.alias("rest"), "b", "l")
+    found, names = None, ["host", "shape", "template", "purity"]
+    while True:
+        rows = written(children_of(alive, settings), "url-tree")
+        above = written(child_purities(rows, above, settings), "url-level")
+        leaves = rows.where("leaf").select("host", "shape", F.col("child").alias("node")).join(above, ["host", "node"])
+        leaves = leaves.withColumnRenamed("node", "template").select(names)
+        found = leaves if found is None else found.union(leaves)
+        alive = rows.where("NOT leaf").select("host", "shape", F.col("child").alias("node"), "rest", "b", "l")
+        if alive.isEmpty():
+            return written(found, "url-templates")
 
 
 def judged(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -117,11 +143,7 @@ def judged(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     shapes = urls.groupBy("host", "shape").agg(
         F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("b"), F.count("said").alias("l")
     )
-    tree = template_tree(written(shapes, "url-shapes"), settings)
-    last = settings.depth + 1
-    known = written(
-        tree.select("host", "shape", F.col(f"p{last}").alias("template")).join(purities(tree, settings), ["host", "template"]), "url-templates"
-    )
+    known = templates(written(shapes, "url-shapes"), settings)
     by_method = F.when(F.col("purity") >= settings.reject, "block").otherwise("allow")
     return urls.join(known, ["host", "shape"]).select(
         "page_id", "host", "path", "rule", F.coalesce("said", by_method).alias("verdict"), "template", "purity"

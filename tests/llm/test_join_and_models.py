@@ -1,6 +1,7 @@
 """Jaccard join, toxicity, mixing, urls, archives, secrets and the pipeline."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -215,13 +216,13 @@ URLS = [
 ]
 
 
-def brute_rule(url):
+def brute_rule(url, rules=url_filter.RULES):
     host = path = ""
     if url and "://" in url:
         m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S)
         host, path = m[1].translate(LOWER), m[2]
     best = None
-    for rule, verdict in url_filter.RULES:
+    for rule, verdict in rules:
         h, p = rule.split("/", 1)
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
             best = (rule, verdict)
@@ -253,6 +254,79 @@ def test_templates_generalise_and_follow_their_labels(spark):
     assert rows[2]["rule"] is None and rows[2]["verdict"] == "block"  # like its labelled siblings
 
 
+def brute_purities(urls, settings):
+    """{(host, shape): (template, purity)} by recursion over each host's paths."""
+    shapes = {}
+    for url in urls:
+        host, path, best = brute_rule(url, settings.rules)
+        at = shapes.setdefault(host, {}).setdefault(re.sub("[0-9]+", "{n}", path), [0, 0])
+        at[0] += best is not None and best[1] == "block"
+        at[1] += best is not None
+    all_b, all_l = (sum(c[k] for by in shapes.values() for c in by.values()) for k in (0, 1))
+    m, found = settings.prior_weight, {}
+
+    def total(rows):
+        return sum(r[2] for r in rows), sum(r[3] for r in rows)
+
+    def descend(host, node, rows, purity):
+        names = {r[1][0] for r in rows if r[1]}
+        below = {}
+        for shape, rest, b, n in rows:
+            leaf = not rest or len(rows) == 1
+            one = "*" if len(names) > settings.most_children else rest and rest[0]
+            child = node if not rest else "/".join([node, *rest]) if leaf else f"{node}/{one}"
+            below.setdefault(child, []).append((shape, rest[1:], b, n, leaf))
+        sums, (b_all, l_all) = {c: total(r) for c, r in below.items()}, total(rows)
+        alone = {}
+        for c, (b, n) in sums.items():
+            other = l_all - n
+            if n and other:
+                p = b_all / l_all
+                alone[c] = abs(b / n - (b_all - b) / other) > settings.z * (p * (1 - p) * (1 / n + 1 / other)) ** 0.5
+        alike = [sums[c] for c in below if not alone.get(c)]
+        for c, its in below.items():
+            b, n = sums[c] if alone.get(c) else (sum(x[0] for x in alike), sum(x[1] for x in alike))
+            own = (b + m * purity) / (n + m)
+            for leaf in (x for x in its if x[4]):
+                found[host, leaf[0]] = (c, own)
+            if deeper := [x[:4] for x in its if not x[4]]:
+                descend(host, c, deeper, own)
+
+    for host, by in shapes.items():
+        rows = [(s, s.removeprefix("/").split("/"), b, n) for s, (b, n) in by.items()]
+        b, n = total(rows)
+        descend(host, "", rows, (b + m * (all_b / all_l if all_l else 0.0)) / (n + m))
+    return found
+
+
+def test_verdicts_of_the_tree_against_recursion(spark):
+    rng = random.Random(11)
+    names = ["a", "b", "de", "en", "x1", "é", "*", ""]
+    urls = [
+        f"http://{rng.choice(['h.example.com', 'example.net', 'www.net', 'big.org', 'q.test'])}/"
+        + "/".join(rng.choice(names if rng.random() < 0.8 else [f"w{chr(97 + k)}" for k in range(26)]) for _ in range(rng.randrange(9)))
+        for _ in range(1500)
+    ]
+    urls += [u + "?q=1" for u in urls[:40]] + URLS
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    settings = url_filter.Settings(rules=(*url_filter.RULES, ("big.org/a/", "block"), ("big.org/b/", "allow"), ("big.org/b/de/", "block")))
+    known = brute_purities(urls, settings)
+    for r in url_filter.judged(pages, settings).collect():
+        template, purity = known[r["host"], re.sub("[0-9]+", "{n}", r["path"])]
+        assert (r["template"], pytest.approx(r["purity"], abs=1e-12)) == (template, purity)
+        assert r["rule"] is not None or r["verdict"] == ("block" if purity >= settings.reject else "allow")
+
+
+def test_branches_that_differ_at_any_depth_are_told_apart(spark):
+    deep = "/".join("abcdefgh")
+    rules = ((f"site.example/{deep}/bad/x", "block"), (f"site.example/{deep}/good/x", "allow"))
+    urls = [f"http://site.example/{deep}/{kind}/{w}{chr(97 + k)}/end" for kind in ("bad", "good") for w in ("x", "y") for k in range(12)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: r for r in url_filter.judged(pages, url_filter.Settings(rules=rules)).collect()}
+    assert {got[i]["verdict"] for i in range(24)} == {"block"} and {got[i]["verdict"] for i in range(24, 48)} == {"allow"}
+    assert got[12]["rule"] is None and got[36]["rule"] is None
+
+
 PAYLOAD = "WARC/1.0\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n" + "é" * 60
 
 
