@@ -18,7 +18,7 @@ from quillgate.catalog.derived import table as t
 from quillgate.functions import facts, noise, penalties, replies, style, tags, text
 from quillgate.functions.facts import FactPack
 from quillgate.functions.style import Category, StylePack
-from quillgate.operators import calibrate, dedup, joins, ledger, moments, ranking, rewards, scorecard, scores, waves
+from quillgate.operators import calibrate, dedup, joins, ledger, lookup, moments, ranking, rewards, scorecard, scores, waves
 from quillgate.operators import candidates as cands
 from quillgate.operators.pools import facts_by_key
 from quillgate.plans import training_rows, upstream
@@ -453,6 +453,28 @@ def _(spark, sf):
     return both.select("o_orderkey", F.coalesce(facts.date_covered(F.col("d"), F.col("dates")), F.lit(False)).alias("covered"))
 
 
+@query("date_cover_by_prefix", """
+WITH m AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS question,
+  CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y') WHEN o_orderkey % 5 < 3
+  THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders),
+p AS (SELECT DISTINCT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS question,
+  CASE WHEN l_linenumber % 4 = 0 THEN strftime(l_shipdate, '%Y-%m') ELSE strftime(l_shipdate, '%Y-%m-%d') END AS d FROM lineitem)
+SELECT m.question, m.d AS date, coalesce(bool_or(starts_with(m.d, p.d) OR starts_with(p.d, m.d)), false) AS covered
+FROM m LEFT JOIN p ON m.question = p.question GROUP BY m.question, m.d""")
+def _(spark, sf):
+    def spelled(at, exact, month):
+        return F.when(exact, F.date_format(at, "yyyy-MM-dd")).when(month, F.date_format(at, "yyyy-MM")).otherwise(F.date_format(at, "yyyy"))
+
+    key, line = F.col("o_orderkey"), F.col("l_linenumber")
+    model = t(spark, sf, "orders").select(
+        F.when(key % 3 == 0, 0).otherwise(F.col("o_custkey")).alias("question"),
+        spelled("o_orderdate", key % 5 >= 3, key % 5 != 0).alias("date"))
+    known = t(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_suppkey")).alias("question"),
+        spelled("l_shipdate", line % 4 != 0, F.lit(True)).alias("date"))
+    return lookup.covered_dates(model, known, "question")
+
+
 # ---------------------------------------------------------------- style
 
 LATIN_STYLE = StylePack(categories=(
@@ -615,6 +637,26 @@ def _(spark, sf):
     return part.select("p_partkey", F.round(noise.sigma_of_score("x", N), 6).alias("sigma"))
 
 
+_JUDGE_TIERS = "SELECT p_brand AS judge, floor(p_size / 10) + count(*) % 7 / 8.0 AS mean, count(*) % 17 / 8.0 AS sigma FROM part GROUP BY p_brand, floor(p_size / 10)"
+
+
+@query("sigma_by_judge", f"""
+WITH tiers AS ({_JUDGE_TIERS}), steps AS (
+  SELECT judge, mean AS x0, sigma AS y0, lead(mean) OVER w AS x1, lead(sigma) OVER w AS y1 FROM tiers WINDOW w AS (PARTITION BY judge ORDER BY mean)
+), ends AS (
+  SELECT judge, min(mean) AS low, max(mean) AS high, min_by(sigma, mean) AS y_low, max_by(sigma, mean) AS y_high FROM tiers GROUP BY judge
+), scored AS (SELECT p_partkey, p_brand AS judge, {_SCALED} * 0.7 AS x FROM part)
+SELECT p_partkey, round(CASE WHEN x <= low THEN y_low WHEN x >= high THEN y_high ELSE y0 + (x - x0) / (x1 - x0) * (y1 - y0) END, 6)::DOUBLE AS sigma
+FROM scored JOIN ends USING (judge) LEFT JOIN steps ON steps.judge = scored.judge AND x > x0 AND x <= x1""")
+def _(spark, sf):
+    part = t(spark, sf, "part")
+    size = F.floor(F.col("p_size") / 10)
+    tiers = part.groupBy(F.col("p_brand").alias("judge"), size.alias("size")).agg(F.count("*").alias("n")).select(
+        "judge", (F.col("size") + F.col("n") % 7 / 8.0).alias("mean"), (F.col("n") % 17 / 8.0).alias("sigma"))
+    scored = part.selectExpr("p_partkey", "p_brand as judge", f"{_SCALED} * 0.7 as score")
+    return lookup.sigma_by_judge(scored, tiers).select("p_partkey", F.round("sigma", 6).alias("sigma"))
+
+
 @query("separable", f"""
 SELECT p_partkey, {o.clearly('x', 'y', 2.0)} AS clear2, {o.clearly('x', 'y', 3.0)} AS clear3
 FROM (SELECT p_partkey, {_SCALED} AS x, p_size / 10.0 AS y FROM part)""")
