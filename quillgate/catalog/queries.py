@@ -277,6 +277,14 @@ def _(spark, sf):
     return done.unionByName(fresh)
 
 
+@query("leaked_key_sample", """
+WITH d AS (SELECT substring(sha1(text), 1, 12) AS qid, substring(md5(cast(doc_id as string)), 1, 1) < '4' AS held FROM documents)
+SELECT DISTINCT qid FROM d WHERE NOT held AND qid IN (SELECT qid FROM d WHERE held) ORDER BY qid LIMIT 5""")
+def _(spark, sf):
+    """What the error of a leaking training table names; the five are the feature."""
+    return joins.least_keys(QUERIES["leak_check"](spark, sf), 5)
+
+
 @query("leak_check", """
 WITH d AS (SELECT doc_id, substring(sha1(text), 1, 12) AS qid, substring(md5(cast(doc_id as string)), 1, 1) < '4' AS held FROM documents)
 SELECT doc_id, qid FROM d WHERE NOT held AND qid IN (SELECT qid FROM d WHERE held)""")
@@ -584,6 +592,15 @@ def _(spark, sf):
     return made.select("user_id", F.round("clean_score", 6).alias("clean_score"), F.round("sd", 6).alias("sd"), "n")
 
 
+@query("admitted_scores", f"""
+SELECT user_id, round(avg(s), 6) AS clean_score, count(s) AS n FROM (SELECT user_id, {_SCORE_SQL} AS s FROM events)
+GROUP BY user_id HAVING count(s) >= 16""")
+def _(spark, sf):
+    k = scores.require_select_k(DEFAULTS.gates.k_select, DEFAULTS.gates.min_select_k)
+    made = scores.admitted_to_cache(scores.repeat_scores(_observations(spark, sf), "user_id"), k, DEFAULTS.gates.min_select_k)
+    return made.select("user_id", F.round("clean_score", 6).alias("clean_score"), "n")
+
+
 @query("score_cache", f"""
 WITH k AS (SELECT user_id, count(s) AS n, round(avg(s), 6) AS m FROM (SELECT user_id, {_SCORE_SQL} AS s FROM events) GROUP BY user_id),
 cached AS (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN -1.0 ELSE m END AS m FROM k WHERE n >= 16)

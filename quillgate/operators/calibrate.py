@@ -38,14 +38,18 @@ def variance_parts(observations: DataFrame, item: str, score: str) -> DataFrame:
     )
 
 
-def tier_separability(tiers: DataFrame, tier: str, n_sigma: float = 3.0) -> DataFrame:
+def tier_separability(tiers: DataFrame, tier: str, n_sigma: float = 3.0, most_tiers: int = 1000) -> DataFrame:
     """Sigma distance of every pair of tiers.
 
-    ``tiers`` is the small fitted table (a handful of hand-made dirt levels).
+    Tiers are hand-made dirt levels: a table of more than ``most_tiers`` is a wrong key and
+    raises, so the pairs and what is broadcast are bounded.  The fit is computed once.
     """
+    tiers = settled(tiers.select(tier, "mean", "sigma"))
+    if tiers.limit(most_tiers + 1).count() > most_tiers:
+        raise ValueError(f"more than {most_tiers} tiers in column {tier}")
     a = tiers.select(F.col(tier).alias("tier_a"), F.col("mean").alias("_ma"), F.col("sigma").alias("_sa"))
     b = tiers.select(F.col(tier).alias("tier_b"), F.col("mean").alias("_mb"), F.col("sigma").alias("_sb"))
-    pairs = a.join(b, F.col("tier_a") < F.col("tier_b"))
+    pairs = a.join(F.broadcast(b), F.col("tier_a") < F.col("tier_b"))
     distance = F.abs(F.col("_ma") - F.col("_mb")) / F.nullif(F.col("_sa") + F.col("_sb"), F.lit(0.0))
     return pairs.select(
         "tier_a", "tier_b", distance.alias("distance"),

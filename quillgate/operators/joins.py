@@ -88,6 +88,11 @@ def without_pool(train: DataFrame, pool: DataFrame) -> DataFrame:
     return train.join(usable, "qid", "left_anti")
 
 
+def least_keys(df: DataFrame, n: int, key: str = "qid") -> DataFrame:
+    """The ``n`` least different keys: the same sample in every run, kept by each task on its own."""
+    return df.select(key).distinct().orderBy(key).limit(n)
+
+
 def sample_keys(df: DataFrame, n: int, key: str = "qid") -> list[str]:
     """A few offending keys for an error text."""
-    return [r[0] for r in df.select(key).limit(n).collect()]
+    return [r[0] for r in least_keys(df, n, key).collect()]

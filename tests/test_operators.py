@@ -192,6 +192,9 @@ def test_calibration_fit(spark):
         a, b = fit[p.tier_a], fit[p.tier_b]
         assert p.distance == pytest.approx(abs(a["mean"] - b["mean"]) / (a.sigma + b.sigma))
         assert p.separable == (p.distance > 3)
+    with pytest.raises(ValueError, match="more than 3 tiers"):
+        calibrate.tier_separability(tiers, "tier", most_tiers=3)
+    assert calibrate.tier_separability(tiers.limit(0), "tier").count() == 0
 
 
 def test_rank_correlation_with_ties(spark):
