@@ -18,7 +18,7 @@ from quillgate.catalog.derived import table as t
 from quillgate.functions import facts, noise, penalties, replies, style, tags, text
 from quillgate.functions.facts import FactPack
 from quillgate.functions.style import Category, StylePack
-from quillgate.operators import calibrate, dedup, joins, ledger, lookup, moments, ranking, rewards, scorecard, scores, waves
+from quillgate.operators import calibrate, dedup, joins, ledger, lookup, moments, observed, ranking, resume, rewards, scorecard, scores, waves
 from quillgate.operators import candidates as cands
 from quillgate.operators.pools import facts_by_key
 from quillgate.plans import training_rows, upstream
@@ -277,6 +277,27 @@ def _(spark, sf):
     return done.unionByName(fresh)
 
 
+@query("resume_filtered", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag || l_linestatus AS state FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O')""")
+def _(spark, sf):
+    """Lines of orders that are still open; the finished orders are asked through the key filter."""
+    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("state"))
+    done = t(spark, sf, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return resume.remaining(lines, done, "l_orderkey")
+
+
+@query("resume_requests", """
+SELECT DISTINCT md5(text) AS user_digest, substring(sha1(text), 1, 12) AS qid FROM documents
+WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL)""")
+def _(spark, sf):
+    """Requests for the texts that no labelled document holds: long keys, of which the filter sees hashes."""
+    docs = t(spark, sf, "documents").select("doc_id", F.col("text").alias("query"), F.lit(None).cast("string").alias("qid"), F.col("text").alias("user_prompt"))
+    done = docs.join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("query")
+    asked = upstream.base_requests(docs, done, left=resume.remaining)
+    return asked.select(F.md5("user").alias("user_digest"), "qid").distinct()
+
+
 @query("leaked_key_sample", """
 WITH d AS (SELECT substring(sha1(text), 1, 12) AS qid, substring(md5(cast(doc_id as string)), 1, 1) < '4' AS held FROM documents)
 SELECT DISTINCT qid FROM d WHERE NOT held AND qid IN (SELECT qid FROM d WHERE held) ORDER BY qid LIMIT 5""")
@@ -321,8 +342,7 @@ WITH {CANDIDATES_CTE}, {POOL_CTE} SELECT DISTINCT qid FROM cand WHERE qid NOT IN
   SELECT qid FROM pool WHERE len(list_filter(pool_answers, lambda x: trim(x) <> '')) > 0)""")
 def _(spark, sf):
     cand = candidates(spark, sf)
-    asked = cand.select("qid").distinct()
-    return joins.without_pool(asked, pools(cand).withColumnRenamed("pool_answers", "answers"))
+    return joins.without_long_pool(cand.select("qid").distinct(), sampled_answers(cand))
 
 
 @query("candidates_posexplode", """
@@ -1012,6 +1032,28 @@ def _(spark, sf):
     return rows.select("qid", "gold_answer", F.md5(joined(answers)).alias("answers_digest"), "pool_size")
 
 
+@query("prompt_checks", f"""
+WITH {CANDIDATES_CTE}, {POOL_CTE}, flat AS (SELECT qid, unnest(pool_answers) AS x FROM pool), n AS (SELECT qid, trim(x) AS x FROM flat),
+d AS (SELECT qid, string_agg(x, '#') AS answers FROM n WHERE x <> '' GROUP BY qid),
+f AS (SELECT qid, len(p_pol) + len(p_val) + len(p_date) > 0 AS trainable FROM (SELECT *, {o.facts("answers", 'p')} FROM d)),
+q AS (SELECT qid, substring(qid, 1, 1) = '0' AS leaked, f.qid IS NULL AS missing, coalesce(trainable, false) AS kept
+  FROM (SELECT DISTINCT qid FROM cand) LEFT JOIN f USING (qid)),
+c AS (SELECT count(*) AS n_asked, count(*) FILTER (leaked) AS n_leaked, count(*) FILTER (missing) AS n_missing, count(*) FILTER (kept) AS n_kept FROM q)
+SELECT c.*, n_leaked AS seen_leaked, n_missing AS seen_missing, n_kept AS seen_kept FROM c""")
+def _(spark, sf):
+    """Flags of all prompts: as the written rows hold them, and as the writing job counted them."""
+    cand = candidates(spark, sf)
+    asked = cand.select("qid", F.lit("train").alias("split"), F.lit("").alias("query"), F.lit("").alias("user_prompt")).distinct()
+    none = F.lit(None).cast("string")
+    named = pools(cand).select("qid", none.alias("canonical_answer"), none.alias("gold_answer"), "pool_answers")
+    held = asked.filter(F.col("qid").startswith("0")).select("qid", none.alias("query"))
+    marked = training_rows.marked_prompts(asked, named, held)
+    rows, seen = observed.stored_with_counts(marked, leaked="leaked", missing="missing", kept="kept")
+    flags = ("leaked", "missing", "kept")
+    return rows.agg(F.count("*").alias("n_asked"), *[F.count_if(f).alias(f"n_{f}") for f in flags]).select(
+        "*", *[F.lit(seen[f]).cast("bigint").alias(f"seen_{f}") for f in flags])
+
+
 @query("message_rows", """
 SELECT conv_id, turn, md5(text) AS user_content, role AS query, '["' || role || '"]' AS pool_json FROM conversations""")
 def _(spark, sf):

@@ -72,14 +72,19 @@ def uncovered(problems: DataFrame, pool: DataFrame, key: str = "qid") -> DataFra
     return problems.join(pool.select(key), key, "left_anti")
 
 
-def leaked_questions(train: DataFrame, held_out: DataFrame) -> DataFrame:
-    """Training questions that are marked for another split or also stand in the held-out set."""
+def with_leak_flag(train: DataFrame, held_out: DataFrame, flag: str = "leaked") -> DataFrame:
+    """``flag``: the question is marked for another split or also stands in the held-out set."""
     wrong_split = F.col("split").isNotNull() & (F.col("split") != "") & (F.col("split") != "train")
     ids = held_out.filter((F.col("qid") != "") | F.col("query").isNotNull()).select(
         filled_question_id("qid", "query").alias("qid")
     )
     marked = join_unique(train, ids.distinct().withColumn("_held", F.lit(True)), "qid")
-    return marked.filter(wrong_split | F.col("_held")).drop("_held")
+    return marked.withColumn(flag, F.coalesce(wrong_split | F.col("_held"), F.lit(False))).drop("_held")
+
+
+def leaked_questions(train: DataFrame, held_out: DataFrame) -> DataFrame:
+    """Training questions that are marked for another split or also stand in the held-out set."""
+    return with_leak_flag(train, held_out, "_leaked").filter("_leaked").drop("_leaked")
 
 
 def without_pool(train: DataFrame, pool: DataFrame) -> DataFrame:
@@ -88,6 +93,12 @@ def without_pool(train: DataFrame, pool: DataFrame) -> DataFrame:
     return train.join(usable, "qid", "left_anti")
 
 
+def without_long_pool(train: DataFrame, answers: DataFrame) -> DataFrame:
+    """The same for a pool in long form, ``qid, answer``: no array for each question."""
+    usable = answers.filter(~is_blank("answer")).select("qid").distinct()
+    return train.join(usable, "qid", "left_anti")
+
+
 def least_keys(df: DataFrame, n: int, key: str = "qid") -> DataFrame:
     """The ``n`` least different keys: the same sample in every run, kept by each task on its own."""
     return df.select(key).distinct().orderBy(key).limit(n)

@@ -23,7 +23,8 @@ from quillgate.functions.style import StylePack, ZH_STYLE, has_trace
 from quillgate.functions.tags import references_of, wrap_completion
 from quillgate.functions.text import filled_question_id, first_non_empty, strip, stripped, text_or_empty
 from quillgate.operators.candidates import best_of, explode_candidates, gated_candidates
-from quillgate.operators.joins import join_unique, leaked_questions, sample_keys, without_pool
+from quillgate.operators.joins import join_unique, with_leak_flag
+from quillgate.operators.observed import Check, stored_if_sound
 from quillgate.operators.pools import pool_targets
 from quillgate.operators.ranking import gather_until, hold_out_every, shuffled_limit
 from quillgate.operators.scores import require_select_k, with_scores
@@ -329,31 +330,45 @@ def merged_pools(pool: DataFrame, facts: FactPack = ZH_FACTS) -> DataFrame:
     return merged.withColumn("trainable", pool_is_trainable(extract_facts(pool_text("answers"), facts)))
 
 
+def marked_prompts(train: DataFrame, pool: DataFrame, held_out: DataFrame, facts: FactPack = ZH_FACTS) -> DataFrame:
+    """Training questions with their merged pool and the flags ``leaked``, ``missing`` and ``kept``.
+
+    A question has one pool; of several rows the trainable one counts.
+    """
+    gold = [c for c in ("gold_answer", "answer") if c in train.columns]
+    usable = F.size("answers") > 0
+    best = merged_pools(pool, facts).groupBy("qid").agg(
+        F.max(F.struct("trainable", usable.alias("usable"), "answers", "canonical_answer")).alias("_pool")
+    )
+    found = with_leak_flag(train, held_out).join(best, "qid", "left")
+    return found.select(
+        "qid", text_or_empty("query").alias("query"), text_or_empty("user_prompt").alias("user_prompt"),
+        first_non_empty(*gold, "_pool.canonical_answer").alias("gold_answer"), F.col("_pool.answers").alias("answers"), "leaked",
+        (~F.coalesce("_pool.usable", F.lit(False))).alias("missing"), F.coalesce("_pool.trainable", F.lit(False)).alias("kept"),
+    )
+
+
+PROMPT_CHECKS = [
+    Check("leaked", "training prompts contain held-out questions", 5),
+    Check("missing", "training prompts without an answer pool", 8),
+]
+
+
 def online_prompts(train: DataFrame, pool: DataFrame, held_out: DataFrame, seed: int | None = 42, limit: int = 0,
                    prompts: PromptPack = DEFAULT_PROMPTS, facts: FactPack = ZH_FACTS) -> DataFrame:
     """Online prompt rows of trainable questions.
 
     A leaked question, a question without a pool, and an empty result are errors, checked
-    in that order; questions whose pool holds no fact are left out.
+    in that order; questions whose pool holds no fact are left out.  The checks are counted by
+    the job that writes the rows.
     """
     asked = train.withColumn("qid", filled_question_id("qid", "query"))
     if limit:
         asked = shuffled_limit(asked, "qid", limit, seed or 0)
-    bad = sample_keys(leaked_questions(asked, held_out), 5)
-    if bad:
-        raise ValueError(f"training prompts contain held-out questions, e.g. {bad}")
-    pools = merged_pools(pool, facts)
-    bad = sample_keys(without_pool(asked, pools), 8)
-    if bad:
-        raise ValueError(f"training prompts without an answer pool, e.g. {bad}")
-    gold = [c for c in ("gold_answer", "answer") if c in train.columns]
-    rows = asked.join(pools.filter("trainable"), "qid").select(
-        "qid", text_or_empty("query").alias("query"), text_or_empty("user_prompt").alias("user_prompt"),
-        first_non_empty(*gold, "canonical_answer").alias("gold_answer"), "answers",
-    )
-    if rows.isEmpty():
+    rows, seen = stored_if_sound(marked_prompts(asked, pool, held_out, facts), PROMPT_CHECKS, "qid", kept="kept")
+    if not seen["kept"]:
         raise ValueError("no training prompt is left: no pool holds a comparable fact")
-    return prompt_rows(rows, prompts)
+    return prompt_rows(rows.filter("kept").drop("leaked", "missing", "kept"), prompts)
 
 
 def untrainable(train: DataFrame, pool: DataFrame, facts: FactPack = ZH_FACTS) -> DataFrame:

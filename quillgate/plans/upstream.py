@@ -29,9 +29,12 @@ def generation_requests(items: DataFrame, system, temperature: float, top_p: flo
     )
 
 
-def base_requests(corpus: DataFrame, done: DataFrame, prompts: PromptPack = DEFAULT_PROMPTS) -> DataFrame:
-    """Greedy requests to the base model for questions that have no output yet."""
-    todo = not_done(corpus, done, "query")
+def base_requests(corpus: DataFrame, done: DataFrame, prompts: PromptPack = DEFAULT_PROMPTS, left=not_done) -> DataFrame:
+    """Greedy requests to the base model for questions that have no output yet.
+
+    ``left`` finds them: ``not_done``, or ``resume.remaining`` where most of a large corpus is settled by a key filter.
+    """
+    todo = left(corpus, done, "query")
     return generation_requests(todo, F.lit(prompts.retrieval_system), 0.0, 1.0, 1536)
 
 
