@@ -8,7 +8,9 @@ and holds a digit, or is longer still.  Its features:
   character pairs under the corpus' own letters-only words
 * dictionary coverage: the share of its characters in letter runs that the corpus knows as
   words of at least ``least_documents`` documents
-* path and the word after it: smoothed log odds of true findings, from the labelled ones
+* path and the word after it: smoothed log odds of true findings, from the labelled ones; for a
+  labelled finding, from those of other folds, dealt by value, so that neither its own label nor
+  that of a copy is a feature of it
 
 An assignment in the same word (``token="..."``) is cut off before the features are computed.
 
@@ -64,6 +66,7 @@ class Settings:
     trees: int = 40
     depth: int = 8
     smoothing: float = 1.0
+    folds: int = 8  #: of the labelled findings, for the odds
     threshold: float = 0.5
     seed: int = 7
 
@@ -118,18 +121,32 @@ def _pairs(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(flat) - 1, F.lit(1))), lambda i: F.substring(flat, i, F.lit(2)))
 
 
-def _odds(of: DataFrame, key: str, name: str, settings: Settings) -> DataFrame:
-    """Smoothed log odds of true findings by a key, relative to all."""
-    a = settings.smoothing
-    total = of.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("label")).first()
-    base = (total[0] + a) / (total[1] - total[0] + a)
-    by = of.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("label").alias("t"), F.count("label").alias("n"))
+def _by_fold(labelled: DataFrame, key: str, settings: Settings) -> DataFrame:
+    """For each key its true and its labelled findings, in every fold."""
+    of = lambda i: F.col("fold") == i
+    return labelled.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.array(*[F.count_if(of(i) & (F.col("label") == 1)) for i in range(settings.folds)]).alias(f"{key}_true"),
+        F.array(*[F.count_if(of(i)) for i in range(settings.folds)]).alias(f"{key}_all"),
+    )
+
+
+def _odds(key: str, base: float, settings: Settings) -> Column:
+    """Smoothed log odds of true findings by a key, relative to all; a labelled finding's own fold is left out."""
+
+    def others(counts: str) -> Column:
+        every = F.aggregate(counts, F.lit(0).cast("bigint"), lambda x, y: x + y)
+        return every - F.when(F.col("label").isNotNull(), F.get(F.col(counts), F.col("fold"))).otherwise(F.lit(0))
+
+    a, true = settings.smoothing, others(f"{key}_true")
     # shrunk to the base odds, so that a key seen once says little
-    return by.select(key, F.log((F.col("t") + a * base) / (F.col("n") - F.col("t") + a) / F.lit(base)).alias(name))
+    return F.log((true + a * base) / (others(f"{key}_all") - true + a) / F.lit(base))
 
 
 def features(found: DataFrame, docs: DataFrame, labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The candidates with all features; ``labelled`` has ``row, at, label``."""
+    """The candidates with all features; ``labelled`` has ``row, at, label``, labels of one finding combine by minimum."""
+    told = labelled.groupBy("row", "at").agg(F.min("label").alias("label"))
+    fold = F.pmod(F.xxhash64(F.lit(settings.seed), F.col("bare")), F.lit(settings.folds)).cast("int")
+    found = written(found.join(told, ["row", "at"], "left").withColumn("fold", fold), "secret-labels")
     value = F.col("bare")
     share = lambda cls: F.regexp_count(value, F.lit(cls)) / F.char_length(value)
     kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), "[0-9]+", "9")
@@ -158,10 +175,13 @@ def features(found: DataFrame, docs: DataFrame, labelled: DataFrame, settings: S
         ),
         "secret-value-features",
     )
-    marked = written(found.join(labelled.select("row", "at", "label"), ["row", "at"]).select("path", "right1", "label"), "secret-labels")
-    rights = written(_odds(marked.select("right1", "label"), "right1", "right_odds", settings), "right-odds")
-    paths = written(_odds(marked.select("path", "label"), "path", "path_odds", settings), "path-odds")
+    marked = found.where("label IS NOT NULL")
+    total = marked.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("label")).first()
+    odds = (total[0] + a) / (total[1] - total[0] + a)
+    rights = written(_by_fold(marked, "right1", settings), "right-odds")
+    paths = written(_by_fold(marked, "path", settings), "path-odds")
     wide = base.join(by_value, "bare").join(paths, "path", "left").join(rights, "right1", "left")
+    wide = wide.withColumns({"path_odds": _odds("path", odds, settings), "right_odds": _odds("right1", odds, settings)})
     return wide.select("doc_id", "row", "at", "value", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _FEATURES])
 
 
