@@ -8,13 +8,22 @@ a shuffle.
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgate.functions.text import JOINER, SPACE_CLASS, as_col, bind, is_blank, nfkc, stripped
+from quillgate.functions.text import JOINER, SPACE_CLASS, as_col, bind, is_blank, nfkc, stripped, text_groups, text_or_empty
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 _S = SPACE_CLASS
 
@@ -74,19 +83,119 @@ def polarity_terms(text: Column, terms: tuple[str, ...] = ZH_FACTS.polarity) ->
     hits = []
     for term, masks in masking_plan(terms):
         masked = reduce(lambda t, m: F.replace(t, F.lit(m), F.lit("　")), masks, text)
-        hits.append(F.when(F.contains(masked, F.lit(term)), F.lit(term)))
-    return F.array_sort(F.array_compact(F.array(*hits)))
+        # Masking only takes hits away.
+        hits.append(F.when(F.contains(text, F.lit(term)) & F.contains(masked, F.lit(term)), F.lit(term)))
+    return F.sort_array(F.array_compact(F.array(*hits)))
 
 
 def _compact(items: Column, pattern: str) -> Column:
     return F.transform(items, lambda x: F.regexp_replace(x, pattern, ""))
 
 
+KINDS = ("polarity", "value", "date")
+_FACTS = "struct<polarity:array<string>,value:array<string>,date:array<string>>"
+
+
+def no_facts() -> Column:
+    return F.struct(*[F.array().cast("array<string>").alias(k) for k in KINDS])
+
+
+def _same_in_both_engines(pack: FactPack) -> bool:
+    """Only digits, spaces, dots and code points are escaped, nothing is negated: Java and Python read
+    such patterns alike, and none matches across ``_ROW``."""
+    plain = r"(?:\\(?:[ds.]|x[0-9a-f]{2})|\(\?:|\((?!\?)|\[(?!\^)|[^\\(\[.^$])*"
+    return all(re.fullmatch(plain, p) and "&&" not in p for p in (pack.date, *pack.values))
+
+
+_ROW = "\ue004"  # private use, stands between the texts of a batch
+_MARKS = re.compile(r"[\s,]+")
+_GAPS = re.compile(r"\s+")
+
+
+def _led(pattern: str) -> re.Pattern:
+    """Compiled with its first digit alone, which lets the engine skip to digits."""
+    once = re.sub(r"^\\d\+", r"\\d\\d*", pattern)
+    return re.compile(re.sub(r"^\\d\{(\d+)\}", lambda m: rf"\d\d{{{int(m[1]) - 1}}}", once))
+
+
+def _hits(patterns: list[re.Pattern], joined: str, squeeze) -> tuple[np.ndarray, list[str]]:
+    """Row and text of all hits in texts that are joined by ``_ROW``."""
+    ends = np.cumsum([len(t) + 1 for t in joined.split(_ROW)])
+    at, found = [], []
+    for p in patterns:
+        for m in p.finditer(joined):
+            at.append(m.start())
+            found.append(m.group())
+    if not found:
+        return np.zeros(0, dtype=np.int64), []
+    return np.searchsorted(ends, np.array(at), side="right"), squeeze(_ROW.join(found)).split(_ROW)
+
+
+def _lists(n: int, rows: np.ndarray, texts: pa.Array) -> pa.Array:
+    """Sorted distinct texts of each of ``n`` rows."""
+    coded = texts.dictionary_encode()
+    words = sorted(coded.dictionary.to_pylist())
+    rank = {w: i for i, w in enumerate(words)}
+    place = np.array([rank[w] for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    width = max(1, len(words))
+    keys = np.unique(rows * width + place[coded.indices.to_numpy()]) if len(texts) else np.zeros(0, dtype=np.int64)
+    offsets = np.searchsorted(keys // width, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(words, pa.string()).take(pa.array(keys % width)))
+
+
+def _polarity_hits(texts: pa.Array, plan: list[tuple[str, list[str]]]) -> tuple[np.ndarray, pa.Array]:
+    rows, terms = [], []
+    for term, masks in plan:
+        at = np.flatnonzero(pc.match_substring(texts, term).to_numpy(zero_copy_only=False))
+        if masks and len(at):  # masking only takes hits away
+            masked = texts.take(pa.array(at))
+            for m in masks:
+                masked = pc.replace_substring(masked, m, "　")
+            at = at[pc.match_substring(masked, term).to_numpy(zero_copy_only=False)]
+        rows.append(at)
+        terms.append(np.full(len(at), len(terms)))
+    words = pa.array([term for term, _ in plan], pa.string())
+    return np.concatenate(rows or [np.zeros(0, int)]), words.take(pa.array(np.concatenate(terms or [np.zeros(0, int)]).astype(np.int64)))
+
+
+def _read_by_arrow(text: Column, pack: FactPack, normalise: bool) -> Column:
+    plan, date, values, units = masking_plan(pack.polarity), _led(pack.date), [_led(p) for p in pack.values], pack.units
+
+    def clean(found: str) -> str:
+        return reduce(lambda t, u: t.replace(*u), units, _MARKS.sub("", found))
+
+    def read(texts: list[str]) -> pa.Array:
+        joined = _ROW.join(texts)
+        joined = unicodedata.normalize("NFKC", joined) if normalise else joined
+        n, rows = len(texts), pa.array(joined.split(_ROW), pa.string())
+        on, dates = _hits([date], joined, lambda t: _GAPS.sub("", t))
+        of, found = _hits(values, date.sub(" ", joined) if dates else joined, clean)
+        sets = [
+            _lists(n, *_polarity_hits(rows, plan)),
+            _lists(n, of, pa.array(found, pa.string())),
+            _lists(n, on, pa.array(dates, pa.string())),
+        ]
+        return pa.StructArray.from_arrays(sets, names=list(KINDS))
+
+    @F.arrow_udf(_FACTS)
+    def facts_of(texts: pa.Array) -> pa.Array:
+        # The joiner is as strange to every pattern as the separator is.
+        here = [t.replace(_ROW, JOINER) for t in texts.to_pylist()]
+        parts = [read(here[lo:hi]) for lo, hi in text_groups(here)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(k, pa.list_(pa.string())) for k in KINDS]))
+
+    return facts_of(text)
+
+
 def extract_facts(text: Column | str, pack: FactPack = ZH_FACTS, normalise: bool = True) -> Column:
     """Facts of a text.  Dates are masked first so that durations cannot reuse their parts.
 
     With ``normalise=False`` the caller has already applied ``nfkc`` (as a column of its own).
+    Texts are folded and read in one Arrow pass; a pack whose patterns only Java reads is
+    evaluated in the JVM.
     """
+    if _same_in_both_engines(pack):
+        return _read_by_arrow(text_or_empty(text), pack, normalise)
     norm = nfkc(text) if normalise else as_col(text)
     date = "(?U)" + pack.date
 
@@ -96,14 +205,14 @@ def extract_facts(text: Column | str, pack: FactPack = ZH_FACTS, normalise: bool
 
     def values_of(masked: Column) -> Column:
         found = F.concat(*[F.regexp_extract_all(masked, F.lit("(?U)" + p), F.lit(0)) for p in pack.values])
-        return F.array_sort(F.array_distinct(F.transform(found, clean)))
+        return F.sort_array(F.array_distinct(F.transform(found, clean)))
 
     def facts_of(plain: Column) -> Column:
         dates = _compact(F.regexp_extract_all(plain, F.lit(date), F.lit(0)), f"(?U){_S}+")
         return F.struct(
             polarity_terms(plain, pack.polarity).alias("polarity"),
             bind(F.regexp_replace(plain, date, " "), values_of).alias("value"),
-            F.array_sort(F.array_distinct(dates)).alias("date"),
+            F.sort_array(F.array_distinct(dates)).alias("date"),
         )
 
     return bind(norm, facts_of)
@@ -115,7 +224,7 @@ def pool_text(answers: Column | str) -> Column:
 
 
 def all_facts(facts: Column) -> Column:
-    return F.array_sort(F.array_union(F.array_union(facts["polarity"], facts["value"]), facts["date"]))
+    return F.sort_array(F.array_union(F.array_union(facts["polarity"], facts["value"]), facts["date"]))
 
 
 def has_facts(facts: Column) -> Column:
@@ -129,7 +238,7 @@ def date_covered(date: Column, pool_dates: Column) -> Column:
 
 def drift_facts(model: Column, pool: Column) -> Column:
     fresh_dates = F.filter(model["date"], lambda d: ~date_covered(d, pool["date"]))
-    return F.array_sort(
+    return F.sort_array(
         F.concat(
             F.array_except(model["polarity"], pool["polarity"]),
             F.array_except(model["value"], pool["value"]),
@@ -138,9 +247,11 @@ def drift_facts(model: Column, pool: Column) -> Column:
     )
 
 
-def pool_verdict(answer: Column | str, model: Column, pool: Column) -> Column:
+def pool_verdict(answer: Column | str, model: Column, pool: Column, fields: tuple[str, ...] | None = None) -> Column:
     """Does an answer stay inside the facts of its pool?
 
+    A struct of all results, or of ``fields`` only: what is not asked for is not computed.
+
     ``in_pool`` is also reported for answers that cannot be compared; ``comparable``
     tells the two cases apart.  A blank answer is never in the pool.
     """
@@ -160,15 +271,16 @@ def pool_verdict(answer: Column | str, model: Column, pool: Column) -> Column:
             .when(~inside, "introduced_new_fact")
             .otherwise("ok")
         )
-        return F.struct(
-            inside.alias("in_pool"),
-            (empty | (in_model & in_pool_side)).alias("comparable"),
-            reason.alias("reason"),
-            x["drift"].alias("drift_facts"),
-            all_facts(x["model"]).alias("model_facts"),
-            all_facts(x["pool"]).alias("pool_facts"),
-            F.size(all_facts(x["pool"])).alias("pool_size"),
-        )
+        told = {
+            "in_pool": inside,
+            "comparable": empty | (in_model & in_pool_side),
+            "reason": reason,
+            "drift_facts": x["drift"],
+            "model_facts": all_facts(x["model"]),
+            "pool_facts": all_facts(x["pool"]),
+            "pool_size": F.size(all_facts(x["pool"])),
+        }
+        return F.struct(*[told[f].alias(f) for f in fields or told])
 
     with_drift = bind(
         known,

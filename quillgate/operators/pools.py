@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgate.functions.facts import FactPack, ZH_FACTS, extract_facts
-
-KINDS = ("polarity", "value", "date")
+from quillgate.functions.facts import KINDS, FactPack, ZH_FACTS, extract_facts
 
 
 def facts_by_key(answers: DataFrame, key: str, text: str, pack: FactPack = ZH_FACTS) -> DataFrame:

@@ -14,6 +14,7 @@ from quillgate.functions.facts import (
     anchor_text,
     extract_facts,
     merged_pool,
+    no_facts,
     pool_is_trainable,
     pool_text,
 )
@@ -113,10 +114,8 @@ def long_survivors(candidates: DataFrame, train: DataFrame, pool: DataFrame, set
 
 def _with_base(joined: DataFrame) -> DataFrame:
     """Drop questions without base reasoning; a missing pool holds no facts."""
-    facts_type = "struct<polarity:array<string>,value:array<string>,date:array<string>>"
-    no_facts = F.struct(*[F.array().cast("array<string>").alias(k) for k in ("polarity", "value", "date")])
     return (
-        joined.withColumn("pool_facts", F.coalesce("pool_facts", no_facts.cast(facts_type)))
+        joined.withColumn("pool_facts", F.coalesce("pool_facts", no_facts()))
         .withColumn("references", references_of("user_prompt"))
         .filter(F.coalesce("base_think", F.lit("")) != "")
     )

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from quillgate.functions import style
+from quillgate.functions import facts, style
 from quillgate.functions.style import ZH_STYLE
 
 TRACES = [
@@ -34,3 +34,29 @@ def test_the_trigger_changes_no_style_result(spark):
 def test_a_text_without_a_trigger_is_settled_by_one_search(spark):
     plan = spark.range(1).select(F.lit("x").alias("t")).select(style.has_trace("t").alias("h"))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+FACTS = [
+    None, "", " ", "自２０２３年１月１日起免征，税率１３％", "不超过10万元可以，超过1,000.5 万元不得", "万分之五、3个月、2024 年", "不可以不属于应缴", "٣٤年 5年", "12万元", "千分之三\x1c%", "2024年5月 6日至2024年",
+]
+
+
+def test_facts_by_arrow_are_those_of_the_jvm(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(FACTS)], "i int, t string")
+    # A back reference to an empty group is read by the JVM only.
+    java = replace(facts.ZH_FACTS, date=facts.ZH_FACTS.date + r"()\1")
+    both = texts.select("i", facts.extract_facts("t").alias("a"), facts.extract_facts("t", java).alias("j")).orderBy("i").collect()
+    assert [r.a for r in both] == [r.j for r in both]
+    assert both[3].a.date == ["2023年1月1日"] and both[4].a.polarity == ["不得", "不超过", "可以", "超过"]
+
+
+def test_facts_need_one_arrow_pass_and_no_pattern_of_the_jvm(spark):
+    rows = spark.createDataFrame([("a", "b")], "think string, answer string")
+    plan = rows.select(style.has_trace("think").alias("h"), facts.extract_facts("answer").alias("f"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all(answer" not in plan
+
+
+def test_a_verdict_holds_what_is_asked_for(spark):
+    rows = spark.createDataFrame([("免征",)], "a string").withColumn("f", facts.extract_facts("a"))
+    told = rows.select(facts.pool_verdict("a", F.col("f"), F.col("f"), ("in_pool",)).alias("v")).first().v
+    assert told.asDict() == {"in_pool": True}
