@@ -37,8 +37,10 @@ def score_rows(inference: DataFrame, pool: DataFrame, scores: DataFrame, facts:
             "_forced": ~ok | is_blank(think),
         }
     )
-    verdict = pool_verdict(answer, F.col("_facts"), F.col("_pool"))
     no_pool = F.col("_pool").isNull()
+    told = ("in_pool", "comparable", "reason", "drift_facts")
+    rows = rows.withColumn("_verdict", F.when(~no_pool, pool_verdict(answer, F.col("_facts"), F.col("_pool"), told)))
+    verdict = F.col("_verdict")
     return rows.select(
         "qid",
         "query",

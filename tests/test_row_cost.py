@@ -6,6 +6,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from quillgate.catalog import queries as q
+from quillgate.catalog.derived import candidates, order_lines
 from quillgate.functions import facts, style
 from quillgate.functions.style import ZH_STYLE
 
@@ -60,3 +62,10 @@ def test_a_verdict_holds_what_is_asked_for(spark):
     rows = spark.createDataFrame([("免征",)], "a string").withColumn("f", facts.extract_facts("a"))
     told = rows.select(facts.pool_verdict("a", F.col("f"), F.col("f"), ("in_pool",)).alias("v")).first().v
     assert told.asDict() == {"in_pool": True}
+
+
+def test_the_first_line_is_picked_before_texts_are_made(spark):
+    assert not {"think", "answer", "text"} & set(order_lines(spark, "/root/testdata/sf0.001").columns)
+    made = q._inference(order_lines(spark, "/root/testdata/sf0.001"))
+    assert "lineitem" not in str(made.inputFiles()) and "firsts" in str(made.inputFiles())
+    assert made.count() == candidates(spark, "/root/testdata/sf0.001").select("qid").distinct().count()
