@@ -69,3 +69,8 @@ def test_the_first_line_is_picked_before_texts_are_made(spark):
     made = q._inference(order_lines(spark, "/root/testdata/sf0.001"))
     assert "lineitem" not in str(made.inputFiles()) and "firsts" in str(made.inputFiles())
     assert made.count() == candidates(spark, "/root/testdata/sf0.001").select("qid").distinct().count()
+
+
+def test_survivors_are_written_once_as_parquet(spark):
+    kept = q.training_rows.long_survivors(*q._selection_inputs(spark, "/root/testdata/sf0.001"))
+    assert kept.inputFiles() and all(f.endswith(".zstd.parquet") for f in kept.inputFiles())
