@@ -74,3 +74,10 @@ def test_the_first_line_is_picked_before_texts_are_made(spark):
 def test_survivors_are_written_once_as_parquet(spark):
     kept = q.training_rows.long_survivors(*q._selection_inputs(spark, "/root/testdata/sf0.001"))
     assert kept.inputFiles() and all(f.endswith(".zstd.parquet") for f in kept.inputFiles())
+
+
+def test_gates_and_penalties_share_one_python_stage(spark):
+    cand, prompts = q._reward_inputs(spark, "/root/testdata/sf0.001")
+    pooled = cand.select("qid", "cand_idx", "text", F.lit(True).alias("has_pool"), facts.no_facts().alias("pool_facts"))
+    plan = q.rewards.reward_gates(pooled, q.DEFAULTS.reward)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
