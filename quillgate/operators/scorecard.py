@@ -24,13 +24,14 @@ def score_rows(inference: DataFrame, pool: DataFrame, scores: DataFrame, facts:
     """
     keyed = inference.withColumn("qid", filled_question_id("qid", "query"))
     targets = pool_targets(pool, facts).withColumnRenamed("facts", "_pool")
-    judged = scores.select("qid", F.col("clean_score"), F.col("n").alias("clean_n"))
+    # Scores grow with the rows: they are never broadcast, however small their file looks to the planner.
+    judged = scores.select("qid", F.col("clean_score"), F.col("n").alias("clean_n")).hint("merge")
     rows = keyed.join(targets, "qid", "left").join(judged, "qid", "left")
     think, answer = text_or_empty("think"), text_or_empty("answer")
     ok, reason = format_defaults(think, answer, F.col("format_ok"), F.col("format_reason"))
     rows = rows.withColumns(
         {
-            "_report": trace_report("think", style),
+            "_report": trace_report("think", style, ("has_rag_style", "n")),
             "_facts": extract_facts(answer, facts),
             "_ok": ok,
             "_reason": reason,

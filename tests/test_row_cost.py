@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from quillgate.catalog import queries as q
-from quillgate.catalog.derived import candidates, order_lines
+from quillgate.catalog.derived import candidates, flagged, numbered, order_lines, worded
 from quillgate.functions import facts, style
 from quillgate.functions.style import ZH_STYLE
+from quillgate.functions.text import fold_joined
+from quillgate.operators import dedup
 
 TRACES = [
     None, "", "先核对数量", "资料显示如此", "回答 ：好", "第 3 个参考", "亲，您好", "A.PNG 一栏", "见 HTTPS://x.aliyuncs/y",
@@ -81,3 +84,42 @@ def test_gates_and_penalties_share_one_python_stage(spark):
     pooled = cand.select("qid", "cand_idx", "text", F.lit(True).alias("has_pool"), facts.no_facts().alias("pool_facts"))
     plan = q.rewards.reward_gates(pooled, q.DEFAULTS.reward)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_gate_reads_only_the_kinds_it_compares(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(FACTS)], "i int, t string")
+    java = replace(facts.ZH_FACTS, date=facts.ZH_FACTS.date + r"()\1")
+    for pack in (facts.ZH_FACTS, java):
+        for kinds in (("polarity",), ("value", "date"), facts.KINDS):
+            r = texts.select(facts.extract_facts("t", pack).alias("all"), facts.extract_facts("t", pack, kinds=kinds).alias("some"),
+                             facts.facts_of_list(facts.listed_facts("t", pack, kinds), kinds).alias("listed")).collect()
+            assert [{k: x.all[k] for k in kinds} for x in r] == [x.some.asDict() for x in r] == [x.listed.asDict() for x in r]
+
+
+def test_rows_of_numbers_are_picked_by_hashing(spark):
+    rows = spark.createDataFrame([("a", 2, 1, None), ("a", 1, 5, 6.5), ("b", 3, None, 1.0), (None, 1, 7, 2.0)], "k string, o int, n bigint, x double")
+    first, last = dedup.first_per_key(rows, "k", "o"), dedup.last_per_key(rows, "k", "o")
+    assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+    assert first.columns == rows.columns
+    assert {r.k: (r.o, r.n, r.x) for r in first.collect()} == {"a": (1, 5, 6.5), "b": (3, None, 1.0), None: (1, 7, 2.0)}
+    assert {r.k: (r.o, r.n, r.x) for r in last.collect()} == {"a": (2, 1, None), "b": (3, None, 1.0), None: (1, 7, 2.0)}
+
+
+def test_order_lines_keep_their_texts_through_numbers(spark):
+    lines = order_lines(spark, "/root/testdata/sf0.001", dealt=False)
+    again = flagged(numbered(lines))
+    odd = spark.createDataFrame([("X", "F"), (None, None), ("", "O"), ("R", "o")], "l_returnflag string, l_linestatus string")
+    assert [tuple(r) for r in flagged(numbered(odd)).collect()] == [(None, None), (None, None), (None, "O"), ("R", None)]
+    assert worded(again).exceptAll(worded(lines)).count() == 0 and worded(lines).exceptAll(worded(again)).count() == 0
+
+
+def test_scores_are_not_broadcast_for_a_small_file(spark):
+    inference = q._inference(order_lines(spark, "/root/testdata/sf0.001", dealt=False))
+    answers = q.sampled_answers(candidates(spark, "/root/testdata/sf0.001"))
+    plan = q.scorecard.score_rows(inference, answers, q._eval_scores(inference))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
+def test_texts_are_folded_together_as_one_by_one():
+    texts = ["", "１，２", "ｶﾞ é ﬁ", "한　한", "ａ́", "先核对，数量", "①"]
+    assert fold_joined("".join(texts), "").split("") == [unicodedata.normalize("NFKC", t) for t in texts]
