@@ -5,6 +5,8 @@ The answer of every row is the base model's own text; only the reasoning differs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from quillgate.functions.noise import clearly_cleaner, sigma_distance
 from quillgate.functions.replies import DEFAULT_PROMPTS, PromptPack, clipped, judge_prompt, rewrite_prompt, score_key
 from quillgate.functions.style import StylePack, ZH_STYLE, has_trace
 from quillgate.functions.tags import references_of, wrap_completion
-from quillgate.functions.text import filled_question_id, first_non_empty, strip, stripped, text_or_empty
+from quillgate.functions.text import as_col, filled_question_id, first_non_empty, strip, stripped, text_or_empty
 from quillgate.operators.candidates import best_of, explode_candidates, gated_candidates
 from quillgate.operators.joins import join_unique, with_leak_flag
 from quillgate.operators.observed import Check, stored_if_sound
@@ -146,22 +148,19 @@ def survivor_counts(kept: DataFrame) -> DataFrame:
     return kept.groupBy("qid").agg(F.count("*").alias("n_survivors"))
 
 
-def _paired_scores(rows: DataFrame, scores: DataFrame, clean_key: str, base_key: str, names: tuple[str, str]) -> DataFrame:
-    """Attach the scores of two keys per question with one join over ``(qid, side, key)`` rows."""
-    long = rows.select(
-        "qid",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.col(clean_key).alias("key")),
-                F.struct(F.lit(1).alias("side"), F.col(base_key).alias("key")),
-            )
-        ).alias("_r"),
-    ).select("qid", "_r.*")
-    found = with_scores(long, scores).groupBy("qid").agg(
-        F.max(F.when(F.col("side") == 0, F.col("clean_score"))).alias(names[0]),
-        F.max(F.when(F.col("side") == 1, F.col("clean_score"))).alias(names[1]),
+def _found_scores(rows: DataFrame, scores: DataFrame, keys: dict[str, Column | str]) -> DataFrame:
+    """``qid`` and the scores of several keys per question, named by ``keys``, with one join over
+    ``(qid, side, key)`` rows."""
+    sides = [F.struct(F.lit(i).alias("side"), as_col(k).alias("key")) for i, k in enumerate(keys.values())]
+    long = rows.select("qid", F.explode(F.array(*sides)).alias("_r")).select("qid", "_r.*")
+    return with_scores(long, scores).groupBy("qid").agg(
+        *[F.max(F.when(F.col("side") == i, F.col("clean_score"))).alias(name) for i, name in enumerate(keys)]
     )
-    return rows.join(found, "qid", "left")
+
+
+def _paired_scores(rows: DataFrame, scores: DataFrame, clean_key: str, base_key: str, names: tuple[str, str]) -> DataFrame:
+    """Attach the scores of two keys per question."""
+    return rows.join(_found_scores(rows, scores, dict(zip(names, (clean_key, base_key)))), "qid", "left")
 
 
 def confirmed(best: DataFrame, select_scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -234,6 +233,10 @@ def rewrite_requests(train: DataFrame, pool: DataFrame, settings: Settings = DEF
     )
 
 
+# The kinds of facts that the gate of a rewrite compares.
+_GATED = ("polarity",)
+
+
 def rewrite_gates(train: DataFrame, pool: DataFrame, rewrites: DataFrame, settings: Settings = DEFAULTS,
                   facts: FactPack = ZH_FACTS, style: StylePack = ZH_STYLE) -> DataFrame:
     """Rewrites with their deterministic gates and score keys; ``rewrites`` has ``qid, natural``.
@@ -245,7 +248,7 @@ def rewrite_gates(train: DataFrame, pool: DataFrame, rewrites: DataFrame, settin
     k_select = require_select_k(gates.k_select, gates.min_select_k)
     joined = (
         train.select("qid", "query", "user_prompt", "answer", "reasoning")
-        .join(pool_targets(pool, facts).select("qid", F.col("facts.polarity").alias("_pooled")), "qid", "left")
+        .join(pool_targets(pool, facts, _GATED).select("qid", F.col("facts.polarity").alias("_pooled")), "qid", "left")
         .join(rewrites.select("qid", strip("natural").alias("natural")), "qid", "left")
         .withColumn("references", references_of("user_prompt"))
         .withColumn("base_think", stripped("reasoning"))
@@ -253,8 +256,8 @@ def rewrite_gates(train: DataFrame, pool: DataFrame, rewrites: DataFrame, settin
     written = F.col("natural").isNotNull()
     read = joined.withColumn("rule_ok", written & ~has_trace("natural", style)).withColumns(
         {
-            "_own": extract_facts(pool_text(F.array("answer", "reasoning")), facts),
-            "_written": extract_facts(F.when(F.col("rule_ok"), F.col("natural")), facts),
+            "_own": extract_facts(pool_text(F.array("answer", "reasoning")), facts, kinds=_GATED),
+            "_written": extract_facts(F.when(F.col("rule_ok"), F.col("natural")), facts, kinds=_GATED),
         }
     )
     allowed = F.array_union("_own.polarity", F.coalesce("_pooled", F.array().cast("array<string>")))
@@ -279,10 +282,27 @@ def rewrite_screen(gated: DataFrame, screen_scores: DataFrame) -> DataFrame:
 
 def rewrite_results(gated: DataFrame, screen_scores: DataFrame, select_scores: DataFrame,
                     settings: Settings = DEFAULTS) -> DataFrame:
-    """Selection result of every rewrite, with the scores of those that got that far."""
-    passed = rewrite_screen(gated, screen_scores).select("qid", "select_key", "base_key")
-    scored = _paired_scores(passed, select_scores, "select_key", "base_key", ("score_clean", "score_base"))
-    rows = gated.join(scored.select("qid", "score_clean", "score_base"), "qid", "left")
+    """Selection result of every rewrite, with the scores of those that got that far.
+
+    Both waves' scores meet the rewrites in one join, each under its wave; those of the second
+    count only for rewrites that pass the first (``rewrite_screen``).
+    """
+
+    def of(wave: int, key: str) -> Column:
+        return F.concat(F.lit(f"{wave}:"), F.col(key))
+
+    both = reduce(DataFrame.unionByName, [
+        s.select(of(i, "key").alias("key"), "clean_score", "sd", "n") for i, s in enumerate((screen_scores, select_scores))
+    ])
+    keys = {
+        "quick_clean": of(0, "screen_key"), "quick_base": of(0, "screen_base_key"),
+        "_full_clean": of(1, "select_key"), "_full_base": of(1, "base_key"),
+    }
+    passed = F.col("quick_clean") > F.col("quick_base")
+    scored = _found_scores(gated.filter("facts_ok"), both, keys).select(
+        "qid", F.when(passed, F.col("_full_clean")).alias("score_clean"), F.when(passed, F.col("_full_base")).alias("score_base")
+    )
+    rows = gated.join(scored, "qid", "left")
     return rows.select(
         "qid", "query", "user_prompt", "answer", "natural",
         "rule_ok", "facts_ok", "score_clean", "score_base",

@@ -113,6 +113,24 @@ def test_order_lines_keep_their_texts_through_numbers(spark):
     assert worded(again).exceptAll(worded(lines)).count() == 0 and worded(lines).exceptAll(worded(again)).count() == 0
 
 
+def test_both_waves_of_scores_meet_the_rewrites_in_one_join(spark):
+    gated = spark.createDataFrame(
+        [(f"q{i}", "q", "u", "a", "n", "b", "r", True, i != 3, f"s{i}", f"t{i}", f"s{i}", f"t{i}") for i in range(4)],
+        "qid string, query string, user_prompt string, answer string, natural string, base_think string, references string, "
+        "rule_ok boolean, facts_ok boolean, screen_key string, screen_base_key string, select_key string, base_key string")
+
+    def wave(rows):  # both waves hold the same keys with other scores
+        return spark.createDataFrame(rows, "key string, clean_score double, sd double, n bigint")
+
+    quick = wave([("s0", 9.0, 0.0, 2), ("t0", 1.0, 0.0, 2), ("s1", 1.0, 0.0, 2), ("t1", 9.0, 0.0, 2), ("s2", 5.0, 0.0, 2), ("s3", 9.0, 0.0, 2), ("t3", 1.0, 0.0, 2)])
+    full = wave([(k + str(i), v, 0.0, 16) for i in range(4) for k, v in (("s", 8.0), ("t", 0.5))])
+    made = q.training_rows.rewrite_results(gated, quick, full)
+    assert {r.qid: (r.score_clean, r.score_base, r.selected) for r in made.collect()} == {
+        "q0": (8.0, 0.5, True), "q1": (None, None, False), "q2": (None, None, False), "q3": (None, None, False)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("_salt") <= 12
+    assert {r.qid for r in q.training_rows.rewrite_screen(gated, quick).collect()} == {"q0"}
+
+
 def test_scores_are_not_broadcast_for_a_small_file(spark):
     inference = q._inference(order_lines(spark, "/root/testdata/sf0.001", dealt=False))
     answers = q.sampled_answers(candidates(spark, "/root/testdata/sf0.001"))
