@@ -141,3 +141,11 @@ def test_scores_are_not_broadcast_for_a_small_file(spark):
 def test_texts_are_folded_together_as_one_by_one():
     texts = ["", "１，２", "ｶﾞ é ﬁ", "한　한", "ａ́", "先核对，数量", "①"]
     assert fold_joined("".join(texts), "").split("") == [unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_terms_are_found_in_the_joined_texts():
+    plan = facts.masking_plan(facts.ZH_FACTS.polarity)
+    texts = ["", "不超过10，超过", "不可以可以", "不属于", "\U00020000免征免征", "无", "需缴纳"]
+    rows, terms = facts._polarity_hits(facts._ROW.join(texts), plan)
+    assert sorted(set(zip(rows.tolist(), terms.to_pylist()))) == [
+        (1, "不超过"), (1, "超过"), (2, "不可以"), (2, "可以"), (3, "不属于"), (4, "免征"), (6, "需缴纳")]
