@@ -1109,8 +1109,9 @@ def _eval_scores(inference: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _scored(spark, sf) -> DataFrame:
-    cand, inference = candidates(spark, sf), _inference(order_lines(spark, sf, dealt=False))
-    return scorecard.score_rows(inference, sampled_answers(cand), _eval_scores(inference))
+    lines = order_lines(spark, sf, dealt=False)  # the short answers are made and merged before they are shuffled
+    inference = _inference(lines)
+    return scorecard.score_rows(inference, sampled_answers(worded(lines)), _eval_scores(inference))
 
 
 _EVAL_CTE = f"""{CANDIDATES_CTE}, {POOL_CTE},

@@ -125,6 +125,8 @@ def category_hit(text: Column, category: Category) -> Column:
     hit = text.rlike(category.flags + category.joined)
     if category.must_contain:
         hit = text.rlike(category.flags + category.must_contain) & hit
+    if category.words and not category.ignore_case:
+        hit = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in category.words]) & hit
     return hit
 
 
@@ -175,6 +177,19 @@ _NO_SPANS = f"cast(array() as {_SPAN})"
 _NO_TEXTS = "cast(array() as array<string>)"
 
 
+def _lead(pattern: str) -> str:
+    """Plain text that every match of a pattern begins with; empty when the pattern does not tell."""
+    if re.search(r"\\[()|]|\[[^\]]*[()|]", pattern) or "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return ""
+    plain = re.match(r"[^\\.\[\](){}|*+?^$]*", pattern).group()
+    return plain[:-1] if pattern[len(plain):][:1] in tuple("*+?{") else plain
+
+
+def _holds(text: str) -> str:
+    quoted = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"contains(t, '{quoted}')"
+
+
 def _strip_sql(text: str) -> str:
     return f"trim(BOTH '{SPACES}' FROM {text})"
 
@@ -196,7 +211,10 @@ def _pattern_spans(pattern: str, category: Category) -> str:
         "(a, piece) -> named_struct('pos', a.pos + char_length(piece), 'hit', NOT a.hit, "
         f"'spans', if(a.hit, array_append(a.spans, {span}), a.spans))).spans"
     )
-    return f"if(t rlike {exact}, {spans}, {_NO_SPANS})"
+    test = f"t rlike {exact}"
+    if not category.ignore_case and (lead := _lead(pattern)):
+        test = _holds(lead) if lead == pattern else f"{_holds(lead)} AND {test}"
+    return f"if({test}, {spans}, {_NO_SPANS})"
 
 
 def _category_spans(category: Category) -> str:
@@ -208,20 +226,21 @@ def _category_spans(category: Category) -> str:
     found = [_pattern_spans(p, category) for p in category.patterns]
     if len(found) == 1:
         return found[0]
-    ordered = (
-        f"array_sort(transform(concat({', '.join(found)}), "
-        "s -> named_struct('lo', s.lo, 'back', -s.hi, 'text', s.text)))"
-    )
+    ordered = "array_sort(transform(c, s -> named_struct('lo', s.lo, 'back', -s.hi, 'text', s.text)))"
     kept = f"named_struct('lo', s.lo, 'hi', -s.back, 'text', s.text, 'type', '{category.name}')"
-    return (
+    outer = (
         f"aggregate({ordered}, named_struct('reach', -1, 'spans', {_NO_SPANS}), "
         "(a, s) -> named_struct('reach', greatest(a.reach, -s.back), "
         f"'spans', if(-s.back > a.reach, array_append(a.spans, {kept}), a.spans))).spans"
     )
+    return _bind("c", f"concat({', '.join(found)})", f"if(size(c) < 2, c, {outer})")
 
 
 def _gated_spans(category: Category, rank: int) -> str:
     test = f"t rlike r'{category.flags}{category.joined}'"
+    if category.words and not category.ignore_case:
+        # Each pattern has its own test behind this one.
+        test = f"({' OR '.join(map(_holds, category.words))})"
     if category.must_contain:
         test = f"t rlike r'{category.flags}{category.must_contain}' AND {test}"
     return (
@@ -263,9 +282,8 @@ def trace_report(column: str, pack: StylePack = ZH_STYLE, fields: tuple[str, ...
     ``reported`` document names are listed, while the count of that category covers all.
     """
     found = ", ".join(_gated_spans(c, i) for i, c in enumerate(pack.categories))
-    placed = (
-        f"transform(array_sort(concat({found})), s -> named_struct('text', s.text, 'type', s.type))"
-    )
+    found = f"concat({found})" if fields and "spans" not in fields else f"array_sort(concat({found}))"
+    placed = f"transform({found}, s -> named_struct('text', s.text, 'type', s.type))"
     rule = pack.list_dump
     docs = _documents_sql(rule) if rule else _NO_TEXTS
     label = f"regexp_extract(t, r'(?U){rule.label}', 0)" if rule else "''"

@@ -41,6 +41,21 @@ def test_a_text_without_a_trigger_is_settled_by_one_search(spark):
     assert "ArrowEvalPython" in plan
 
 
+def test_a_count_of_traces_is_that_of_the_full_report(spark):
+    more = TRACES + ["参考资料与参考问答对，原始问答对", "如上文所示，如前述；对照参考资料", "哦~哦～亲,", "问答对 3，问答对三，问题 1：", "如上 文"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(more)], "i int, t string")
+    told = texts.select("i", style.trace_report("t", untold(ZH_STYLE)).alias("r"), style.trace_report("t", ZH_STYLE, ("has_rag_style", "n")).alias("f"))
+    rows = told.orderBy("i").collect()
+    assert [(r.r.has_rag_style, r.r.n) for r in rows] == [tuple(r.f) for r in rows]
+    assert max(r.f.n for r in rows) > 2
+
+
+def test_patterns_are_led_by_plain_text():
+    leads = {"参考资料": "参考资料", "如(?:上|前)述": "如", "哦[~～]": "哦", "ab?c": "a", "(?:逐条|依次)对照": "", "甲|乙": "", r"\\d+号": "", r"a\\(b|c\\)": "",
+             "a[|]b": "", "(?:a(?:b|c)|d)": "", "甲{2}": "", r"第\\s*条": "第", "": ""}
+    assert {p: style._lead(p) for p in leads} == leads
+
+
 FACTS = [
     None, "", " ", "自２０２３年１月１日起免征，税率１３％", "不超过10万元可以，超过1,000.5 万元不得", "万分之五、3个月、2024 年", "不可以不属于应缴", "٣٤年 5年", "12万元", "千分之三\x1c%", "2024年5月 6日至2024年",
 ]
