@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgate.functions.text import JOINER, SPACE_CLASS, as_col, bind, fold_joined, is_blank, nfkc, stripped, text_groups, text_or_empty
+from quillgate.functions.text import JOINER, SPACE_CLASS, as_col, bind, fold_joined, is_blank, length_groups, nfkc, stripped, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -122,16 +122,34 @@ def _rows_of(places: list[int], joined: str) -> np.ndarray:
     return np.searchsorted(np.flatnonzero(points == ord(_ROW)), np.array(places, dtype=np.int64))
 
 
-def _hits(patterns: list[re.Pattern], joined: str, squeeze) -> tuple[np.ndarray, list[str]]:
-    """Row and text of all hits in texts that are joined by ``_ROW``."""
+def _join(texts: pa.Array) -> str:
+    """The texts, none of them null, joined by ``_ROW``; a text's own ``_ROW`` is as strange to every
+    pattern as the joiner is."""
+    own = pc.replace_substring(texts, _ROW, JOINER)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), _ROW)[0].as_py()
+
+
+def _found(patterns: list[re.Pattern], joined: str) -> tuple[list[int], list[str]]:
+    """Place and text of all hits."""
     at, found = [], []
     for p in patterns:
         for m in p.finditer(joined):
             at.append(m.start())
             found.append(m.group())
+    return at, found
+
+
+def _without(joined: str, at: list[int], found: list[str]) -> str:
+    """A space in the place of each hit of one pattern."""
+    starts = [0, *map(int.__add__, at, map(len, found))]
+    return " ".join(map(joined.__getitem__, map(slice, starts, [*at, len(joined)])))
+
+
+def _hits(at: list[int], found: list[str], joined: str, squeeze) -> tuple[np.ndarray, pa.Array]:
+    """Row and text of hits in texts that are joined by ``_ROW``."""
     if not found:
-        return np.zeros(0, dtype=np.int64), []
-    return _rows_of(at, joined), squeeze(_ROW.join(found)).split(_ROW)
+        return np.zeros(0, dtype=np.int64), pa.array([], pa.string())
+    return _rows_of(at, joined), pa.array(squeeze(_ROW.join(found)).split(_ROW), pa.string())
 
 
 def _lists(n: int, rows: np.ndarray, texts: pa.Array) -> pa.Array:
@@ -168,18 +186,18 @@ def _read_by_arrow(text: Column, pack: FactPack, normalise: bool, kinds: tuple[s
     def clean(found: str) -> str:
         return reduce(lambda t, u: t.replace(*u), units, _MARKS.sub("", found))
 
-    def read(texts: list[str]) -> pa.Array:
-        joined = _ROW.join(texts)
+    def read(texts: pa.Array) -> pa.Array:
+        joined = _join(texts)
         joined = fold_joined(joined, _ROW) if normalise else joined
         n, hits = len(texts), {}
         if "polarity" in kinds:
             hits["polarity"] = _polarity_hits(joined, plan)
         if "value" in kinds or "date" in kinds:
-            on, dates = _hits([date], joined, lambda t: _GAPS.sub("", t))
-            hits["date"] = on, pa.array(dates, pa.string())
+            dates = _found([date], joined)
+            hits["date"] = _hits(*dates, joined, lambda t: _GAPS.sub("", t))
         if "value" in kinds:
-            of, found = _hits(values, date.sub(" ", joined) if dates else joined, clean)
-            hits["value"] = of, pa.array(found, pa.string())
+            masked = _without(joined, *dates)
+            hits["value"] = _hits(*_found(values, masked), masked, clean)
         if not listed:
             return pa.StructArray.from_arrays([_lists(n, *hits[k]) for k in kinds], names=list(kinds))
         marked = [pc.binary_join_element_wise(_MARK_OF[k], hits[k][1], "") for k in kinds]
@@ -189,9 +207,8 @@ def _read_by_arrow(text: Column, pack: FactPack, normalise: bool, kinds: tuple[s
 
     @F.arrow_udf("array<string>" if listed else f"struct<{','.join(f'{k}:array<string>' for k in kinds)}>")
     def facts_of(texts: pa.Array) -> pa.Array:
-        # The joiner is as strange to every pattern as the separator is.
-        here = [t.replace(_ROW, JOINER) for t in texts.to_pylist()]
-        parts = [read(here[lo:hi]) for lo, hi in text_groups(here)]
+        lengths = pc.utf8_length(texts).to_pylist()
+        parts = [read(texts.slice(lo, hi - lo)) for lo, hi in length_groups(lengths)]
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return facts_of(text)

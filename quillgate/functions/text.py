@@ -127,14 +127,19 @@ _CHARS = 1 << 18  #: characters that a Python helper reads together
 
 def text_groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``_CHARS`` characters; a longer text is alone."""
+    return length_groups([len(t) for t in texts])
+
+
+def length_groups(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """The same for texts of these lengths."""
     at, held = 0, 0
-    for k, t in enumerate(texts):
-        if k > at and held + len(t) > _CHARS:
+    for k, n in enumerate(lengths):
+        if k > at and held + n > _CHARS:
             yield at, k
             at, held = k, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        held += n
+    if at < len(lengths):
+        yield at, len(lengths)
 
 
 def fold_joined(joined: str, mark: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillgate.catalog import queries as q
@@ -164,3 +165,14 @@ def test_terms_are_found_in_the_joined_texts():
     rows, terms = facts._polarity_hits(facts._ROW.join(texts), plan)
     assert sorted(set(zip(rows.tolist(), terms.to_pylist()))) == [
         (1, "不超过"), (1, "超过"), (2, "不可以"), (2, "可以"), (3, "不属于"), (4, "免征"), (6, "需缴纳")]
+
+
+def test_dates_are_cut_out_where_they_were_found():
+    date = facts._led(facts.ZH_FACTS.date)
+    for text in ["", "无", "2024年", "自2024年5月6日至2025年 3月", "2023年2024年5%"]:
+        assert facts._without(text, *facts._found([date], text)) == date.sub(" ", text)
+
+
+def test_a_slice_of_texts_is_joined_and_its_own_separators_are_not():
+    texts = pa.array(["x", "甲", f"乙{facts._ROW}丙", "", "丁"]).slice(1)
+    assert facts._join(texts).split(facts._ROW) == ["甲", f"乙{facts.JOINER}丙", "", "丁"]
