@@ -45,6 +45,24 @@ def test_a_join_without_hot_keys_keeps_the_partitioning(spark):
         assert {r.i: r.v for r in made.collect()} == {i: i % 5 for i in range(50)} | {-1: None, -2: None}
 
 
+def test_only_survivors_are_written(spark):
+    kept = training_rows.long_survivors(*q._selection_inputs(spark, SF))
+    written = spark.read.parquet(*kept.inputFiles())
+    assert 0 < written.count() == kept.count()
+    assert not {"screen_key", "answer_facts", "pool_facts", "text"} & set(written.columns)
+
+
+def test_one_row_of_a_repeated_place_is_the_best(spark):
+    rows = [("q", i, "query", "prompt", "r", "a", "base", "think", k) for i, k in ((3, "x"), (3, "x"), (1, "x"), (1, "x"), (0, "y"))]
+    kept = spark.createDataFrame(rows, "qid string, cand_idx bigint, query string, user_prompt string, references string, "
+                                       "answer string, base_think string, think string, screen_key string")
+    scores = spark.createDataFrame([("x", 9.0, 0.0, 2), ("y", 1.0, 0.0, 2)], "key string, clean_score double, sd double, n bigint")
+    best = training_rows.screened(kept, scores).collect()
+    assert [(r.qid, r.cand_idx, r.screen_score, r.think) for r in best] == [("q", 1, 9.0, "think")]
+    keys = q.replies.score_key(DEFAULTS.spend.cache_version, "references", "think", DEFAULTS.gates.k_select).alias("key")
+    assert best[0].select_key == kept.select(keys).first().key
+
+
 def test_clean_candidates_alone_meet_the_scores(spark):
     prompts = spark.createDataFrame([("q", PROMPT, '["%s"]' % POOL[0]), ("none", PROMPT, "[]")],
                                     "qid string, user_prompt string, v1_answers_json string")
