@@ -23,7 +23,7 @@ from quillgate.operators import candidates as cands
 from quillgate.operators.pools import facts_by_key
 from quillgate.plans import training_rows, upstream
 from quillgate.settings import DEFAULTS, GateSettings, SpendSettings
-from quillgate.sources.settle import checkpoint_dir, settled, stored
+from quillgate.sources.settle import checkpoint_dir, settled, shuffles_cleaned, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -12,7 +12,11 @@ from quillgate.operators.pools import pool_targets
 from quillgate.operators.scorecard import score_rows
 from quillgate.schemas import schema
 from quillgate.sources.jsonl import exists
-from quillgate.sources.settle import settled
+from quillgate.sources.settle import shuffles_cleaned, stored
+
+
+# What scoring reads of an inference row.
+_READ = ("qid", "query", "think", "answer", "format_ok", "format_reason")
 
 
 def score_stream(spark: SparkSession, inbox: str, pool: DataFrame, scores: DataFrame, sink: str, checkpoint: str,
@@ -27,20 +31,22 @@ def score_stream(spark: SparkSession, inbox: str, pool: DataFrame, scores: DataF
     source = spark.readStream.schema(schema("inference"))
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    arriving = source.json(inbox).withColumn("qid", filled_question_id("qid", "query"))
+    arriving = source.json(inbox).withColumn("qid", filled_question_id("qid", "query")).select(*_READ)
     # One bit of keyed state for each question, kept with the checkpoint: a batch costs what its own
     # rows cost, however many came before.  Of equal questions in one batch any one counts.
     fresh = arriving.dropDuplicates(["qid"])
     # Facts of the pool are read once, not for every batch.
-    targets = settled(pool_targets(pool))
+    targets = stored(pool_targets(pool), "pool-facts")
     base, done = f"{sink}/tag={tag}", None
     if not exists(spark, f"{checkpoint}/metadata") and exists(spark, base):
-        done = settled(spark.read.parquet(sink).filter(F.col("tag") == tag).select("qid").distinct())
+        done = stored(spark.read.parquet(sink).filter(F.col("tag") == tag).select("qid").distinct(), "done")
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = settled(batch)  # scoring reads it several times; the state must be asked once
+        rows = stored(batch, "batch")  # scoring reads it several times; the state must be asked once
         rows = rows if done is None else not_done(rows, done, "qid")
-        score_rows(rows, targets, scores).write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        scored = score_rows(rows, targets, scores)
+        with shuffles_cleaned(scored.sparkSession):
+            scored.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
 
     writer = fresh.writeStream.foreachBatch(score_batch).outputMode("append").option("checkpointLocation", checkpoint)
     if available_now:

@@ -78,3 +78,10 @@ def test_clean_candidates_alone_meet_the_scores(spark):
     assert seen == [{("k0", "clean"), ("k1", "format")}]
     assert {r.key: r.reward for r in made.collect()} == {"k0": 1.4, "k1": -4.0}
     assert {r.key for r in rewards.candidate_rewards(cands.filter("key <> 'k2'"), prompts, DEFAULTS.reward, judged(made)).collect()} == {"k0", "k1"}
+
+
+def test_the_inbox_of_the_stream_is_compressed(spark):
+    before = set(glob.glob(f"{checkpoint_dir(spark)}/stream-*"))
+    q.QUERIES["streamed_scores"](spark, SF)
+    (work,) = set(glob.glob(f"{checkpoint_dir(spark)}/stream-*")) - before
+    assert len(glob.glob(f"{work}/inbox/*.json.gz")) >= 4 and not glob.glob(f"{work}/inbox/*.json")
