@@ -932,7 +932,7 @@ def _rewrites(spark, sf):
 
 
 def _rewrite_results(spark, sf) -> DataFrame:
-    gated = stored(_rewrites(spark, sf), "rewritten")
+    gated = _rewrites(spark, sf)  # written by the gates
     quick = _scores_for(gated.select(F.explode(F.array("screen_key", "screen_base_key")).alias("key")))
     full = _scores_for(gated.select(F.explode(F.array("select_key", "base_key")).alias("key")))
     return training_rows.rewrite_results(gated, quick, full)
@@ -974,18 +974,19 @@ SELECT qid AS query, held_out FROM e""")
 def _(spark, sf):
     """``sft_rows_until_target`` without gating and scoring the questions beyond the target."""
     rollouts, base, pooled = _selection_inputs(spark, sf)
-    pooled = settled(pooled)
-    written = settled(dedup.last_per_key(candidates(spark, sf), "qid", "cand_idx").filter("q % 7 <> 0").select("qid", F.concat("think", F.lit("，"), "answer").alias("natural")))
+    pooled = stored(pooled, "pooled")
+    last = worded(flagged(dedup.last_per_key(numbered(order_lines(spark, sf, dealt=False)), "qid", "cand_idx")))
+    written = stored(last.filter("q % 7 <> 0").select("qid", F.concat("think", F.lit("，"), "answer").alias("natural")), "written")
 
     def work(part: DataFrame) -> DataFrame:
         mine = part.select("qid")
-        gated = settled(training_rows.rewrite_gates(part, pooled.join(mine, "qid", "left_semi"), written.join(mine, "qid", "left_semi")))
+        gated = training_rows.rewrite_gates(part, pooled.join(mine, "qid", "left_semi"), written.join(mine, "qid", "left_semi"))
         quick = _scores_for(gated.select(F.explode(F.array("screen_key", "screen_base_key")).alias("key")))
         full = _scores_for(gated.select(F.explode(F.array("select_key", "base_key")).alias("key")))
         return training_rows.rewrite_results(gated, quick, full)
 
     split = DEFAULTS.split
-    made = waves.gather_in_waves(settled(base), work, "qid", "selected", DEFAULTS.targets.sft, split.gather_chunk, split.gather_seed, first_chunks=16)
+    made = waves.gather_in_waves(stored(base, "base-rows"), work, "qid", "selected", DEFAULTS.targets.sft, split.gather_chunk, split.gather_seed, first_chunks=16)
     train, held = training_rows.sft_train_and_eval(made.rows)
     return train.select("query", F.lit(False).alias("held_out")).unionByName(held.select("query", F.lit(True).alias("held_out")))
 

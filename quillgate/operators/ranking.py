@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgate.functions.text import seeded_hash
-from quillgate.sources.settle import settled
+from quillgate.sources.settle import stored
 
 _HEX_DIGITS = 4
 
@@ -134,7 +134,7 @@ def running_totals(df: DataFrame, order: list[str], totals: dict[str, str], part
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settled(df.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in totals.items()])
     earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     # One row per range: bounded by the partition count.

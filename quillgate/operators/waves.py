@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillgate.operators.joins import not_done
 from quillgate.operators.ranking import _place, gather_until, hash_at_rank
 from quillgate.sources.jsonl import exists
-from quillgate.sources.settle import checkpoint_dir, settled
+from quillgate.sources.settle import checkpoint_dir, shuffles_cleaned, stored
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def gather_in_waves(items: DataFrame, work: Callable[[DataFrame], DataFrame], ke
         wave += 1
     resumed = _stored(items, folder, wave, key)
     todo = items if resumed is None else not_done(items, resumed, key)
-    order = settled(todo.select(key, _place(seed, key).alias("_hash")))
+    order = stored(todo.select(key, _place(seed, key).alias("_hash")), "order")
     already = 0 if resumed is None else _hits(resumed, selected)
     hits, last, chunks, first_wave = already, "", first_chunks, wave
     while target <= 0 or hits < target:
@@ -62,7 +62,9 @@ def gather_in_waves(items: DataFrame, work: Callable[[DataFrame], DataFrame], ke
             break
         mine = todo.filter((_place(seed, key) > last) & (_place(seed, key) <= upto))
         path = f"{folder}/wave={wave:05d}"
-        work(mine).write.mode("overwrite").parquet(path)
+        made = work(mine)
+        with shuffles_cleaned(spark):
+            made.write.mode("overwrite").parquet(path)
         hits += _hits(spark.read.parquet(path), selected)
         last, wave, chunks = upto, wave + 1, max(chunks, round(chunks * growth))
         if not edge:
@@ -76,7 +78,7 @@ def gather_in_waves(items: DataFrame, work: Callable[[DataFrame], DataFrame], ke
         # Chunks are counted in items, also in those that the work returned no row for.
         new = rows if resumed is None else not_done(rows, resumed, key)
         flags = done.join(new.select(F.col(key).alias("_k"), F.col(selected).alias("_s")), F.col(key).eqNullSafe(F.col("_k")), "left")
-        flags = settled(flags.select(key, F.coalesce("_s", F.lit(False)).alias("_s")))
+        flags = stored(flags.select(key, F.coalesce("_s", F.lit(False)).alias("_s")), "flags")
         stay = gather_until(flags, key, "_s", target if target <= 0 else target - already, chunk, seed).select(F.col(key).alias("_k"))
         new = new.join(stay, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
         rows = new if resumed is None else resumed.unionByName(new)

@@ -106,7 +106,9 @@ def long_survivors(candidates: DataFrame, train: DataFrame, pool: DataFrame, set
                    facts: FactPack = ZH_FACTS, style: StylePack = ZH_STYLE) -> DataFrame:
     """The same for candidates in long form ``(qid, query, user_prompt, cand_idx, text)``.
 
-    A question may have any number of candidates: hot ones are spread in the join.
+    A question may have any number of candidates: hot ones are spread in the join.  Texts are read
+    before the join, which moves only candidates that their own text does not stop; the questions'
+    side of it is written first.
     """
     asked = candidates.select(
         filled_question_id("qid", "query").alias("qid"), "query", "user_prompt", "cand_idx", "text"
@@ -278,8 +280,11 @@ def rewrite_gates(train: DataFrame, pool: DataFrame, rewrites: DataFrame, settin
     allowed = F.array_union("_own.polarity", F.coalesce("_pooled", F.array().cast("array<string>")))
     wrote = F.col("_written.polarity")
     facts_ok = F.col("rule_ok") & ((F.size(allowed) == 0) | (F.size(F.array_except(wrote, allowed)) == 0))
-    return read.withColumn("facts_ok", facts_ok).select(
-        "qid", "query", "user_prompt", "answer", "natural", "base_think", "references", "rule_ok", "facts_ok",
+    # Written without the keys, which are made of the texts whenever they are read.
+    told = ("qid", "query", "user_prompt", "answer", "natural", "base_think", "references", "rule_ok", "facts_ok")
+    gated = stored(read.withColumn("facts_ok", facts_ok).select(*told), "rewritten")
+    return gated.select(
+        *told,
         score_key(version, "references", "natural", gates.k_screen).alias("screen_key"),
         score_key(version, "references", "base_think", gates.k_screen).alias("screen_base_key"),
         score_key(version, "references", "natural", k_select).alias("select_key"),

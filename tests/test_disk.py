@@ -80,6 +80,13 @@ def test_clean_candidates_alone_meet_the_scores(spark):
     assert {r.key for r in rewards.candidate_rewards(cands.filter("key <> 'k2'"), prompts, DEFAULTS.reward, judged(made)).collect()} == {"k0", "k1"}
 
 
+def test_rewrites_are_written_without_their_keys(spark):
+    gated = q._rewrites(spark, SF)
+    written = spark.read.parquet(*gated.inputFiles())
+    assert "natural" in written.columns and not [c for c in written.columns if c.endswith("_key")]
+    assert {"screen_key", "screen_base_key", "select_key", "base_key"} <= set(gated.columns)
+
+
 def test_the_inbox_of_the_stream_is_compressed(spark):
     before = set(glob.glob(f"{checkpoint_dir(spark)}/stream-*"))
     q.QUERIES["streamed_scores"](spark, SF)
